@@ -14,6 +14,11 @@ TERM_POINTS, ORG_POINTS, MIN_SCORE = 25, 20, 30
 OPERATORS = ("gte", "lte", "eq", "contains", "manual")
 
 
+def whole(value: Column) -> Column:
+    """Rounded to a whole number, ties to even; noise in the tenth decimal does not decide a tie."""
+    return F.bround(F.round(value, 9), 0).cast("int")
+
+
 def strength(l2: Column) -> Column:
     return F.greatest(F.lit(STRENGTH_FLOOR), F.least(F.lit(1.0), l2 / F.lit(STRENGTH_FULL)))
 
@@ -32,7 +37,7 @@ def combine_noisy_or(signals: Mapping[str, Column], weights: Mapping[str, float]
         kept = kept * F.when(value >= 0, 1 - part).otherwise(1.0)
         suppressed = suppressed * F.when(value < 0, 1 - part).otherwise(1.0)
         known = known | F.coalesce(value >= 0, F.lit(False))
-    return F.when(known, F.bround((1 - kept) * suppressed * 100, 0)).otherwise(0.0).cast("int")
+    return F.when(known, whole((1 - kept) * suppressed * 100)).otherwise(0)
 
 
 def combine_average(signals: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
@@ -43,7 +48,7 @@ def combine_average(signals: Mapping[str, Column], weights: Mapping[str, float]
         total = total + F.coalesce(weight * value, F.lit(0.0))
         sum_weights = sum_weights + F.when(value.isNull(), 0.0).otherwise(weight)
     mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / F.nullif(sum_weights, F.lit(0.0))))
-    return F.when(sum_weights > 0, F.bround(mean * 100, 0)).otherwise(0.0).cast("int")
+    return F.when(sum_weights > 0, whole(mean * 100)).otherwise(0)
 
 
 def floored(value: Column, least: float) -> Column:

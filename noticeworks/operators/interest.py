@@ -40,7 +40,7 @@ def rule_scores(notices: DataFrame, scores: DataFrame, profiles: DataFrame, now:
     by_org = notices.select("id", "org_id").join(followed, "org_id").select("customer", "id").distinct().withColumn("by_org", F.lit(scoring.ORG_POINTS))
     parts = by_topic.join(by_term, ["customer", "id"], "full").join(by_org, ["customer", "id"], "full")
     topic_points = F.coalesce(scoring.noisy_or(F.col("chances")) * 100, F.lit(0.0))
-    total = F.bround(F.least(F.lit(100.0), topic_points + F.coalesce("by_term", F.lit(0)) + F.coalesce("by_org", F.lit(0))), 0).cast("int")
+    total = scoring.whole(F.least(F.lit(100.0), topic_points + F.coalesce("by_term", F.lit(0)) + F.coalesce("by_org", F.lit(0))))
     limits = profiles.select("customer", "price_min", "lead_days")
     scored = parts.withColumn("score", total).where(F.col("score") >= least).join(F.broadcast(limits), "customer").join(notices, "id")
     return scored.where(hard_filter(F.col("price_min"), F.col("lead_days"), now)).drop("price_min", "lead_days", "chances", "by_term", "by_org")

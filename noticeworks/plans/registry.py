@@ -54,7 +54,7 @@ def query(name: str, sql: str | None = None, with_views: bool = True):
         run.__doc__ = f.__doc__
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = f"WITH {VIEWS} {', ' + sql.strip()[5:] if sql.strip().upper().startswith('WITH ') else sql}" if with_views else sql
+            ORACLES[name] = f"WITH RECURSIVE {VIEWS} {', ' + sql.strip()[5:] if sql.strip().upper().startswith('WITH ') else sql}" if with_views else sql
         return f
 
     return put
