@@ -273,13 +273,13 @@ def sco_21(t: Frames) -> DataFrame:
     return page(filtered(eligibility(t).where("verdict = 'ok'"), f, t.now), f).select("id", "verdict")
 
 
-@query("SCO_22_extracted_axes", "SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 0 WHEN id % 4 = 2 AND id % 8 = 2 THEN NULL ELSE CASE WHEN stage = 'F' THEN 2 ELSE 1 END END::INTEGER AS n_values, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN false WHEN id % 6 = 2 THEN NULL ELSE true END AS flag FROM notices")
+@query("SCO_22_extracted_axes", "SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 0 WHEN id % 4 = 2 AND id % 8 = 2 THEN NULL ELSE CASE WHEN stage = 'F' THEN 2 ELSE 1 END END::VARCHAR AS n_values, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'false' WHEN id % 6 = 2 THEN NULL ELSE 'true' END AS flag FROM notices")
 def sco_22(t: Frames) -> DataFrame:
     c = F.col("id")
     restricted = F.when(c % 4 == 0, None).otherwise(c % 4 != 1)
     values = scoring.axis_values(restricted, F.array("stage", F.lit("F2"), F.lit(" "), F.when(F.col("stage") == "F", F.lit("O"))), F.when((c % 8 == 2), " ").otherwise("p. 3"), ("F", "O", "P"))
     flag = scoring.axis_flag(F.when(c % 3 == 0, None).otherwise(c % 3 == 2), F.when(c % 6 == 2, "").otherwise("p. 1"))
-    return t.notices.select("id", F.when(values.isNotNull(), F.size(values)).alias("n_values"), flag.alias("flag"))
+    return t.notices.select("id", F.when(values.isNotNull(), F.size(values)).cast("string").alias("n_values"), flag.cast("string").alias("flag"))
 
 
 @query("SCO_23_capped_items", "SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 49) || '…' ELSE text END AS item FROM documents WHERE trim(source) <> '' AND lang IN ('en', 'de')", False)
