@@ -138,24 +138,32 @@ def as_hex(fp: Column) -> Column:
 
 #: Bands of `similar`: 16 of 4 minima, so that a pair at 0.8 is missed with a probability of 0.0002 and one at 0.85 of 0.000005.
 BANDS, ROWS = 16, 4
+#: Up to so many shingles, 64 hash functions take the place of 64 bins, many of which would be empty.
+FEW = 512
+MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Fingerprints of pairs at 0.8 differ in ten bits on average, with a deviation of three.
 MOST_BITS = 24
 #: Members of a neighbourhood that are compared with one another at once, and how many of them the next lot sees again.
 LOT, OVERLAP = 1024, 128
+#: Neighbourhoods of which all ties are looked at, and the nearest that each member of a larger one is tied to.
+FEW_MEMBERS, NEAREST = 16, 4
 #: Ties that each text keeps for verification.
-TIES = 4
+TIES = 8
 SKETCH = "fp long, bands array<long>"
 TIE = "u long, v long, bits int"
 
 
 def band_keys(digests: bytes) -> list[int]:
     """Keys of the bands: each combines four minima of the bins that the highest bits of a hash choose; empty bins borrow from the next full one."""
-    hashes = np.sort(np.frombuffer(digests, dtype=">u8").astype(np.uint64))
+    hashes = np.frombuffer(digests, dtype=">u8").astype(np.uint64)
     bins = BANDS * ROWS
-    bounds = (np.arange(bins, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
-    first = np.searchsorted(hashes, bounds)
-    # The first hash at or above a bin's lower bound is its minimum or, if it is empty, that of the next full bin.
-    minima = hashes[first % len(hashes)].reshape(BANDS, ROWS)
+    if len(hashes) <= FEW:
+        minima = (hashes[:, None] * MULTIPLIERS[None, :]).min(axis=0).reshape(BANDS, ROWS)
+    else:
+        hashes.sort()
+        # The first hash at or above a bin's lower bound is its minimum or, if it is empty, that of the next full bin.
+        first = np.searchsorted(hashes, np.arange(bins, dtype=np.uint64) << np.uint64(58))
+        minima = hashes[first % len(hashes)].reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         key = (key ^ minima[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
@@ -164,21 +172,33 @@ def band_keys(digests: bytes) -> list[int]:
 
 
 def nearest_ties(ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int, int]]:
-    """A tree of least Hamming distances over one lot, without the ties beyond MOST_BITS."""
+    """Ties of at most MOST_BITS within one lot: all of a few members, else a tree of least distances and each one's nearest."""
     n = len(ids)
-    best, parent, out = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64), []
-    inside = np.zeros(n, dtype=bool)
+    out: set[tuple[int, int, int]] = set()
+
+    def tie(a: int, b: int, bits: int) -> None:
+        if bits <= MOST_BITS and ids[a] != ids[b]:
+            out.add((max(int(ids[a]), int(ids[b])), min(int(ids[a]), int(ids[b])), bits))
+
+    if n <= FEW_MEMBERS:
+        for a in range(n):
+            for b in range(a):
+                tie(a, b, int(fps[a] ^ fps[b]).bit_count())
+        return list(out)
+    best, parent, inside = np.full(n, 255, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     at = 0
-    for _ in range(n - 1):
+    for _ in range(n):
         inside[at] = True
         far = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
+        far[at] = 255
+        for b in np.argpartition(far, NEAREST)[:NEAREST]:
+            tie(at, int(b), int(far[b]))
         closer = ~inside & (far < best)
         best[closer], parent[closer] = far[closer], at
         at = int(np.where(inside, 256, best).argmin())
-        if best[at] <= MOST_BITS:
-            a, b = int(ids[at]), int(ids[parent[at]])
-            out.append((max(a, b), min(a, b), int(best[at])))
-    return out
+        if not inside[at]:
+            tie(at, int(parent[at]), int(best[at]))
+    return list(out)
 
 
 def _ties_of_bands(batches):

@@ -137,7 +137,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     purity = F.col("a") / (F.col("a") + F.col("b") + 1)
     learnt = seen.join(spread, "word").withColumn("purity", purity).where(F.col("purity") >= LEAST_PURITY)
     best = learnt.orderBy(F.desc("a"), "word").limit(LEARNT_WORDS).collect()  # at most LEARNT_WORDS words
-    return {r.word: r.purity for r in best}
+    # A word at the least purity alone does not make a document toxic; two of them do.
+    return {r.word: 2 * r.purity - 1 for r in best}
 
 
 def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
