@@ -262,3 +262,60 @@ def case_20(t: Frames) -> DataFrame:
 def str_07(t: Frames) -> DataFrame:
     before = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
     return t.table("pages").select("page_id", (~F.sha2("html", 256).eqNullSafe(F.sha2(before, 256))).alias("changed"))
+
+
+@query("SRC_01_18_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'R'", False)
+def src_01(t: Frames) -> DataFrame:
+    return t.table("lineitem").where((F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_quantity")
+
+
+@query("SNK_01_masked_captures", """SELECT event_type AS endpoint, count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS masked FROM events GROUP BY 1""", False)
+def snk_01(t: Frames) -> DataFrame:
+    body = F.when(F.col("event_id") % 2 == 0, '{"items":[{"telNo":"010","title":"x"}]}').otherwise('{"items":[{"title":"x"}]}')
+    rows = t.table("events").select(F.col("event_type").alias("endpoint"), ingest.masked_json(body).alias("body"))
+    return rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if(F.contains("body", F.lit(ingest.MASK)) & ~F.contains("body", F.lit("010"))).alias("masked"))
+
+
+@query("SNK_08_claims", "SELECT customer_id, notice_id, min(event_id) AS event_id FROM evs WHERE event_type = 'click' AND (customer_id, notice_id) NOT IN (SELECT (customer_id, notice_id) FROM evs WHERE event_type = 'like') GROUP BY 1, 2")
+def snk_08(t: Frames) -> DataFrame:
+    claims = t.events.where("event_type = 'click'").select("customer_id", "notice_id", "event_id")
+    return upkeep.new_rows(claims, t.events.where("event_type = 'like'"), ["customer_id", "notice_id"], ["event_id"]).select("customer_id", "notice_id", "event_id")
+
+
+@query("SNK_14_run_log", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'running' AND run_at < TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 60 MINUTE THEN 'fail' ELSE status END AS status FROM runs) GROUP BY 1")
+def snk_14(t: Frames) -> DataFrame:
+    status = labels.source_status(F.lit(True), F.col("status"), F.col("run_at"), F.lit("2024-01-30 22:00:00").cast("timestamp_ntz"))
+    return t.runs.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SNK_17_18_manual_topics", "SELECT DISTINCT notice_id, topic, CASE WHEN topic = 5 AND NOT EXISTS (SELECT 1 FROM scores s WHERE s.notice_id = x.notice_id AND s.topic = 5) THEN 99 ELSE 0 END AS l2 FROM (SELECT notice_id, topic FROM scores WHERE topic <> 6 UNION SELECT id, 5 FROM notices WHERE stage = 'P') x")
+def snk_18(t: Frames) -> DataFrame:
+    there = t.scores.select("notice_id", "topic").distinct()
+    wanted = t.notices.where("stage = 'P'").select(F.col("id").alias("notice_id"), F.lit(5).cast("long").alias("topic"))
+    added = upkeep.new_rows(wanted, there, ["notice_id", "topic"], ["topic"]).withColumn("l2", F.lit(99))
+    return there.where("topic <> 6").withColumn("l2", F.lit(0)).unionByName(added)
+
+
+@query("SNK_20_triage", "SELECT event_id, CASE WHEN event_type = 'like' AND value < 10 THEN 'needs categories' WHEN event_type = 'unlike' AND notice_id % 2 = 0 THEN 'needs a reason' ELSE 'taken' END AS outcome FROM evs")
+def snk_20(t: Frames) -> DataFrame:
+    kind = F.col("event_type")
+    outcome = F.when((kind == "like") & (F.col("value") < 10), "needs categories").when((kind == "unlike") & (F.col("notice_id") % 2 == 0), "needs a reason").otherwise("taken")
+    return t.events.select("event_id", outcome.alias("outcome"))
+
+
+@query("SRT_08_code_point_order", "SELECT category, row_number() OVER (ORDER BY category)::INTEGER AS place FROM (SELECT DISTINCT category FROM orgs WHERE category IS NOT NULL)")
+def srt_08(t: Frames) -> DataFrame:
+    found = t.orgs.where("category is not null").agg(F.array_sort(F.collect_set("category")).alias("c"))
+    return found.select(F.posexplode("c").alias("pos", "category")).select("category", (F.col("pos") + 1).alias("place"))
+
+
+@query("Q_15_ingest_pass", MAP_SQL + """, taken AS (SELECT *, row_number() OVER (PARTITION BY title, date_trunc('month', open_dt) ORDER BY o_orderkey) AS n FROM m
+        WHERE title IS NOT NULL AND url IS NOT NULL AND status IN ('O', 'F') AND NOT coalesce(open_dt < TIMESTAMP '1995-01-01', false) AND NOT coalesce(close_dt < TIMESTAMP '1997-06-01', false))
+    SELECT o_orderkey, title, url FROM taken WHERE n = 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)""", False)
+def q_15(t: Frames) -> DataFrame:
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    rows = mapped(t).where(ingest.complete()).withColumn("reason", ingest.reject_reason(F.col("status"), ("O", "F"), F.col("open_dt"), at("1995-01-01"), F.col("close_dt"), at("1997-06-01")))
+    rows = rows.where("reason is null").withColumn("month", F.date_trunc("month", F.col("open_dt").cast("timestamp")))
+    first = upkeep.new_rows(rows, t.spark.createDataFrame([], "title string, month timestamp"), ["title", "month"], ["o_orderkey"])
+    there = t.table("lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"))
+    return first.join(there, "o_orderkey", "left_anti").select("o_orderkey", "title", "url")
