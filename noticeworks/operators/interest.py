@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions import scoring
-from noticeworks.operators import latest
+from noticeworks.operators import keywords, latest
 
 QUOTAS = {"prenotice": 10, "active": 20}
 
@@ -35,14 +35,14 @@ def rule_scores(notices: DataFrame, scores: DataFrame, profiles: DataFrame, now:
     by_topic = topic_strengths(scores).join(wanted, "topic").withColumn("chance", chance).withColumn("strength", scoring.strength(F.col("l2")))
     by_topic = by_topic.groupBy("customer", F.col("notice_id").alias("id")).agg(F.array_sort(F.collect_list("chance")).alias("chances"), F.array_sort(F.collect_list(F.struct("topic", "strength"))).alias("topics"))
     terms = profiles.select("customer", F.explode("terms").alias("term")).where(F.trim("term") != "")
-    by_term = notices.select("id", "title").join(F.broadcast(terms), F.contains(F.lower("title"), F.lower(F.trim("term")))).select("customer", "id").distinct().withColumn("by_term", F.lit(scoring.TERM_POINTS))
+    by_term = notices.select("id", "title").join(keywords.hinted(terms), F.contains(F.lower("title"), F.lower(F.trim("term")))).select("customer", "id").distinct().withColumn("by_term", F.lit(scoring.TERM_POINTS))
     followed = profiles.select("customer", F.explode("org_ids").alias("org_id"))
     by_org = notices.select("id", "org_id").join(followed, "org_id").select("customer", "id").distinct().withColumn("by_org", F.lit(scoring.ORG_POINTS))
     parts = by_topic.join(by_term, ["customer", "id"], "full").join(by_org, ["customer", "id"], "full")
     topic_points = F.coalesce(scoring.noisy_or(F.col("chances")) * 100, F.lit(0.0))
     total = scoring.whole(F.least(F.lit(100.0), topic_points + F.coalesce("by_term", F.lit(0)) + F.coalesce("by_org", F.lit(0))))
     limits = profiles.select("customer", "price_min", "lead_days")
-    scored = parts.withColumn("score", total).where(F.col("score") >= least).join(F.broadcast(limits), "customer").join(notices, "id")
+    scored = parts.withColumn("score", total).where(F.col("score") >= least).join(limits, "customer").join(notices, "id")
     return scored.where(hard_filter(F.col("price_min"), F.col("lead_days"), now)).drop("price_min", "lead_days", "chances", "by_term", "by_org")
 
 

@@ -17,7 +17,7 @@ def occurrences(text: Column, term: Column) -> Column:
 
 
 def hinted(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    return F.broadcast(rules) if len(rules.limit(most + 1).select(F.lit(1)).collect()) <= most else rules
+    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
 
 
 def matches(notices: DataFrame, rules: DataFrame, text: str = "title") -> DataFrame:
