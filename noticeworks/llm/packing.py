@@ -13,6 +13,8 @@ packed each; very long documents span many sequences; an empty table gives an em
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.llm import common
-from noticeworks.llm.tokens import SPACE
+from noticeworks.llm.tokens import SPACE, byte_alphabet
 
 SEQUENCE = 4096
 #: Documents of a packing group, on average.
 GROUP_DOCS = 2_000
-#: Words remembered with their ids.
-CACHE_ENTRIES = 250_000
-#: Fixed value: the pattern that the tokenizer file gives for splitting text.
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Words remembered with their ids, some 200 bytes each.
+CACHE_ENTRIES = 600_000
+#: Fixed value: the pattern that the tokenizer file gives for splitting text, its parts grouped by first letter; and what it comes to in ASCII texts.
+WORD = rf"\p{{L}}+|\p{{N}}|'(?:[stmd]|re|ve|ll)|[^{SPACE}\p{{L}}\p{{N}}]+"
+ASCII_WORD = r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r a-z0-9]+"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long"
 
@@ -41,25 +44,30 @@ class WordIds:
     """Ids of whole texts, word by word, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.special = {t.content: int(i).to_bytes(4, "little") for i, t in self.model.get_added_tokens_decoder().items()}
+        self.library = Tokenizer.from_file(path)
+        self.merges = self.library.model
+        self.special = {t.content: int(i).to_bytes(4, "little") for i, t in self.library.get_added_tokens_decoder().items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.model.normalizer = normalizers.Sequence([])
-        self.words = regex.compile(WORD)
+        self.letter = {b: c for c, b in byte_alphabet().items()}
+        self.words, self.ascii_words = regex.compile(WORD), re.compile(ASCII_WORD)
         self.known = _Known(self._ids)
 
     def _ids(self, word: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.model.encode(word, add_special_tokens=False).ids)
+        spelled = word if word.isascii() and word.isprintable() else "".join(map(self.letter.__getitem__, word.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.merges.tokenize(spelled))
 
     def ids(self, text: str) -> bytes:
+        if not text.isascii() and newer_letters(text):
+            return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
         out = []
         for part in self.marks.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out.extend(map(self.known.__getitem__, self.words.findall(normal(part))))
+                words = self.ascii_words if part.isascii() else self.words
+                out.extend(map(self.known.__getitem__, words.findall(normal(part))))
         return b"".join(out)
 
 
@@ -77,10 +85,17 @@ class _Known(dict):
         return ids
 
 
+#: Letters of the first planes' beginning that this Python knows; texts within them need no further look.
+FAMILIAR = frozenset(chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) != "Cn")
+
+
+def newer_letters(text: str) -> bool:
+    """Whether a text has code points that this Python does not know but the library may; the library then reads the text itself."""
+    return not FAMILIAR.issuperset(text) and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 def normal(text: str) -> str:
     """Composed and in lower case letter by letter (the end form of a Greek sigma is not looked for)."""
-    import unicodedata
-
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
