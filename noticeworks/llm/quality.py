@@ -5,6 +5,8 @@ falls back to bytes: characters per token, share of byte tokens, and entropy of
 Bands are centred on the medians of each language (or of the script where a language is not given or rare), those of entropy also of each length
 class, which doubles the tokens of the one before, because entropy depends on length.  A document is rejected outside a band, or if its shortfalls in
 characters per token and entropy add up to too much.  Medians hold against any minority of bad rows and are taken over all documents.
+The bands are a row per language or script and length class; they are broadcast if their counted rows are few, so a language with most rows is not
+gathered in one task.
 
 Cases: a null or empty text has no words and fails the base rules; a null language falls back to the script of the
 text; very long texts are measured whole; repeated rows are judged each; an empty table gives an empty result; extra columns are
@@ -138,7 +140,8 @@ def judge(features: DataFrame) -> DataFrame:
     def bands(keys: list[str], name: str, *features: str) -> DataFrame:
         middle = [F.percentile_approx(m[c], 0.5, 1000).alias(c) for c in features]
         found = usable.groupBy(*keys).agg(F.count("*").alias("n"), *middle).where(F.col("n") >= LEAST_DOCS)
-        return found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*features).alias(name))
+        found = common.written(found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*features).alias(name)), name)
+        return common.maybe_broadcast(found, found.count())
 
     for key in ("lang", "script"):
         for keys, name, features in (([key], f"{key}_rate", ("chars_per_token", "byte_share")), ([key, "length_class"], f"{key}_spread", ("token_entropy",))):
@@ -154,8 +157,9 @@ def judge(features: DataFrame) -> DataFrame:
 
 
 def rate(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, lang and the base counts, fertility, base_failed and kept of every document."""
+    """doc_id, text_hash, lang and the base counts, fertility, base_failed and kept of every document."""
+    text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    slim = measured(slim, path).select("doc_id", "lang", script(F.coalesce("text", F.lit(""))).alias("script"), "measures")
+    slim = measured(slim, path).select("doc_id", F.xxhash64(text).alias("text_hash"), "lang", script(text).alias("script"), "measures")
     rows = judge(common.written(slim, "fertility"))
-    return rows.select("doc_id", "lang", "measures.*", "base_failed", "kept")
+    return rows.select("doc_id", "text_hash", "lang", "measures.*", "base_failed", "kept")

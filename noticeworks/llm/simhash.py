@@ -229,8 +229,13 @@ def _ties(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v", "bits"]).astype({"u": "int64", "v": "int64", "bits": "int32"})
 
 
+def text_hash(text: Column) -> Column:
+    """The hash that names a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable) of every document, linked by shingle similarity."""
+    """doc_id, node (the hash of its text), component and component_id (the smallest doc_id reachable) of every document, linked by shingle similarity."""
     common.small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
 
@@ -255,7 +260,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
             out.append(both / max(1, len(a) + len(b) - both) if len(a) + len(b) else 1.0)
         return pd.Series(out, dtype="float64")
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("node"), text.alias("text"))
     sketches = rows.select("doc_id", "node", sketched("text").alias("s"))
     sketches = common.written(sketches.select("doc_id", "node", "s.fp", "s.bands"), "sketches")
     texts = sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -270,7 +275,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     kept = ends.withColumn("place", near).where(F.col("place") <= TIES).select("u", "v").distinct()
     kept = common.written(kept, "kept-ties")
     nodes = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    chosen = rows.join(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    first = sketches.groupBy("node").agg(F.min("doc_id").alias("first")).join(nodes, "node").withColumnRenamed("node", "first_node")
+    chosen = rows.join(first, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["node"])
     sets = common.written(chosen.select("node", shingle_set("text").alias("set")), "sets")
     met = kept.join(sets.select(F.col("node").alias("u"), F.col("set").alias("us")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("vs")), "v")
     verified = met.withColumn("j", jaccard("us", "vs")).where(F.col("j") >= similarity).select("u", "v")
@@ -281,4 +287,4 @@ def spread(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (doc_id, node) with the smallest doc_id of the component of their node; nodes have their own smallest in `least`."""
     grouped = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(grouped.join(smallest, "component").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return rows.join(grouped.join(smallest, "component").select("node", "component", "component_id"), "node").select("doc_id", "node", "component", "component_id")

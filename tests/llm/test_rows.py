@@ -240,3 +240,18 @@ def test_pipeline_takes_empty_and_odd_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = common.written(stage(spark, docs, DATA), name)
         assert docs.columns[0] == "doc_id"
+
+
+def test_pipeline_keeps_and_drops_rows_without_a_number(spark):
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    prose = lambda: " ".join(draw.choice(words) for _ in range(120))
+    one, two = prose(), prose()
+    item = database().execute("SELECT text FROM benchmark WHERE item_id = 7").fetchone()[0]
+    rows = [(None, one, "en", "s", 1), (None, one, "en", "s", 1), (3, one + " tail", "en", "s", 1), (None, two, "en", "s", 1), (None, f"{prose()} {item}", "en", "s", 1)]
+    docs = documents(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality_rules"](spark, docs, DATA).count() == 5
+    left = stages["near_duplicates"](spark, docs, DATA).collect()
+    assert sorted(r.text == two for r in left).count(True) == 1 and len(left) == 3
+    assert stages["decontamination"](spark, docs, DATA).count() == 4
