@@ -29,8 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 FAR_FROM_TEXT = frozenset("nav footer aside form menu dialog fieldset".split())
 # Words of class and id attributes.
-AGAINST = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices alert popup modal menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended widget newsletter subscribe signup login form search pagination pager toolbar disclaimer copyright masthead".split())
+AGAINST = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices alert popup modal menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended widget newsletter subscribe signup login form search pagination pager toolbar disclaimer copyright masthead commentlist respond".split())
 FOR = frozenset("article content post story entry body main text".split())
+MODIFIERS = frozenset("has with without no is not".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -60,8 +61,14 @@ class Block:
     text: str = ""
 
 
+def _words(attributes: str) -> set[str]:
+    """Words of the class, id and role names of an element; names such as has-sidebar speak of others."""
+    names = [PART.findall(name) for m in ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()]
+    return {p.lower() for parts in names if parts and parts[0].lower() not in MODIFIERS for p in parts}
+
+
 def _open(tag: str, attributes: str, parent: Node, number: int) -> Node:
-    words = {p.lower() for m in ATTRIBUTE.finditer(attributes) for p in PART.findall(m[2] or m[3] or m[4] or "")} if attributes else set()
+    words = _words(attributes) if attributes else set()
     article = parent.article or tag in ("article", "main")
     against = parent.against or tag in FAR_FROM_TEXT or (bool(words & AGAINST) and tag not in ("html", "body", "article", "main"))
     return Node(tag, number, parent.depth + 1, against, article, parent.header or (tag == "header" and not parent.article), parent.liked or bool(words & FOR), parent.link or tag == "a", parent)

@@ -200,6 +200,7 @@ PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body
 def test_main_text_of_a_page():
     assert html_extract.main_text(PAGE) == "Head & line\nFirst part goes on.\nSecond part <here>.\nItem one."
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
+    assert html_extract.main_text('<div class="main-content has-sidebar"><p>A long enough line of prose to read, and then some more of it.</p></div>') != ""
     assert html_extract.main_text("<article><p>open <b") == "open <b"
     assert html_extract.main_text("<body><article>" + "<p>Some words to read here.</p>" * 3000).count("\n") == 2999
 
