@@ -21,14 +21,14 @@ from noticeworks.llm import common
 KEY = "noticeworks-surrogates-1"
 ATTEMPTS = 12
 # Shapes of entities, and titles that come before names, by gender.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"
 CARD = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}\b|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}\b"
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9_/+-]{8,128}"
+SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-]{8})(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9_/+-]{8,128}"
 FEMALE_TITLES = r"Mrs\.|Ms\.|Mme|Madame|Frau|Señora|Sra\.|Г-жа|Госпожа"
 MALE_TITLES = r"Mr\.|Monsieur|Herr|Señor|Sr\.|Г-н|Господин"
-NAME = rf"(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{Ll}}'-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,30}})?"
+NAME = rf"(?=[MFSHГ])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{Ll}}'-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,30}})?"
 ANY = "|".join((EMAIL, SECRET, IP, CARD, PHONE, NAME))
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
