@@ -147,7 +147,7 @@ MOST_BITS = 24
 LOT, OVERLAP = 1024, 128
 #: Neighbourhoods of which all ties are looked at, and the nearest that each member of a larger one is tied to.
 FEW_MEMBERS, NEAREST = 16, 4
-#: Ties that each text keeps for verification.
+#: Ties of each text that are verified first.
 TIES = 8
 SKETCH = "fp long, bands array<long>"
 TIE = "u long, v long, bits int"
@@ -269,18 +269,26 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     n = common.partitions_of(docs.sparkSession)
     ties = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_ties_of_bands, TIE).distinct()
     ties = common.written(ties, "ties")
-    # Each text keeps its nearest ties; a tie stays if either end keeps it.
+    # The nearest ties of either end are verified first; of the rest, those whose ends are still apart follow.
     ends = ties.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("end"))
     near = F.row_number().over(W.partitionBy("end").orderBy("bits", "u", "v"))
-    kept = ends.withColumn("place", near).where(F.col("place") <= TIES).select("u", "v").distinct()
-    kept = common.written(kept, "kept-ties")
-    nodes = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ranked = common.written(ends.withColumn("place", near).groupBy("u", "v").agg(F.min("place").alias("place")), "ranked-ties")
+    nodes = ranked.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     first = sketches.groupBy("node").agg(F.min("doc_id").alias("first")).join(nodes, "node").withColumnRenamed("node", "first_node")
     chosen = rows.join(first, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["node"])
     sets = common.written(chosen.select("node", shingle_set("text").alias("set")), "sets")
-    met = kept.join(sets.select(F.col("node").alias("u"), F.col("set").alias("us")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("vs")), "v")
-    verified = met.withColumn("j", jaccard("us", "vs")).where(F.col("j") >= similarity).select("u", "v")
-    return spread(sketches.select("doc_id", "node"), texts.select("node", "least"), components(verified))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("us")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("vs")), "v")
+        return common.written(met.withColumn("j", jaccard("us", "vs")).where(F.col("j") >= similarity).select("u", "v"), "links")
+
+    found = components(verified(ranked.where(F.col("place") <= TIES).select("u", "v")))
+    sides = [found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")) for end in ("u", "v")]
+    rest = ranked.where(F.col("place") > TIES).join(sides[0], "u", "left").join(sides[1], "v", "left")
+    more = verified(rest.where(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).select("u", "v"))
+    if more.take(1):
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return spread(sketches.select("doc_id", "node"), texts.select("node", "least"), found)
 
 
 def spread(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
