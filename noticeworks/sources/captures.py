@@ -55,6 +55,13 @@ def items(captures: DataFrame, body: str = "body", path: str = "$.items") -> Dat
     return captures.withColumn("item", F.explode(array)).drop(body)
 
 
+def pages_read(captures: DataFrame, page: str = "page", body: str = "body", path: str = "$.items", max_pages: int = 10) -> DataFrame:
+    """Captured answers of a paged source, up to the page before the first empty one and to a limit of pages."""
+    n = F.coalesce(F.json_array_length(F.get_json_object(body, path)), F.lit(0))
+    end = captures.where(n == 0).agg(F.min(page).alias("_end"))  # one row
+    return captures.where(F.col(page) <= max_pages).join(F.broadcast(end), F.col("_end").isNull() | (F.col(page) < F.col("_end")), "left_semi")
+
+
 def envelope_error(body: Column) -> Column:
     """The message of an error answer; null for good and for legally empty ones."""
     code = F.get_json_object(body, "$.response.header.resultCode")
