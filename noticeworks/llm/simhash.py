@@ -9,7 +9,7 @@ coordinates and then the differing bits themselves are checked; components of th
 Equal fingerprints are one node from the start, so a group of copies never yields pairs.
 
 `similar` is for looser copies, those of a shingle similarity of 0.8 or more, whose fingerprints differ in ten bits or so and are out of the grid's reach.
-It finds neighbourhoods by bands of one-permutation MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
+It finds neighbourhoods by bands of MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
 of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.
 
 Cases: a null or empty text has fingerprint 0 and is linked like any other; repeated rows share their component; an empty
@@ -138,9 +138,11 @@ def as_hex(fp: Column) -> Column:
 
 #: Bands of `similar`: 16 of 4 minima, so that a pair at 0.8 is missed with a probability of 0.0002 and one at 0.85 of 0.000005.
 BANDS, ROWS = 16, 4
-#: Up to so many shingles, 64 hash functions take the place of 64 bins, many of which would be empty.
-FEW = 512
-MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: 64 hash functions of any number of shingles: a * h + b with a odd.
+MULTIPLIERS, SHIFTS = (np.array([xxhash.xxh64_intdigest(f"{part}{k}", SEED) for k in range(BANDS * ROWS)], dtype=np.uint64) for part in "ab")
+MULTIPLIERS |= np.uint64(1)
+#: Hashes put through all functions at once; bounds the memory of a very long text.
+SKETCHED = 1 << 12
 #: Fingerprints of pairs at 0.8 differ in ten bits on average, with a deviation of three.
 MOST_BITS = 24
 #: Members of a neighbourhood that are compared with one another at once, and how many of them the next lot sees again.
@@ -154,16 +156,12 @@ TIE = "u long, v long, bits int"
 
 
 def band_keys(digests: bytes) -> list[int]:
-    """Keys of the bands: each combines four minima of the bins that the highest bits of a hash choose; empty bins borrow from the next full one."""
+    """Keys of the bands: each combines four minima of the distinct hashes, by the same functions for texts of any length."""
     hashes = np.frombuffer(digests, dtype=">u8").astype(np.uint64)
-    bins = BANDS * ROWS
-    if len(hashes) <= FEW:
-        minima = (hashes[:, None] * MULTIPLIERS[None, :]).min(axis=0).reshape(BANDS, ROWS)
-    else:
-        hashes.sort()
-        # The first hash at or above a bin's lower bound is its minimum or, if it is empty, that of the next full bin.
-        first = np.searchsorted(hashes, np.arange(bins, dtype=np.uint64) << np.uint64(58))
-        minima = hashes[first % len(hashes)].reshape(BANDS, ROWS)
+    minima = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), SKETCHED):
+        np.minimum(minima, (hashes[at : at + SKETCHED, None] * MULTIPLIERS + SHIFTS).min(axis=0), out=minima)
+    minima = minima.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         key = (key ^ minima[:, k]) * np.uint64(0xFF51AFD7ED558CCD)

@@ -125,6 +125,20 @@ def test_similar_texts_are_linked(spark):
     assert sum(found[i] != wanted[i] for i in wanted) <= 1
 
 
+def test_bands_of_near_copies_meet_at_any_length(spark):
+    """Texts of 505 to 525 shingles and copies with a few words more or a line repeated."""
+    draw = random.Random(11)
+    texts = []
+    for n in range(505, 526, 2):
+        words = [f"w{draw.randrange(9000)}" for _ in range(n + 4)]
+        copy = [*words, *(f"t{k}" for k in range(9))] if n % 4 == 1 else [*words, *(words[100:130] * 3)]
+        texts += [" ".join(words), " ".join(copy)]
+    keys = [set(simhash.band_keys(simhash.shingle_digests(t, 5))) for t in texts]
+    assert all(keys[i] & keys[i + 1] for i in range(0, len(texts), 2))
+    found = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert found == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_leaks_are_those_of_a_plain_search(spark):
     draw = random.Random(6)
     vocabulary = [f"v{k}" for k in range(400)]
