@@ -10,7 +10,9 @@ Equal fingerprints are one node from the start, so a group of copies never yield
 
 `similar` is for looser copies, those of a shingle similarity of 0.8 or more, whose fingerprints differ in ten bits or so and are out of the grid's reach.
 It finds neighbourhoods by bands of MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
-of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.
+of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.  Ties only order the work: in every neighbourhood that they
+leave in more than one component, all pairs across components are then compared exactly, in lots of bounded size that meet each other, so no
+two texts that share a band are left uncompared.
 
 Cases: a null or empty text has fingerprint 0 and is linked like any other; repeated rows share their component; an empty
 table gives an empty result; extra columns are ignored by the query and kept by the stage of the pipeline.
@@ -143,14 +145,14 @@ MULTIPLIERS, SHIFTS = (np.array([xxhash.xxh64_intdigest(f"{part}{k}", SEED) for
 MULTIPLIERS |= np.uint64(1)
 #: Hashes put through all functions at once; bounds the memory of a very long text.
 SKETCHED = 1 << 12
-#: Fingerprints of pairs at 0.8 differ in ten bits on average, with a deviation of three.
-MOST_BITS = 24
 #: Members of a neighbourhood that are compared with one another at once, and how many of them the next lot sees again.
 LOT, OVERLAP = 1024, 128
 #: Neighbourhoods of which all ties are looked at, and the nearest that each member of a larger one is tied to.
 FEW_MEMBERS, NEAREST = 16, 4
 #: Ties of each text that are verified first.
 TIES = 8
+#: Bytes of shingle sets in a lot of texts that are compared across components.
+LOT_OCTETS = 16_000_000
 SKETCH = "fp long, bands array<long>"
 TIE = "u long, v long, bits int"
 
@@ -170,12 +172,12 @@ def band_keys(digests: bytes) -> list[int]:
 
 
 def nearest_ties(ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int, int]]:
-    """Ties of at most MOST_BITS within one lot: all of a few members, else a tree of least distances and each one's nearest."""
+    """Ties within one lot: all of a few members, else a tree of least distances and each one's nearest."""
     n = len(ids)
     out: set[tuple[int, int, int]] = set()
 
     def tie(a: int, b: int, bits: int) -> None:
-        if bits <= MOST_BITS and ids[a] != ids[b]:
+        if ids[a] != ids[b]:
             out.add((max(int(ids[a]), int(ids[b])), min(int(ids[a]), int(ids[b])), bits))
 
     if n <= FEW_MEMBERS:
@@ -227,6 +229,49 @@ def _ties(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v", "bits"]).astype({"u": "int64", "v": "int64", "bits": "int32"})
 
 
+def links_across(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links u, v that join components of one pair of lots: each row of the left side against all of the right one.
+
+    Rows have node, component, side, main (whether the component is the neighbourhood's largest), band, bands and set.  Left rows are none of the main
+    component.  Of two rows that are both left somewhere, the one with the larger node looks for the other; pairs that share an earlier band were met there.
+    """
+    out: list[tuple[int, int]] = []
+    left, right = rows[rows["side"] == "left"], rows[rows["side"] == "right"]
+    if len(left) and len(right):
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        sets = [np.frombuffer(x, dtype="<u4") for x in right["set"]]
+        sizes = np.array([len(x) for x in sets])
+        shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        node, main, within = right["node"].to_numpy(), right["main"].to_numpy(), right["component"].to_numpy().copy()
+        band, bands = int(rows["band"].iloc[0]), np.array(right["bands"].tolist(), dtype=np.int64)
+        for a, c, mine, x in zip(left["node"].tolist(), left["component"].tolist(), left["bands"], left["set"], strict=True):
+            c, x = root(c), np.frombuffer(x, dtype="<u4")
+            open_to = (within != c) & (main | (node < a)) & (np.minimum(sizes, len(x)) >= similarity * np.maximum(sizes, len(x)))
+            if band:
+                open_to &= ~(bands[:, :band] == np.asarray(mine)[:band]).any(axis=1)
+            if not open_to.any():
+                continue
+            first, last = np.searchsorted(shingle, x), np.searchsorted(shingle, x, side="right")
+            n = last - first
+            at = np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            union = sizes + len(x) - both
+            for b in np.flatnonzero(open_to & np.where(union > 0, both / np.maximum(1, union) >= similarity, True)).tolist():
+                if within[b] != c:
+                    out.append((a, int(node[b])))
+                    parent[int(within[b])] = c
+                    within[within == within[b]] = c
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
 def text_hash(text: Column) -> Column:
     """The hash that names a text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -286,9 +331,35 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     more = verified(rest.where(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).select("u", "v"))
     if more.take(1):
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    across = common.written(_links_of_open_bands(texts, sets, found, similarity), "links-across")
+    if across.take(1):
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
     return spread(sketches.select("doc_id", "node"), texts.select("node", "least"), found)
 
 
+def _links_of_open_bands(texts: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links across the components of every neighbourhood of more than FEW_MEMBERS texts that the ties have left in more than one component."""
+    known = sets.select("node", F.octet_length("set").alias("octets")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = texts.select("node", "bands", F.posexplode("bands").alias("band", "key")).join(known, "node")
+    members = common.written(members, "members")
+    groups = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("octets").alias("octets"))
+    wide = groups.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum("octets").alias("octets"), F.max(F.struct("n", "octets", "component")).alias("main"))
+    lots = lambda n, octets: F.ceil(F.greatest(n / LOT, octets / LOT_OCTETS)).cast("int")
+    others = lots(F.col("n") - F.col("main.n"), F.col("octets") - F.col("main.octets"))
+    wide = wide.where((F.col("n") > FEW_MEMBERS) & (F.col("parts") > 1))
+    # A lone text without shingles has no octets; it still takes one lot.
+    wide = wide.select("key", F.col("main.component").alias("main_component"), F.greatest(lots(F.col("n"), F.col("octets")), F.lit(1)).alias("lots"), F.greatest(others, F.lit(1)).alias("left_lots"))
+    wide = common.written(wide, "open-bands")
+    rows = members.join(common.maybe_broadcast(wide, wide.count()), "key").withColumn("main", F.col("component") == F.col("main_component"))
+    here = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "node", "component", "main", "band", "bands"]
+    left = rows.where(~F.col("main")).select(*columns, F.lit("left").alias("side"), here("left_lots").alias("i"), to("lots").alias("j"))
+    right = rows.select(*columns, F.lit("right").alias("side"), to("left_lots").alias("i"), here("lots").alias("j"))
+    met = left.unionByName(right).join(sets, "node")
+    return met.groupBy("key", "i", "j").applyInPandas(lambda group: links_across(group, similarity), "u long, v long").distinct()
+
+
 def spread(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (doc_id, node) with the smallest doc_id of the component of their node; nodes have their own smallest in `least`."""
     grouped = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

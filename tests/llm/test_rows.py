@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -139,6 +141,32 @@ def test_bands_of_near_copies_meet_at_any_length(spark):
     assert found == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_copies_in_a_large_neighbourhood_are_linked_whatever_their_fingerprints(spark):
+    """Texts that share a passage, and copies of some of them whose fingerprints a line repeated over and over moves far away."""
+    draw = random.Random(12)
+    passage = [f"p{k}" for k in range(400)]
+    bodies = [passage + [f"w{draw.randrange(9000)}" for _ in range(90)] for _ in range(40)]
+    texts = [" ".join(b) for b in bodies]
+    texts += [" ".join([*b[:-10], *([f"r{i}a", f"r{i}b", f"r{i}c"] * 400)]) for i, b in enumerate(bodies[:6])]
+    found = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert found == {i: i if i < 40 else i - 40 for i in range(46)}
+
+
+def test_links_across_lots_are_those_of_a_plain_search():
+    draw = np.random.default_rng(13)
+    sets = []
+    for _ in range(30):
+        base = draw.choice(100_000, 60, replace=False)
+        sets += [np.unique(np.r_[base[k:], draw.choice(100_000, k)]).astype("<u4") for k in (0, 3, 9)]
+    rows = pd.DataFrame({"node": range(90), "component": range(90), "band": 1, "bands": [[k % 5, 7] for k in range(90)], "set": [x.tobytes() for x in sets]})
+    rows["main"] = rows["node"] == 0
+    both = pd.concat([rows[~rows["main"]].assign(side="left"), rows.assign(side="right")])
+    linked = [(r.u, r.v) for r in simhash.links_across(both, 0.8).itertuples()]
+    similar = lambda a, b: a % 5 != b % 5 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert all(similar(a, b) for a, b in linked) and len(linked) > 20
+    assert classes(range(90), lambda a, b: (a, b) in linked or (b, a) in linked) == classes(range(90), similar)
+
+
 def test_leaks_are_those_of_a_plain_search(spark):
     draw = random.Random(6)
     vocabulary = [f"v{k}" for k in range(400)]
