@@ -4,7 +4,7 @@ Entities are found by one pattern and told apart by shape.  Their canonical form
 decides the surrogate, so every mention of an entity in any document and format gets the same one.  A surrogate is a keyed hash in the shape of
 its type: digits for digits, letters for letters in the same case, addresses in valid ranges, card numbers with the same Luhn remainder,
 names of the same gender and script.  Surrogates are checked over the whole corpus: one that another entity of its type has, or that is itself an entity found, is
-drawn again with the next attempt, until all are distinct.
+drawn again with the next attempt, until all are distinct.  Every twelve attempts they grow by a syllable, letter or digit, so a type's free values never run out.
 
 Cases: a null text stays null, an empty one empty; texts without entities pass unchanged and are not shuffled; repeated rows get equal texts;
 very long texts are searched whole; an empty table gives an empty result; extra columns of any name are kept by `redact`.
@@ -12,6 +12,8 @@ very long texts are searched whole; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from noticeworks.llm import common
 
 KEY = "noticeworks-surrogates-1"
-ATTEMPTS = 12
+#: Attempts of one length; after them surrogates grow, up to what a digest can fill.
+ATTEMPTS, MOST_GROWTH = 12, 24
 # Shapes of entities, and titles that come before names, by gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"
@@ -80,20 +83,26 @@ def shaped(value: Column, digest: Column, keep: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     """The keyed surrogate of a canonical entity at an attempt."""
+    growth = min(attempt // ATTEMPTS, MOST_GROWTH)
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, canon, F.lit(str(attempt))), 512)
     address = F.concat_ws(".", *[(_number(digest, k, 254) + 1).cast("string") for k in range(4)])
+    if growth:
+        address = F.concat(F.lit("fd00"), *[x for k in range(7) for x in (F.lit(":"), F.substring(digest, 1 + 4 * k, 4))])
+    letters = F.translate(F.substring(digest, 49, growth), "0123456789", "ghijklmnop")
+    digits = F.translate(F.substring(digest, 49, growth), "abcdef", "258147")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    email = F.concat(shaped(local, digest, F.lit(0)), F.lit("@"), shaped(F.regexp_replace(domain, r"\.[^.]+$", ""), F.reverse(digest), F.lit(0)), F.regexp_extract(domain, r"\.[^.]+$", 0))
-    body = F.substring(shaped(canon, digest, F.lit(1)), 1, 15)
+    email = F.concat(shaped(local, digest, F.lit(0)), letters, F.lit("@"), shaped(F.regexp_replace(domain, r"\.[^.]+$", ""), F.reverse(digest), F.lit(0)), F.regexp_extract(domain, r"\.[^.]+$", 0))
+    body = F.concat(F.substring(shaped(canon, digest, F.lit(1)), 1, 15), digits)
     card = F.concat(body, ((luhn(canon) - luhn(F.concat(body, F.lit("0"))) + 10) % 10).cast("string"))
-    phone = shaped(canon, digest, F.greatest(F.length(canon) - 10, F.lit(0)))
-    secret = shaped(canon, digest, F.when(canon.startswith("AKIA"), 4).otherwise(0))
+    phone = F.concat(shaped(canon, digest, F.greatest(F.length(canon) - 10, F.lit(0))), digits)
+    # A secret of marks alone has nothing to draw, so from the first growth on marks are letters too.
+    secret = F.concat(shaped(F.regexp_replace(canon, r"[^A-Za-z0-9]", "x") if growth else canon, digest, F.when(canon.startswith("AKIA"), 4).otherwise(0)), letters)
     latin = ~canon.rlike(r"\p{IsCyrillic}")
 
     def name(gender: str) -> Column:
         def of(writing: str) -> Column:
             given, part = F.array(*map(F.lit, GIVEN[gender, writing])), F.array(*map(F.lit, SYLLABLES[writing]))
-            family = F.initcap(F.concat(*[F.element_at(part, _number(digest, k, len(SYLLABLES[writing])) + 1) for k in (1, 2, 3)]))
+            family = F.initcap(F.concat(*[F.element_at(part, _number(digest, k, len(SYLLABLES[writing])) + 1) for k in range(1, 4 + growth)]))
             return F.when(canon.contains(" "), F.concat(F.element_at(given, _number(digest, 0, len(GIVEN[gender, writing])) + 1), F.lit(" "), family)).otherwise(family)
 
         return F.when(latin, of("latin")).otherwise(of("cyrillic"))
@@ -110,8 +119,9 @@ def rendered(kind: Column, found: Column, new: Column) -> Column:
         slot = c.rlike("[0-9]")
         return F.struct((acc["at"] + slot.cast("int")).alias("at"), F.concat(acc["out"], F.when(slot, F.substr(new, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
 
-    numbers = F.aggregate(F.split(found, ""), start, digit, lambda acc: acc["out"])
+    numbers = F.aggregate(F.split(found, ""), start, digit, lambda acc: F.concat(acc["out"], F.substr(new, acc["at"])))
     cased = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(new, i + 1, F.lit(1)))).otherwise(F.substr(new, i + 1, F.lit(1)))), "")
+    cased = F.when(F.length(new) == F.length(found), cased).otherwise(new)
     titled = F.concat(F.regexp_extract(found, rf"^(?:{FEMALE_TITLES}|{MALE_TITLES}) ", 0), new)
     return F.when(kind.isin("card", "phone"), numbers).when(kind == "email", cased).when(kind.startswith("name"), titled).otherwise(new)
 
@@ -119,10 +129,11 @@ def rendered(kind: Column, found: Column, new: Column) -> Column:
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, surrogate of distinct entities (kind, canon): distinct within a kind, and none that is an entity itself."""
     pending, done = entities, None
-    for attempt in range(ATTEMPTS):
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), attempt, key))
-        real = entities.select("kind", F.col("canon").alias("surrogate")).withColumn("is_real", F.lit(True))
-        drawn = drawn.join(real, ["kind", "surrogate"], "left")
+    form = F.when(F.col("kind").startswith("name"), F.lower("surrogate")).otherwise(F.col("surrogate"))
+    real = entities.select("kind", F.col("canon").alias("form")).withColumn("is_real", F.lit(True))
+    for attempt in count():
+        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), attempt, key)).withColumn("form", form)
+        drawn = drawn.join(real, ["kind", "form"], "left")
         if done is not None:
             drawn = drawn.join(done.select("kind", "surrogate", F.lit(True).alias("taken")), ["kind", "surrogate"], "left")
         else:
@@ -134,9 +145,6 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = drawn.where("not ok").select("kind", "canon")
         if not pending.take(1):
             return done
-    # Shapes with too few free values (such as one-letter names) get their hash appended; what is left here stays distinct by it.
-    last = pending.withColumn("surrogate", F.concat("canon", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "kind", "canon"), 256), 1, 24)))
-    return done.unionByName(last)
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, DataFrame]:

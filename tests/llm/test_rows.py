@@ -237,6 +237,19 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert not {(r.kind, r.surrogate) for r in found} & {(r.kind, r.canon) for r in found}
 
 
+def test_surrogates_grow_when_their_shapes_are_used_up(spark):
+    """More entities than the shapes hold: 32,768 one-word names of a gender and script, 676 addresses of one letter each before and behind the at sign."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a}{b}{c}{d}x" for a in letters for b in letters for c in letters for d in "aei"][:34_000]
+    addresses = [f"{a}@{b}.io" for a in letters + letters.upper() for b in letters]
+    rows = [(k, f"Mr. {n.title()} came.", "en", "s", 1) for k, n in enumerate(names)] + [(100_000 + k, f"Write to {a} now.", "en", "s", 1) for k, a in enumerate(addresses)]
+    new = {r.doc_id: r.text for r in pii.redact(documents(spark, rows))[0].collect()}
+    assert len({t for k, t in new.items() if k < 100_000}) == len(names)
+    assert len({t.lower() for k, t in new.items() if k >= 100_000}) == 676
+    originals = set(names) | {a.lower() for a in addresses}
+    assert not any(w.strip(".").lower() in originals or "-" in w for t in new.values() for w in t.split())
+
+
 def test_url_rules_are_those_of_a_plain_search(spark):
     hosts = ["com", "example.com", "www.example.com", "a.b.example.com", "notexample.com", "net", "x.net", "example.org", "", "EXAMPLE.com:80", "Example.COM"]
     urls = [None, "no scheme", "://", "http://com"] + [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en", "/en/x?y", "/es/", "/fr/1#z", "?/en/", "/EN/")] * 2
