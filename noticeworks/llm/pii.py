@@ -27,11 +27,20 @@ ATTEMPTS, MOST_GROWTH = 12, 24
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IP = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"
 CARD = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}\b|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}\b"
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-]{8})(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9_/+-]{8,128}"
+# A plus sign and 7 to 15 digits; an area code in brackets; or one without, as 3-3-4 digits or after a zero unless it is a date.
+PHONE = (
+    r"\+\d(?:[ ./()-]{0,2}\d){6,14}(?!\d)|\(\d{2,5}\)[ ./-]{0,2}\d(?:[ ./-]?\d){4,9}(?![ ./-]?\d)"
+    r"|(?<![\w.+/-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
+    r"|(?<![\w.+/-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{2,4}(?![./-]?\d))0[1-9](?:[ ./-]?\d){5,13}(?![\w/-]|\.\d)"
+)
+# The value of a keyword of any case: the whole run, whatever its length, without the marks that end a sentence or a list.
+SECRET = (
+    r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-][A-Za-z0-9_/+!#-&*.:=?@\\^`|~-]{6,256}[A-Za-z0-9_/+-])(?<=(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
+    r"[A-Za-z0-9_/+-]++(?:[!#-&*.:=?@\\^`|~]++[A-Za-z0-9_/+-]++)*+={0,2}"
+)
 FEMALE_TITLES = r"Mrs\.|Ms\.|Mme|Madame|Frau|Señora|Sra\.|Г-жа|Госпожа"
 MALE_TITLES = r"Mr\.|Monsieur|Herr|Señor|Sr\.|Г-н|Господин"
-NAME = rf"(?=[MFSHГ])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{Ll}}'-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,30}})?"
+NAME = rf"(?=[MFSHГ])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{L}}\p{{M}}'’-]++(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)?"
 ANY = "|".join((EMAIL, SECRET, IP, CARD, PHONE, NAME))
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
@@ -46,7 +55,7 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ka ke ko la le lo ma me mo na ne
 def kind_of(found: Column) -> Column:
     """The type of an entity by its shape."""
     kind = F.when(found.rlike(rf"^(?:{EMAIL})$"), "email").when(found.rlike(rf"^(?:{IP})$"), "ip").when(found.rlike(rf"^(?:{CARD})$"), "card")
-    kind = kind.when(found.rlike(r"^(?:\+|\()\d[\d ().+-]*$"), "phone")
+    kind = kind.when(found.rlike(rf"^(?:{PHONE})$"), "phone")
     kind = kind.when(found.rlike(rf"^(?:{FEMALE_TITLES}) "), "name_f").when(found.rlike(rf"^(?:{MALE_TITLES}) "), "name_m")
     return kind.otherwise("secret")
 

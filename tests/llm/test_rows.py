@@ -237,6 +237,29 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert not {(r.kind, r.surrogate) for r in found} & {(r.kind, r.canon) for r in found}
 
 
+def test_whole_runs_of_entities_are_replaced(spark):
+    long, jwt = "A1b2" * 50, "eyJhbGciOiJI.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    secrets = [f'token = "{long}"', f"token: {jwt}", "Password: hunter2!hunter3", "API_KEY=abcd1234efgh==", '"access_token": "zyxw9876vuts"']
+    phones = ["+49 30 12 34 56 78", "+33 1 23 45 67 89", "+49 170 1234567", "+14155552671", "636-555-7248", "(636) 555-7248", "(030) 12 34 56 78", "0170/1234567", "01 23 45 67 89"]
+    names = ["Mr. McDonald", "Mme DuPont LeBlanc", "Frau Müller-Lüdenscheidt", "Mr. O'Neill", "Herr " + "Abc" * 20]
+    plain = ["On 01.02.2024 and 2024-01-02, 100 000 of 1 234 567, version 10.2.", "The token was lost. Password required."]
+    texts = [*secrets, *(f"Call {p}, please." for p in phones), *(f"Yes, {n} came." for n in names), *plain]
+    rows = {r.doc_id: r for r in pii.redact(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))[1].select("row.doc_id", "new", "n_entities").collect()}
+    assert [rows[i].n_entities for i in range(len(texts))] == [1] * (len(texts) - 2) + [0, 0]
+    assert all(rows[i].new == t for i, t in enumerate(texts) if t in plain)
+    for i, value in enumerate([long, jwt, "hunter2!hunter3", "abcd1234efgh", "zyxw9876vuts"]):
+        new = rows[i].new
+        assert not any(value[k : k + 6] in new for k in range(len(value) - 5))
+        assert len(new) == len(texts[i])
+    for i, p in enumerate(phones, len(secrets)):
+        new = re.fullmatch(r"Call (.*), please\.", rows[i].new)[1]
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", p) and re.sub(r"\D", "", new)[-6:] != re.sub(r"\D", "", p)[-6:]
+    for i, n in enumerate(names, len(secrets) + len(phones)):
+        assert not any(part in rows[i].new for part in n.split()[1:]) and re.fullmatch(r"Yes, \S+( \w+)+ came\.", rows[i].new)
+    found = spark.createDataFrame([(t,) for p in phones for t in [p]], "t string").select(pii.kind_of(F.col("t")).alias("k")).distinct().collect()
+    assert [r.k for r in found] == ["phone"]
+
+
 def test_surrogates_grow_when_their_shapes_are_used_up(spark):
     """More entities than the shapes hold: 32,768 one-word names of a gender and script, 676 addresses of one letter each before and behind the at sign."""
     letters = "abcdefghijklmnopqrstuvwxyz"
