@@ -3,7 +3,9 @@
 Base counts look at words, symbols, repeated lines and repeated word windows.  Fertility encodes every word with a public piece vocabulary that
 falls back to bytes: characters per token, share of byte tokens, and entropy of the tokens over the logarithm of their number.
 Bands are centred on the medians of each language (or of the script where a language is not given or rare), those of entropy also of each length
-class, which doubles the tokens of the one before, because entropy depends on length.  A document is rejected outside a band, or if its shortfalls in
+class, which doubles the tokens of the one before, because entropy depends on length.  Where a class is sparse, the band is the median level of all
+lengths of the language, the script or the whole table, brought to the document's length by the power law of entropy; rates fall back to the whole table too, so
+every document is judged by some band, in a small table as well (a lone document is its own median).  A document is rejected outside a band, or if its shortfalls in
 characters per token and entropy add up to too much.  Medians hold against any minority of bad rows and are taken over all documents.
 The bands are a row per language or script and length class; they are broadcast if their counted rows are few, so a language with most rows is not
 gathered in one task.
@@ -43,6 +45,8 @@ MOST_SHORTFALL = 0.09
 MOST_BYTE_SHARE_OVER = 0.10
 #: A language needs this many documents in a length class for bands of its own, a script as well.
 LEAST_DOCS = 20
+#: Entropy falls with this power of the tokens (as the medians of length classes do in tables of 0.1).
+FALL = 0.1
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, byte_share double, chars_per_token double, token_entropy double"
 
 
@@ -134,26 +138,31 @@ def judge(features: DataFrame) -> DataFrame:
     """Adds base_failed and kept to rows with lang, script and measures; bands come from all rows that pass the base rules."""
     m = F.col("measures")
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
-    rows = features.withColumn("base_failed", failed).withColumn("length_class", F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1)))))
+    rows = features.withColumn("base_failed", failed).withColumn("length_class", F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1))))).withColumn("every", F.lit(1))
     usable = rows.where(~F.col("base_failed"))
 
+    length = F.greatest(m["n_tokens"], F.lit(1)).cast("double")
+    values = {c: m[c] for c in ("chars_per_token", "byte_share", "token_entropy")} | {"level": m["token_entropy"] * F.pow(length, F.lit(FALL))}
+
     def bands(keys: list[str], name: str, *features: str) -> DataFrame:
-        middle = [F.percentile_approx(m[c], 0.5, 1000).alias(c) for c in features]
-        found = usable.groupBy(*keys).agg(F.count("*").alias("n"), *middle).where(F.col("n") >= LEAST_DOCS)
+        middle = [F.percentile_approx(values[c], 0.5, 1000).alias(c) for c in features]
+        found = usable.groupBy(*keys).agg(F.count("*").alias("n"), *middle).where(F.col("n") >= (1 if keys == ["every"] else LEAST_DOCS))
         found = common.written(found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*features).alias(name)), name)
         return common.maybe_broadcast(found, found.count())
 
-    for key in ("lang", "script"):
-        for keys, name, features in (([key], f"{key}_rate", ("chars_per_token", "byte_share")), ([key, "length_class"], f"{key}_spread", ("token_entropy",))):
+    for key in ("lang", "script", "every"):
+        spread = [([key, "length_class"], f"{key}_spread", ("token_entropy",))] if key != "every" else []
+        for keys, name, features in (([key], f"{key}_rate", ("chars_per_token", "byte_share", "level")), *spread):
             same = [F.col(k) == F.col(f"_{k}") for k in keys]
             rows = rows.join(bands(keys, name, *features), same, "left").drop(*[f"_{k}" for k in keys])
-    rate_band, spread_band = F.coalesce("lang_rate", "script_rate"), F.coalesce("lang_spread", "script_spread")
-    per_token, entropy = m["chars_per_token"] / rate_band["chars_per_token"], F.coalesce(m["token_entropy"] / spread_band["token_entropy"], F.lit(1.0))
+    rate_band = F.coalesce("lang_rate", "script_rate", "every_rate")
+    usual = F.coalesce(F.col("lang_spread.token_entropy"), F.col("script_spread.token_entropy"), rate_band["level"] * F.pow(length, F.lit(-FALL)))
+    per_token, entropy = m["chars_per_token"] / rate_band["chars_per_token"], m["token_entropy"] / usual
     inside = per_token.between(CHARS_PER_TOKEN_LOW, CHARS_PER_TOKEN_HIGH) & (entropy >= ENTROPY_LOW)
     inside &= (1 - per_token) + (1 - entropy) <= MOST_SHORTFALL
     inside &= m["byte_share"] <= rate_band["byte_share"] + MOST_BYTE_SHARE_OVER
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.withColumn("kept", kept).drop("lang_rate", "script_rate", "lang_spread", "script_spread", "length_class")
+    return rows.withColumn("kept", kept).drop("lang_rate", "script_rate", "every_rate", "lang_spread", "script_spread", "length_class", "every")
 
 
 def rate(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -143,6 +143,24 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert sum(not k for i, k in kept.items() if i < 60) <= 2
 
 
+def test_quality_judges_lone_long_texts_and_small_tables(spark):
+    import random
+
+    draw = random.Random(2)
+    words = [a + b for a in ("ri", "wa", "gre", "hil", "san", "lou", "mo", "ta", "pe", "ko") for b in ("ver", "lked", "en", "ls", "g", "dly", "ra", "no", "mi", "su")]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    few = words[:40]
+    junk = lambda n: " ".join(draw.choice(few) for _ in range(n))
+    for many in (60, 8):
+        texts = [*(prose(draw.randrange(150, 400)) for _ in range(many)), junk(9000)]
+        rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+        kept = {r.doc_id: r.kept for r in quality.rate(documents(spark, rows)).collect()}
+        base = {r.doc_id: r.base_failed for r in quality.rate(documents(spark, rows)).collect()}
+        assert not any(base.values())
+        assert not kept[many]
+        assert sum(kept.values()) >= many - many // 8
+
+
 def test_clauses_with_marks_score_less_or_more():
     scorer = toxicity.Scorer({"moron": 1.0})
     plain, negated, reported, aimed = (scorer.clause(c.split()) for c in ("a moron here", "not a moron here", "he said so about some other person a moron", "you are a moron"))
@@ -225,3 +243,16 @@ def test_pages_cases(spark):
     assert rows[1].text == rows[2].text == "" and rows[3].n_chars == len(rows[3].text)
     assert html_extract.extract(pages.where("page_id > 9")).count() == 0
     assert LONG
+
+
+def test_unclosed_elements_hide_nothing():
+    words = "The river walked over the green hills and sang loudly in the early morning light of the year, as it does."
+    article = f"<article><h1>Title</h1><p>{words}</p><p>{words}</p></article>"
+    whole = f"Title\n{words}\n{words}"
+    assert html_extract.main_text(f"<html><head><title>T</title><meta charset=utf-8><body>{article}</body></html>") == whole
+    assert html_extract.main_text(f"<html><head><title>T</title><link rel=x>{article}</html>") == whole
+    assert html_extract.main_text(f"<html><head><title>T</title></head><body>{article}</body></html>") == whole
+    for odd in ('<svg class="i"/>', "<math/>", "<svg><path d='M0'>", "<select><option>", "<button>", "<canvas>", "<noscript>", "<template>"):
+        assert html_extract.main_text(f"<body>{article.replace('</h1>', '</h1>' + odd)}</body>") == whole
+    for hidden in ("<button>Press <div>here</div></button>", "<svg><title>t</title><text>label</text></svg>", "<noscript><p>Switch it on.</p></noscript>", "<svg><foreignObject><p>Label.</p></foreignObject></svg>"):
+        assert html_extract.main_text(f"<body>{article.replace('</h1>', '</h1>' + hidden)}</body>") == whole
