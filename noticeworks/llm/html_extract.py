@@ -4,7 +4,8 @@ A page is read into text blocks.  A classifier gives each block the cost of call
 capacities to the two terminals.  Blocks that follow one another, and blocks of one parent, are tied by smoothness edges that weaken with their distance
 in the document tree.  The maximum flow between the terminals gives the cheapest labelling; the content side is the main text.
 
-Cases: a null or empty page has an empty text; broken markup is read as far as it goes; very long pages are read whole; repeated rows
+Cases: a null or empty page has an empty text; broken markup is read as far as it goes (an element that holds no text to read and is
+never closed hides nothing, a head ends at the first element of the body); very long pages are read whole; repeated rows
 are read each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from noticeworks.llm import common
 
 # Element groups of HTML.
-RAW = frozenset("script style noscript template svg iframe object math canvas textarea head title select button".split())
+RAW = frozenset("script style textarea title".split())
+IGNORED = frozenset("noscript template svg iframe object math canvas head select button".split())
+OF_HEAD = frozenset("base link meta title style script noscript template head html".split())
+FOREIGN = frozenset("svg math".split())
+HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
@@ -51,6 +56,7 @@ class Node:
     liked: bool = False
     link: bool = False
     parent: Node | None = None
+    ignored: bool = False
 
 
 @dataclass
@@ -71,7 +77,17 @@ def _open(tag: str, attributes: str, parent: Node, number: int) -> Node:
     words = _words(attributes) if attributes else set()
     article = parent.article or tag in ("article", "main")
     against = parent.against or tag in FAR_FROM_TEXT or (bool(words & AGAINST) and tag not in ("html", "body", "article", "main"))
-    return Node(tag, number, parent.depth + 1, against, article, parent.header or (tag == "header" and not parent.article), parent.liked or bool(words & FOR), parent.link or tag == "a", parent)
+    return Node(tag, number, parent.depth + 1, against, article, parent.header or (tag == "header" and not parent.article), parent.liked or bool(words & FOR), parent.link or tag == "a", parent, parent.ignored or tag in IGNORED)
+
+
+def _out_of(at: Node, tag: str) -> Node:
+    """The element that a start tag belongs to: a head ends at the first element of a body, svg and math at a block of HTML."""
+    inside = at
+    while inside.ignored and inside.tag not in HTML_IN_FOREIGN:
+        if (inside.tag == "head" and tag not in OF_HEAD and (at is inside or tag == "body")) or (inside.tag in FOREIGN and (tag in CLOSES_P or tag == "body")):
+            return _out_of(inside.parent, tag)
+        inside = inside.parent
+    return at
 
 
 def blocks(page: str) -> list[Block]:
@@ -80,8 +96,20 @@ def blocks(page: str) -> list[Block]:
     at, number, done, found, here = root, 0, 0, [], None
     n = len(page)
 
+    closed: dict[str, int] = {}
+
+    def is_closed(tag: str) -> bool:
+        """Whether an end tag follows; the last one of each name is looked up once."""
+        if tag not in closed:
+            closed[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return closed[tag] >= done
+
     def text(piece: str) -> None:
-        nonlocal here
+        nonlocal at, here
+        if at.tag == "head" and piece.strip():
+            at = at.parent
+        if at.ignored:
+            return
         if here is None:
             if not piece.strip():
                 return
@@ -114,10 +142,13 @@ def blocks(page: str) -> list[Block]:
                 up = up.parent
             if up is not root:
                 at = up.parent
-        elif tag in RAW:
+        elif tag in RAW and not (tag == "title" and attributes.endswith("/")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, done)
             done = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
+            at = _out_of(at, tag)
+            if tag in IGNORED and tag != "head" and not is_closed(tag):
+                continue
             if tag in CLOSES_P:
                 up = at
                 while up is not root and up.tag in INLINE:
