@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,18 +42,36 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def accepted_events(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Events that do not follow the last accepted one of their keys within so many seconds; one pass per key in order of time."""
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        last, kept = None, []
-        for at in group["ts"]:
-            fresh = last is None or (at - last).total_seconds() > seconds
-            kept.append(fresh)
-            last = at if fresh else last
-        return group[kept]
-
-    return events.groupBy(*keys).applyInPandas(keep, events.schema)
+    """Events that do not follow the last accepted one of their keys within so many seconds.
+
+    An event further than that from the one before it is always accepted, so a key's history is cut there; the runs between are walked in order of time over
+    sorted partitions, and no more than the last accepted time is held.
+    """
+    most, columns = seconds * 1_000_000, events.columns
+    order = [F.col("ts").asc_nulls_last(), F.col("event_id")]
+    history = W.partitionBy(*keys).orderBy(*order)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.withColumn("_at", at).withColumn("_fresh", (F.row_number().over(history) == 1) | F.coalesce(F.col("_at") - F.lag("_at").over(history) > most, F.lit(False)))
+    rows = rows.withColumn("_run", F.sum(F.col("_fresh").cast("long")).over(history.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", *order)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            kept = []
+            for fresh, micros in zip(batch["_fresh"].tolist(), batch["_at"].tolist(), strict=True):
+                accepted = fresh or (last is not None and micros - last > most)
+                kept.append(accepted)
+                last = micros if accepted else last
+            yield batch.loc[kept, columns]
+
+    return rows.mapInPandas(keep, events.schema)
+
+
+def accepted_by_type(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Accepted events of every type of WINDOWS, each with its own window, per keys and type."""
+    found = [accepted_events(events.where(F.col("event_type") == kind), keys, seconds) for kind, seconds in WINDOWS.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def state_changes(events: DataFrame, keys: list[str], state: str, order: list[str]) -> DataFrame:

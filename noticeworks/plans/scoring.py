@@ -329,6 +329,22 @@ def str_01(t: Frames) -> DataFrame:
     return dedup.accepted_events(views, ["customer_id"], 86_400).select("customer_id", "event_id")
 
 
+@query("STR_01_SNK_12_views_and_clicks", """
+    WITH ranked AS (
+        SELECT customer_id, notice_id, event_type, event_id, ts, CASE event_type WHEN 'view' THEN 300000000 ELSE 5000000 END AS most,
+               row_number() OVER (PARTITION BY customer_id, notice_id, event_type ORDER BY ts, event_id) AS n
+        FROM evs WHERE event_type IN ('view', 'click')
+    )
+    SELECT event_id, customer_id, notice_id, event_type FROM (
+        SELECT *, list_reduce(list_transform(list(epoch_us(ts)) OVER (PARTITION BY customer_id, notice_id, event_type ORDER BY n), lambda t: [t, 1]),
+                              lambda a, b: CASE WHEN b[1] - a[1] > most THEN b ELSE [a[1], 0] END)[2] = 1 AS kept
+        FROM ranked
+    ) WHERE kept
+""")
+def str_01_views_and_clicks(t: Frames) -> DataFrame:
+    return dedup.accepted_by_type(t.events, ["customer_id", "notice_id"]).select("event_id", "customer_id", "notice_id", "event_type")
+
+
 @query("SNK_13_toggles", "SELECT event_id, customer_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY customer_id, notice_id ORDER BY ts, event_id) AS before FROM evs WHERE event_type IN ('like', 'unlike')) WHERE event_type IS DISTINCT FROM before")
 def snk_13(t: Frames) -> DataFrame:
     likes = t.events.where(F.col("event_type").isin("like", "unlike"))

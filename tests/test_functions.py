@@ -99,6 +99,28 @@ def test_events_chain_is_judged_by_the_last_accepted_one(spark):
     assert sorted(r.event_id for r in kept.collect()) == [0, 2]
 
 
+def test_events_of_a_large_key_are_walked_without_one_group(spark):
+    import random
+
+    draw = random.Random(1)
+    rows = [(draw.choice((1, 1, None, 2)), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=draw.randrange(4000)), k, draw.choice(("view", "click"))) for k in range(900)]
+    events = spark.createDataFrame(rows, "customer_id long, ts timestamp_ntz, event_id long, event_type string")
+
+    def plain(chosen, seconds):
+        last, out = {}, set()
+        for c, ts, k, _ in sorted(chosen, key=lambda r: (r[1], r[2])):
+            if c not in last or (ts - last[c]).total_seconds() > seconds:
+                last[c] = ts
+                out.add(k)
+        return out
+
+    found = dedup.accepted_events(events, ["customer_id"], 5)
+    assert {r.event_id for r in found.collect()} == plain(rows, 5)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    by_type = {r.event_id for r in dedup.accepted_by_type(events, ["customer_id"]).collect()}
+    assert by_type == plain([r for r in rows if r[3] == "view"], 300) | plain([r for r in rows if r[3] == "click"], 5)
+
+
 def test_overlapping_terms_are_counted_once(spark):
     assert one(spark, keywords.occurrences(F.lit("aaaa"), F.lit("aa"))) == 2
 
