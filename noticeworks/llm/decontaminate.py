@@ -3,8 +3,8 @@
 Test items are short and documents long, so the question is containment: which share of an item's shingles a document has.  Items are partitioned by
 their number of shingles; the signature of an item is its k smallest shingle hashes, with k chosen per size class as one more than an item of
 that size may lack at the threshold.  A document that holds the threshold share of an item therefore holds at least one hash of
-the signature: the search loses nothing.  Documents are probed by their own shingle hashes, and every candidate is verified by exact shingle
-containment.
+the signature: the search loses nothing.  Documents are probed with all item hashes, not those of signatures only, because the exact count needs them;
+so the signature is redundant: every row that passes the count holds one of its hashes.
 
 Words are runs of letters and digits in lower case, shingles have five of them (an item with fewer words is one shingle, found in documents by the same number of words).
 
