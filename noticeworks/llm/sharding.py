@@ -2,11 +2,11 @@
 
 Rows get a global number 0 to N-1 that depends on the rows alone (their order under a keyed hash), never on how Spark has
 dealt them.  A keyed Feistel network permutes a grid a x b of at least N cells (a is the root of N, rounded up); numbers that leave
-0 to N-1 walk on along their cycle until they are back.  Position p then gives shard p mod S and slot p div S.
+0 to N-1 walk on along their cycle until they are back (it visits each of the fewer than a spare cells once at most).  Position p then gives shard p mod S and slot p div S.
 
 The law that holds is `rows`: shard sizes differ by one at most, slots are gapless from 0.
 
-Cases: a null text has size 1 and checksum 0; rows that are equal in every way are interchangeable and get numbers of their own;
+Cases: a null text has size 1 and checksum 0; very long texts are only measured, never moved; rows that are equal in every way are interchangeable and get numbers of their own;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from noticeworks.llm import common
 
 ROUNDS = 4
+#: Steps of a walk that are tried before the rest of its bound.
+FEW_STEPS = 16
 #: Buckets of the keyed hash; their row counts are the only thing that is ordered in one place.
 BUCKETS = 4096
 
@@ -49,17 +51,14 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     """Position of a global row number under the keyed permutation of 0 to n-1."""
     a = max(1, math.isqrt(max(0, n - 1)) + 1)
     b = max(1, -(-n // a))
-    # A walk visits each of the a*b-n spare cells once at most; there are under a of them among n, so 64 steps do for large n.
-    steps = min(a * b - n, 64)
-    once = feistel(number, a, b, seed)
-    if not steps:
-        return once
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        once,
-        lambda p, _: F.when(p < n, p).otherwise(feistel(p, a, b, seed)),
-    )
-    return F.when(once < n, once).otherwise(walk)
+    # A walk visits each of the a*b-n spare cells once at most.  Few are on their way after some steps; those go to the end of the bound.
+    spare = a * b - n
+    found = feistel(number, a, b, seed)
+    for steps in (min(spare, FEW_STEPS), spare - FEW_STEPS):
+        if steps > 0:
+            walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), found, lambda p, _: F.when(p < n, p).otherwise(feistel(p, a, b, seed)))
+            found = F.when(found < n, found).otherwise(walked)
+    return found
 
 
 def numbered(rows: DataFrame, keys: list[str], seed: int, name: str) -> tuple[DataFrame, int]:
