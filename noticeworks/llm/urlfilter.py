@@ -9,7 +9,7 @@ those rules before it starts: they are the rules of the ancestors of its first h
 
 Cases: a null URL or one without `://` has an empty host and path and fits no rule; a path is empty unless the URL has one, and then no rule
 fits, because each rule's path begins with a slash; among equally long rules the one with the longer host wins, then the smaller path and
-verdict; repeated rows are judged each; empty tables give an empty result; extra columns are ignored.
+verdict; very long URLs are read whole; repeated rows are judged each; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from noticeworks.llm import common
 
-SEPARATOR = "\x01"
+#: Closes the labels of a key; one inside a label is written as two other characters, so that labels stay apart.
+SEPARATOR, ESCAPE = "\x01", "\x02"
 #: Verdict of a URL that no rule fits.
 DEFAULT = "allow"
 #: The rules that the query applies: verdict, host, path.
@@ -52,7 +53,13 @@ def path_of(url: Column) -> Column:
 
 def host_key(host: Column) -> Column:
     """The labels of a host in reverse order, each closed by the separator."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), SEPARATOR), F.lit(SEPARATOR)))
+    safe = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(SEPARATOR), F.lit(ESCAPE + "a"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(safe, r"\.", -1)), SEPARATOR), F.lit(SEPARATOR)))
+
+
+def host_in(key: str) -> str:
+    """The host of a key."""
+    return ".".join(reversed(key.split(SEPARATOR)[:-1])).replace(ESCAPE + "a", SEPARATOR).replace(ESCAPE + "b", ESCAPE)
 
 
 def ancestors(key: Column) -> Column:
@@ -87,13 +94,14 @@ class OpenRules:
         for key, paths, lengths in reversed(self.levels):
             for n in lengths:
                 if n <= len(path) and path[:n] in paths:
-                    rank = (len(key) - 1 + n, len(key))
+                    host = host_in(key)
+                    rank = (len(host) + n, len(host))
                     if best is None or rank > best[0]:
-                        best = (rank, key, path[:n], paths[path[:n]])
+                        best = (rank, host, path[:n], paths[path[:n]])
                     break
         if best is None:
             return None
-        return ".".join(reversed(best[1].split(SEPARATOR)[:-1])) + best[2], best[3]
+        return best[1] + best[2], best[3]
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
