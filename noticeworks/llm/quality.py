@@ -2,10 +2,10 @@
 
 Base counts look at words, symbols, repeated lines and repeated word windows.  Fertility encodes every word with a public piece vocabulary that
 falls back to bytes: characters per token, share of byte tokens, and entropy of the tokens over the logarithm of their number.
-Bands are centred on the medians of each language (or of the script where a language is not given or rare), those of entropy also of each length
-class, which doubles the tokens of the one before, because entropy depends on length.  Where a class is sparse, the band is the median level of all
-lengths of the language, the script or the whole table, brought to the document's length by the power law of entropy; rates fall back to the whole table too, so
-every document is judged by some band, in a small table as well (a lone document is its own median).  A document is rejected outside a band, or if its shortfalls in
+Bands are centred on the medians of each language, those of entropy also of each length class, which doubles the tokens of the one before, because entropy
+depends on length.  Every median is drawn towards that of the next wider set as if PRIOR_DOCS documents stood there: a language towards its script, a script towards the
+whole table, a length class towards the level of its language brought to the document's length by the power law of entropy.  So every document is judged by the same rule,
+in sparse classes and small tables as well (a lone document is its own median).  A document is rejected outside a band, or if its shortfalls in
 characters per token and entropy add up to too much.  Medians hold against any minority of bad rows and are taken over all documents.
 The bands are a row per language or script and length class; they are broadcast if their counted rows are few, so a language with most rows is not
 gathered in one task.
@@ -18,6 +18,7 @@ ignored by the query and kept by the stage of the pipeline.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,11 +44,13 @@ ENTROPY_LOW = 0.80
 MOST_SHORTFALL = 0.09
 #: Share of byte tokens over the median share.
 MOST_BYTE_SHARE_OVER = 0.10
-#: A language needs this many documents in a length class for bands of its own, a script as well.
-LEAST_DOCS = 20
+#: Documents that the next wider set counts for in a median.
+PRIOR_DOCS = 20
 #: Entropy falls with this power of the tokens (as the medians of length classes do in tables of 0.1).
 FALL = 0.1
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, byte_share double, chars_per_token double, token_entropy double"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, byte_share double, chars_per_token double, token_entropy double, script string"
+#: Letters of four wide groups of scripts.
+CJK, CYRILLIC_GREEK, LATIN = re.compile("[\u1100-\u11ff\u3040-\u30ff\u3131-\u318e\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]"), re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]"), re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
 
 
 class Fertility:
@@ -109,11 +112,21 @@ def measure(text: str, model: Fertility) -> tuple:
             per_token = chars / n_tokens
             share = seen[seen > 0] / n_tokens
             entropy = float(-(share * np.log(share)).sum() / math.log(n_tokens)) if n_tokens > 1 else 0.0
-    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), n_tokens, byte_share, per_token, entropy)
+    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), n_tokens, byte_share, per_token, entropy, script(text))
+
+
+def script(text: str) -> str:
+    """The first script of four wide groups that the text has letters of."""
+    if not text.isascii():
+        if CJK.search(text):
+            return "cjk"
+        if CYRILLIC_GREEK.search(text):
+            return "cyrillic-greek"
+    return "latin" if LATIN.search(text) else "other"
 
 
 def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with the columns of FEATURES, script and base_failed behind theirs."""
+    """docs with a struct of FEATURES behind theirs."""
     common.small_batches(docs.sparkSession)
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -127,18 +140,11 @@ def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.withColumn("measures", features(F.col("text")))
 
 
-def script(text: Column) -> Column:
-    """The first script of four wide groups that the text has letters of."""
-    chain = F.when(text.rlike(r"\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul}"), "cjk")
-    chain = chain.when(text.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), "cyrillic-greek").when(text.rlike(r"\p{IsLatin}"), "latin")
-    return chain.otherwise("other")
-
-
 def judge(features: DataFrame) -> DataFrame:
     """Adds base_failed and kept to rows with lang, script and measures; bands come from all rows that pass the base rules."""
     m = F.col("measures")
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
-    rows = features.withColumn("base_failed", failed).withColumn("length_class", F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1))))).withColumn("every", F.lit(1))
+    rows = features.withColumn("base_failed", failed).withColumn("length_class", F.floor(F.log2(F.greatest(m["n_tokens"], F.lit(1))))).withColumn("every", F.lit(1)).withColumn("script", m["script"])
     usable = rows.where(~F.col("base_failed"))
 
     length = F.greatest(m["n_tokens"], F.lit(1)).cast("double")
@@ -146,8 +152,8 @@ def judge(features: DataFrame) -> DataFrame:
 
     def bands(keys: list[str], name: str, *features: str) -> DataFrame:
         middle = [F.percentile_approx(values[c], 0.5, 1000).alias(c) for c in features]
-        found = usable.groupBy(*keys).agg(F.count("*").alias("n"), *middle).where(F.col("n") >= (1 if keys == ["every"] else LEAST_DOCS))
-        found = common.written(found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*features).alias(name)), name)
+        found = usable.groupBy(*keys).agg(F.count("*").alias("n"), *middle)
+        found = common.written(found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("n", *features).alias(name)), name)
         return common.maybe_broadcast(found, found.count())
 
     for key in ("lang", "script", "every"):
@@ -155,20 +161,26 @@ def judge(features: DataFrame) -> DataFrame:
         for keys, name, features in (([key], f"{key}_rate", ("chars_per_token", "byte_share", "level")), *spread):
             same = [F.col(k) == F.col(f"_{k}") for k in keys]
             rows = rows.join(bands(keys, name, *features), same, "left").drop(*[f"_{k}" for k in keys])
-    rate_band = F.coalesce("lang_rate", "script_rate", "every_rate")
-    usual = F.coalesce(F.col("lang_spread.token_entropy"), F.col("script_spread.token_entropy"), rate_band["level"] * F.pow(length, F.lit(-FALL)))
-    per_token, entropy = m["chars_per_token"] / rate_band["chars_per_token"], m["token_entropy"] / usual
+
+    def drawn(name: str, feature: str, wider: Column) -> Column:
+        """A median drawn towards that of a wider set; the wider one alone where the set has no document."""
+        band = F.col(name)
+        return F.coalesce((band["n"] * band[feature] + PRIOR_DOCS * wider) / (band["n"] + PRIOR_DOCS), wider)
+
+    rate = {f: drawn("lang_rate", f, drawn("script_rate", f, F.col("every_rate")[f])) for f in ("chars_per_token", "byte_share", "level")}
+    usual = drawn("lang_spread", "token_entropy", drawn("script_spread", "token_entropy", rate["level"] * F.pow(length, F.lit(-FALL))))
+    per_token, entropy = m["chars_per_token"] / rate["chars_per_token"], m["token_entropy"] / usual
     inside = per_token.between(CHARS_PER_TOKEN_LOW, CHARS_PER_TOKEN_HIGH) & (entropy >= ENTROPY_LOW)
     inside &= (1 - per_token) + (1 - entropy) <= MOST_SHORTFALL
-    inside &= m["byte_share"] <= rate_band["byte_share"] + MOST_BYTE_SHARE_OVER
+    inside &= m["byte_share"] <= rate["byte_share"] + MOST_BYTE_SHARE_OVER
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.withColumn("kept", kept).drop("lang_rate", "script_rate", "every_rate", "lang_spread", "script_spread", "length_class", "every")
+    return rows.withColumn("kept", kept).drop("lang_rate", "script_rate", "every_rate", "lang_spread", "script_spread", "length_class", "every", "script")
 
 
 def rate(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text_hash, lang and the base counts, fertility, base_failed and kept of every document."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    slim = measured(slim, path).select("doc_id", F.xxhash64(text).alias("text_hash"), "lang", script(text).alias("script"), "measures")
+    slim = measured(slim, path).select("doc_id", F.xxhash64(text).alias("text_hash"), "lang", "measures")
     rows = judge(common.written(slim, "fertility"))
     return rows.select("doc_id", "text_hash", "lang", "measures.*", "base_failed", "kept")
