@@ -3,10 +3,10 @@
 Every document becomes its ids and an end id.  Full sequences are cut off the front of long documents; what
 remains is shorter than a sequence and is packed by first-fit decreasing, largest first, each piece into the
 first open sequence with room.  A tournament tree over the free room of the sequences finds that one
-in logarithmic time.  Documents are dealt at random (keyed hash) into groups of bounded expected size that are packed
-independently, so no group grows with the input.
+in logarithmic time.  Pieces are dealt at random into groups of bounded expected size that are packed independently, so no group grows with the input.
+The group is a keyed hash of the piece itself and of its place among equal pieces, so it does not depend on how Spark has dealt the rows.
 
-Cases: a null or empty text is the end id alone; ties of length go by doc_id, start and checksum; repeated rows are
+Cases: a null or empty text is the end id alone; ties of length go by doc_id, start and checksum; repeated rows are counted, dealt in small lots and
 packed each; very long documents span many sequences; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,12 +31,14 @@ from noticeworks.llm.tokens import SPACE, byte_alphabet
 SEQUENCE = 4096
 #: Documents of a packing group, on average.
 GROUP_DOCS = 2_000
+#: Equal pieces that are dealt together.
+REPEATS = 32
 #: Words remembered with their ids, some 200 bytes each.
 CACHE_ENTRIES = 600_000
 #: Fixed value: the pattern that the tokenizer file gives for splitting text, its parts grouped by first letter; and what it comes to in ASCII texts.
 WORD = rf"\p{{L}}+|\p{{N}}|'(?:[stmd]|re|ve|ll)|[^{SPACE}\p{{L}}\p{{N}}]+"
 ASCII_WORD = r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\t-\r a-z0-9]+"
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
+PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long"
 
 
@@ -138,18 +140,17 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
         ids_of = word_ids(path).ids
         for batch in batches:
             rows = []
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = ids_of(text or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, SEQUENCE):
                     part = ids[4 * start : 4 * (start + SEQUENCE)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, row))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE_SCHEMA)
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -159,7 +160,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, group_docs:
     groups = max(1, math.ceil(docs.count() / group_docs))
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32", "row"], ascending=[False, True, True, True, True], ignore_index=True)
+        group = group.loc[group.index.repeat(group["n"])]
+        group = group.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True], ignore_index=True)
         group["bin"] = first_fit_decreasing(group["length"].tolist())
         in_bin = group.groupby("bin")["length"]
         group["offset"] = in_bin.cumsum() - group["length"]
@@ -169,5 +171,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, group_docs:
         return group[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "sequence_length"]]
 
     dealt = pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), end_id)
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("row", F.lit("packing")), F.lit(groups)))
-    return dealt.groupBy("lot").applyInPandas(packed, PACKED_SCHEMA)
+    columns = dealt.columns
+    counted = dealt.groupBy(*columns).agg(F.count("*").alias("times"))
+    lots = F.explode(F.sequence(F.lit(0), F.expr(f"(times - 1) div {REPEATS}")))
+    counted = counted.select(*columns, "times", lots.alias("place")).withColumn("n", F.least(F.lit(REPEATS), F.col("times") - REPEATS * F.col("place")))
+    counted = counted.withColumn("lot", F.pmod(F.xxhash64(*columns, "place", F.lit("packing")), F.lit(groups)))
+    return counted.select(*columns, "n", "lot").groupBy("lot").applyInPandas(packed, PACKED_SCHEMA)
