@@ -3,14 +3,15 @@
 Test items are short and documents long, so the question is containment: which share of an item's shingles a document has.  Items are partitioned by
 their number of shingles; the signature of an item is its k smallest shingle hashes, with k chosen per size class as one more than an item of
 that size may lack at the threshold.  A document that holds the threshold share of an item therefore holds at least one hash of
-the signature: the search loses nothing.  Documents are probed with all item hashes, not those of signatures only, because the exact count needs them;
-so the signature is redundant: every row that passes the count holds one of its hashes.
+the signature: the search loses nothing.  All documents are probed with the hashes of signatures alone; the shingles themselves are
+spelled out only for the candidates found, whose containment is then counted exactly.
 
-Words are runs of letters and digits in lower case, shingles have five of them (an item with fewer words is one shingle, found in documents by the same number of words).
+Words are runs of letters and digits in lower case, shingles have five of them.  A text with fewer words is one shingle, so an item of fewer than five words is
+found only in documents of the same words and nothing more.
 
-Cases: null or empty items and items without a word match nothing; a null or empty document has no shingles; repeated rows of documents give a pair
-each time they differ and one pair for the same doc_id; equal items each give their own pair; empty tables give an empty
-result; extra columns are ignored by the query and kept by the stage of the pipeline.
+Cases: null or empty items and items without a word match nothing; a null or empty document has no shingles; rows of the same number (or of none) and
+different texts are different documents, each with its own pairs; rows that repeat number and text give their pairs once; very long texts are searched whole;
+equal items each give their own pair; empty tables give an empty result; extra columns are ignored by the query and kept by the stage of the pipeline.
 """
 
 from __future__ import annotations
@@ -30,45 +31,57 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
-def shingle_hashes(w: Column, width: int | Column) -> Column:
-    """Hashes of the shingles of an array of words; none if there are fewer words than the width."""
-    width = F.lit(width) if isinstance(width, int) else width
-    starts = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, width)))
+def over_shingles(w: Column, width: int, make) -> Column:
+    """What `make` makes of every shingle of an array of words; fewer words than the width are one shingle, none give none."""
+    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: make(F.slice(w, i, width)))
 
 
-def signature_size(n: Column, threshold: float) -> Column:
-    """One more than a size class of items may lack: no document at the threshold misses all of that many hashes."""
+def hashes(w: Column, width: int) -> Column:
+    return over_shingles(w, width, F.xxhash64)
+
+
+def spelled(w: Column, width: int) -> Column:
+    return over_shingles(w, width, lambda s: F.array_join(s, " "))
+
+
+def size_class(n: Column) -> Column:
+    """The largest number of shingles in the class of items of n shingles."""
     bound = F.lit(None).cast("int")
     for most in reversed(SIZE_BOUNDS):
         bound = F.when(n <= most, F.lit(most)).otherwise(bound)
-    return F.floor(F.coalesce(bound, n) * (1 - threshold) + 1e-9).cast("int") + 1
+    return F.coalesce(bound, n)
+
+
+def signature_size(n: Column, threshold: float) -> Column:
+    """One more than an item of the size class may lack: no document at the threshold misses all of that many hashes."""
+    return F.floor(size_class(n) * (1 - threshold) + 1e-9).cast("int") + 1
 
 
 def item_shingles(benchmark: DataFrame, width: int, threshold: float) -> DataFrame:
-    """item_id, span (words of a shingle), hashes (sorted, distinct), n and signature of every item with a word."""
+    """item_id, shingles (distinct), n and signature (the smallest hashes) of every item with a word."""
     items = benchmark.select(F.col("item_id").cast("long"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = items.withColumn("span", F.least(F.size("w"), F.lit(width)))
-    items = items.select("item_id", "span", F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), F.col("span")))).alias("hashes"))
-    items = items.distinct().withColumn("n", F.size("hashes"))
-    return items.withColumn("signature", F.slice("hashes", F.lit(1), F.least(F.col("n"), signature_size(F.col("n"), threshold))))
+    items = items.select("item_id", F.array_distinct(spelled(F.col("w"), width)).alias("shingles"), F.array_sort(F.array_distinct(hashes(F.col("w"), width))).alias("hashes"))
+    items = items.distinct().withColumn("n", F.size("shingles"))
+    signature = F.slice("hashes", F.lit(1), F.least(F.size("hashes"), signature_size(F.col("n"), threshold)))
+    return items.select("item_id", "shingles", "n", signature.alias("signature"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment of every pair at the threshold or above."""
     items = common.written(item_shingles(benchmark, width, threshold), "items")
-    spans = [r.span for r in items.select("span").distinct().collect()]  # at most `width` numbers
-    text = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w"))
-    hashed = F.concat(*[shingle_hashes(F.col("w"), span) for span in sorted(spans)]) if spans else F.array().cast("array<bigint>")
-    # Every item hash, to count what a document shares; the signature flag makes candidates.
-    wanted = items.select("item_id", "n", F.explode("hashes").alias("h"), "signature").withColumn("signed", F.array_contains("signature", F.col("h"))).drop("signature")
-    wanted = common.written(wanted, "item-hashes")
+    signed = common.written(items.select("item_id", F.explode("signature").alias("h")), "signatures")
+    wanted = common.written(items.select("item_id", "n", F.explode("shingles").alias("shingle")), "item-shingles")
     n_wanted = wanted.count()
-    probes = text.select("doc_id", F.explode(hashed).alias("h"))
-    keys = wanted.select("h").distinct()
-    # A hash of an item is rare among those of documents, so the semi join leaves little to group.
-    met = probes.join(common.maybe_broadcast(keys, n_wanted), "h", "left_semi").distinct()
-    shared = met.join(common.maybe_broadcast(wanted, n_wanted), "h")
-    shared = shared.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"), F.max("signed").alias("candidate"))
-    verified = shared.where(F.col("candidate") & (F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9))
+    number, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = docs.select(number.alias("doc_id"), text.alias("text"), F.sha2(F.concat_ws("\x01", F.coalesce(number.cast("string"), F.lit("")), text), 256).alias("name"))
+    probes = rows.select("name", F.explode(hashes(words(F.col("text")), width)).alias("h"))
+    candidates = common.written(probes.join(common.maybe_broadcast(signed, n_wanted), "h").select("name", "item_id").distinct(), "candidates")
+    named = common.written(candidates.select("name").distinct(), "candidate-rows")
+    # Only candidates are spelled out.  Repeated rows have one name, so they fall together with their shingles.
+    held = rows.join(common.maybe_broadcast(named, named.count()), "name", "left_semi")
+    pieces = held.select("doc_id", "name", F.explode(F.array_distinct(spelled(words(F.col("text")), width))).alias("shingle"))
+    met = pieces.join(common.maybe_broadcast(wanted, n_wanted), "shingle").distinct()
+    shared = met.groupBy("doc_id", "name", "item_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9)
+    verified = shared.join(candidates, ["name", "item_id"], "left_semi")
     return verified.select("doc_id", "item_id", "shared", F.col("n").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))

@@ -58,26 +58,24 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_pii, op4_s
 
 ORACLES = {
     "op5_decontamination": r"""
-        WITH items AS (
-            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
-        ), pieces AS (
-            SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
-            FROM items WHERE len(w) > 0
-        ), sizes AS (SELECT item_id, count(*) AS n FROM pieces GROUP BY 1),
-        spelled AS (
-            SELECT doc_id, row_number() OVER () AS line, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
-        ), words AS (SELECT doc_id, line, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS pos FROM spelled),
-        runs AS (
-            SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e
-            FROM words WINDOW o AS (PARTITION BY line ORDER BY pos)
-        ), found AS (
-            SELECT DISTINCT doc_id, s
-            FROM (SELECT doc_id, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e]) AS s FROM runs)
-            WHERE s IN (SELECT s FROM pieces)
-        )
-        SELECT doc_id, item_id, count(*) AS shared, n::INTEGER AS item_shingles, count(*) / n AS containment
-        FROM found JOIN pieces USING (s) JOIN sizes USING (item_id)
-        GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8::DOUBLE * n - 1e-9
+        WITH texts AS (
+            SELECT 'item' AS kind, item_id AS number, 0 AS line, text FROM benchmark
+            UNION ALL SELECT 'document', doc_id, row_number() OVER (), text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+        ), spelled AS (
+            SELECT kind, number, line, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM texts
+        ), words AS (
+            SELECT kind, number, line, len(w) AS n, array_to_string(w, ' ') AS joined, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS pos FROM spelled
+        ), runs AS (
+            SELECT kind, number, line, n, joined, pos, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o || ' ' || lead(a, 4) OVER o AS s
+            FROM words WINDOW o AS (PARTITION BY kind, number, line ORDER BY pos)
+        ), shingles AS (
+            SELECT DISTINCT kind, number, line, CASE WHEN n < 5 THEN joined ELSE s END AS s FROM runs WHERE n < 5 OR s IS NOT NULL
+        ), pieces AS (SELECT number AS item_id, s FROM shingles WHERE kind = 'item'),
+        sizes AS (SELECT item_id, count(*) AS n FROM pieces GROUP BY 1)
+        SELECT d.number AS doc_id, item_id, count(*) AS shared, n::INTEGER AS item_shingles, count(*) / n AS containment
+        FROM shingles d JOIN pieces USING (s) JOIN sizes USING (item_id)
+        WHERE d.kind = 'document'
+        GROUP BY d.number, d.line, item_id, n HAVING count(*) >= 0.8::DOUBLE * n - 1e-9
     """,
     "op9_url_filter": r"""
         WITH rules(verdict, host, path) AS (
