@@ -4,7 +4,9 @@ A fingerprint of 64 bits is cut into 32 segments of two bits; the bits set in ea
 Manhattan distance of two such points never exceeds the number of differing bits, so it is a lower bound.  Within
 distance 3 one half of the 32 coordinates differs by 1 at most: the grid join puts each fingerprint into the cell of either half and into
 the cells one step up along each coordinate, which finds every pair with both orders covered once.  The bound over all
-coordinates and then the differing bits themselves are checked; components of the links follow.
+coordinates and then the differing bits themselves are checked; components of the links follow.  A cell that holds many fingerprints is split by the bits of its
+other half: of five pieces two are equal within three differing bits, of eight pieces five are, so its members meet in subcells of equal pieces and
+are never all compared with one another.
 
 Equal fingerprints are one node from the start, so a group of copies never yields pairs.
 
@@ -14,13 +16,13 @@ of the fingerprints, and verifies every tie by the exact similarity of the shing
 leave in more than one component, all pairs across components are then compared exactly, in lots of bounded size that meet each other, so no
 two texts that share a band are left uncompared.
 
-Cases: a null or empty text has fingerprint 0 and is linked like any other; repeated rows share their component; an empty
+Cases: a null or empty text has fingerprint 0 and is linked like any other; very long texts are hashed whole, in blocks; repeated rows share their component; an empty
 table gives an empty result; extra columns are ignored by the query and kept by the stage of the pipeline.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -112,14 +114,40 @@ def _cells(points: DataFrame) -> DataFrame:
     return points.select("fp", "e", F.inline(F.concat(of(0), of(1))))
 
 
+#: Cells of more fingerprints than the first number are split by the second of pieces of their other half.
+SPLITS = ((64, 5), (8192, 8))
+
+
+def _subcells(fp: Column, cell: Column, pieces: Column) -> Column:
+    """Subcells of a fingerprint in a cell: one for each choice of pieces of the other half of which, within 3 differing bits, some are equal; 0 in a small cell."""
+    other = F.when(cell < F.lit(1 << 32), F.shiftrightunsigned(fp, 32)).otherwise(fp.bitwiseAND(0xFFFFFFFF))
+
+    def keys(n: int) -> Column:
+        cuts = [32 * k // n for k in range(n + 1)]
+        masks = [sum((1 << cuts[k + 1]) - (1 << cuts[k]) for k in chosen) for chosen in combinations(range(n), n - 3)]
+        return F.array(*[F.xxhash64(F.lit(f"{n}.{i}"), other.bitwiseAND(F.lit(mask))) for i, mask in enumerate(masks)])
+
+    whole = F.array(F.lit(0).cast("long"))
+    for _, n in SPLITS:
+        whole = F.when(pieces == n, keys(n)).otherwise(whole)
+    return whole
+
+
 def links(fingerprints: DataFrame, most: int = 3) -> DataFrame:
     """Pairs u, v of distinct fingerprints (column fp) that differ in at most 3 bits."""
     if most != 3:
         raise ValueError("the grid is laid out for distances up to 3")
     points = fingerprints.withColumn("e", segment_counts(F.col("fp")))
     cells = _cells(points)
-    own = cells.where("own").select("cell", F.col("fp").alias("v"), F.col("e").alias("ve"))
-    met = cells.select("cell", F.col("fp").alias("u"), F.col("e").alias("ue"), "own").join(own, "cell")
+    pieces = F.lit(None).cast("int")
+    for n, k in SPLITS:
+        pieces = F.when(F.col("n") > n, F.lit(k)).otherwise(pieces)
+    crowded = cells.where("own").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SPLITS[0][0]).select("cell", pieces.alias("pieces"))
+    crowded = common.written(crowded, "crowded-cells")
+    cells = cells.join(common.maybe_broadcast(crowded, crowded.count()), "cell", "left")
+    cells = cells.select("cell", "fp", "e", "own", F.explode(_subcells(F.col("fp"), F.col("cell"), F.coalesce("pieces", F.lit(0)))).alias("subcell"))
+    own = cells.where("own").select("cell", "subcell", F.col("fp").alias("v"), F.col("e").alias("ve"))
+    met = cells.select("cell", "subcell", F.col("fp").alias("u"), F.col("e").alias("ue"), "own").join(own, ["cell", "subcell"])
     met = met.where((F.col("u") != F.col("v")) & (~F.col("own") | (F.col("u") < F.col("v"))))
     met = met.where(manhattan(F.col("ue"), F.col("ve")) <= most)
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most).select("u", "v")

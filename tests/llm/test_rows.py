@@ -37,7 +37,7 @@ def test_shards_do_not_depend_on_partitions(spark):
     assert one == two
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097, 100_003])
 def test_permutation_is_one(spark, n):
     found = [r.p for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 7).alias("p")).collect()]
     assert sorted(found) == list(range(n))
@@ -81,6 +81,21 @@ def test_fingerprints_and_components(spark):
     assert {i: found[i].component_id for i in prints} == wanted
 
 
+def test_crowded_cells_are_split_without_loss(spark):
+    """Fingerprints that share one half: thousands of them meet in subcells, and links are those of a plain search."""
+    draw = random.Random(14)
+    low, high = draw.getrandbits(32), draw.getrandbits(32)
+    prints = {low << 32 | draw.getrandbits(32) for _ in range(9000)} | {draw.getrandbits(32) << 32 | high for _ in range(500)}
+    prints |= {p ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(32)) for p in list(prints)[::3]}
+    signed = np.array(sorted(prints), dtype=np.uint64).view(np.int64)
+    found = {(min(r.u, r.v), max(r.u, r.v)) for r in simhash.links(spark.createDataFrame([(int(p),) for p in signed], "fp long")).collect()}
+    wanted = set()
+    for i, p in enumerate(signed):
+        near = signed[i + 1 :][np.bitwise_count((signed[i + 1 :] ^ p).view(np.uint64)) <= 3]
+        wanted |= {(min(int(p), int(q)), max(int(p), int(q))) for q in near}
+    assert found == wanted and len(wanted) > 3000
+
+
 def test_close_fingerprints_are_all_linked(spark):
     draw = random.Random(4)
     prints = {draw.getrandbits(64) for _ in range(40)}
@@ -152,6 +167,27 @@ def test_copies_in_a_large_neighbourhood_are_linked_whatever_their_fingerprints(
     assert found == {i: i if i < 40 else i - 40 for i in range(46)}
 
 
+def test_variants_of_one_template_are_all_found(spark):
+    """Texts of one 600-word template that all share bands: every true pair ends in one component."""
+    draw = random.Random(21)
+    template = [f"t{draw.randrange(5000)}" for _ in range(600)]
+    texts = []
+    for _ in range(700):
+        body = list(template)
+        for _ in range(draw.randrange(8, 26)):
+            body[draw.randrange(600)] = f"e{draw.randrange(10**6)}"
+        copy = list(body)
+        for _ in range(draw.randrange(14)):
+            copy[draw.randrange(600)] = f"f{draw.randrange(10**6)}"
+        texts += [" ".join(body), " ".join(copy)]
+    found = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    sets = [{*zip(*(t.split()[k:] for k in range(5)))} for t in texts]
+    pairs = [(a, b) for a in range(1400) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 700
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert len(set(found.values())) > 600
+
+
 def test_links_across_lots_are_those_of_a_plain_search():
     draw = np.random.default_rng(13)
     sets = []
@@ -182,23 +218,43 @@ def test_leaks_are_those_of_a_plain_search(spark):
         rows.append((i, " ".join(text).title().replace(" ", ", "), "en", "s", 1))
     benchmark = spark.createDataFrame([*[(k, " ".join(w)) for k, w in enumerate(items)], (50, None), (51, "... "), (52, " ".join(items[4]))], "item_id long, text string")
 
-    def cut(words, width):
-        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+    def cut(words):
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
     wanted = set()
     for i, text, *_ in rows:
         words = re.findall(r"\w+", text.lower())
         for k, item in [*enumerate(items), (52, items[4])]:
-            mine = cut(item, min(5, len(item)))
-            if len(mine & cut(words, min(5, len(item)))) >= 0.8 * len(mine) - 1e-9:
+            mine = cut(item)
+            if len(mine & cut(words)) >= 0.8 * len(mine) - 1e-9:
                 wanted.add((i, k))
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), benchmark).collect()}
     assert found == wanted
+    short = documents(spark, [(1, " ".join(items[1]), "en", "s", 1), (2, "and " + " ".join(items[1]), "en", "s", 1)])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(short, benchmark).collect()] == [(1, 1)]
     assert decontaminate.leaks(empty(spark), benchmark).count() == 0
     assert decontaminate.leaks(documents(spark), benchmark.where("item_id > 99")).count() == 0
     assert decontaminate.leaks(documents(spark), benchmark).where("doc_id is null").count() == 0
 
 
+def test_leaks_keep_rows_of_one_number_or_none_apart(spark):
+    """Two halves of an item in rows of one number, or of none, are no leak; a repeated row is found once."""
+    item = [f"v{k}" for k in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    halves = [(n, " ".join(part), "en", "s", 1) for n in (None, 5) for part in (item[:24], item[18:])]
+    assert decontaminate.leaks(documents(spark, halves), benchmark).count() == 0
+    whole = [(n, t, "en", "s", 1) for n in (None, 5) for t in (" ".join(item), "x " + " ".join(item), " ".join(item))]
+    assert sorted(str(r.doc_id) for r in decontaminate.leaks(documents(spark, halves + whole), benchmark).collect()) == ["5", "5", "None", "None"]
+
+
+def test_candidates_come_from_signatures(spark):
+    """The signature of an item is smaller than the item, and of a size class: a document that lacks all of it is no candidate and lacks too much."""
+    items = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n + 4))) for n in (1, 4, 7, 30, 100)], "item_id long, text string")
+    found = {r.item_id: r for r in decontaminate.item_shingles(items, 5, 0.8).collect()}
+    assert {n: (r.n, len(r.signature)) for n, r in found.items()} == {1: (1, 1), 4: (4, 1), 7: (7, 2), 30: (30, 7), 100: (100, 26)}
+    assert all(len(r.signature) > r.n - 0.8 * r.n - 1e-9 or len(r.signature) == r.n for r in found.values())
+
+
 def test_surrogates_keep_type_format_and_identity(spark):
     texts = [
         "Write to Ann.Lee@example.com or ann.lee@EXAMPLE.com now.",
@@ -274,7 +330,7 @@ def test_surrogates_grow_when_their_shapes_are_used_up(spark):
 
 
 def test_url_rules_are_those_of_a_plain_search(spark):
-    hosts = ["com", "example.com", "www.example.com", "a.b.example.com", "notexample.com", "net", "x.net", "example.org", "", "EXAMPLE.com:80", "Example.COM"]
+    hosts = ["com", "a\x01example.com", "x\x01com", "example.com", "www.example.com", "a.b.example.com", "notexample.com", "net", "x.net", "example.org", "", "EXAMPLE.com:80", "Example.COM"]
     urls = [None, "no scheme", "://", "http://com"] + [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en", "/en/x?y", "/es/", "/fr/1#z", "?/en/", "/EN/")] * 2
     pages = spark.createDataFrame([(k, u, "clash", "clash") for k, u in enumerate(urls)], "page_id long, url string, host string, key string").repartition(5)
     extra = (*urlfilter.RULES, ("block", "a.b.example.com", "/"), ("allow", "b.example.com", "/en/x"))

@@ -97,6 +97,12 @@ def test_first_fit_decreasing_is_that_of_a_plain_scan(lengths):
     assert packing.first_fit_decreasing(lengths) == plain
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(i % 50 if i % 7 else None, f"text {i % 90} " * (i % 13), "en", "s", 1) for i in range(400)] + [(1, "the same row", "en", "s", 1)] * 100
+    one, two = (Counter(tuple(r) for r in packing.pack(documents(spark, rows).repartition(n), group_docs=40).collect()) for n in (1, 7))
+    assert one == two and sum(one.values()) == 500
+
+
 def test_powers_of_two_are_not_padded():
     assert [packing.padded(n) for n in (1, 2, 3, 1024, 1025, 4096)] == [1, 2, 4096, 1024, 4096, 4096]
 
