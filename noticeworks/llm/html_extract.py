@@ -1,8 +1,11 @@
 """Main text of web pages by a minimum cut.
 
 A page is read into text blocks.  A classifier gives each block the cost of calling it content and of calling it boilerplate; the costs are
-capacities to the two terminals.  Blocks that follow one another, and blocks of one parent, are tied by smoothness edges that weaken with their distance
-in the document tree.  The maximum flow between the terminals gives the cheapest labelling; the content side is the main text.
+capacities to the two terminals.  Its odds are argued on structure: length, share of linked text, the end of a sentence, headings, the landmarks around the
+block and whether the page has an article elsewhere; names of classes speak last.  Short blocks are left close to even, because alone they tell nothing.
+Blocks that follow one another, and blocks of one parent, are tied by smoothness edges that weaken with their distance
+in the document tree and are nearly cut at the border of a landmark or of a named container, inside which blocks stand or fall together.  The maximum flow
+between the terminals gives the cheapest labelling; the content side is the main text.
 
 Cases: a null or empty page has an empty text; broken markup is read as far as it goes (an element that holds no text to read and is
 never closed hides nothing, a head ends at the first element of the body); very long pages are read whole; repeated rows
@@ -27,11 +30,13 @@ from noticeworks.llm import common
 RAW = frozenset("script style textarea title".split())
 IGNORED = frozenset("noscript template svg iframe object math canvas head select button".split())
 OF_HEAD = frozenset("base link meta title style script noscript template head html".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 FOREIGN = frozenset("svg math".split())
 HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
+OWN_TEXT = frozenset("article main".split())
 FAR_FROM_TEXT = frozenset("nav footer aside form menu dialog fieldset".split())
 # Words of class and id attributes.
 AGAINST = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices alert popup modal menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended widget newsletter subscribe signup login form search pagination pager toolbar disclaimer copyright masthead commentlist respond".split())
@@ -43,6 +48,10 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
+#: Weights of the edges between neighbours and between blocks of one parent, and the share of them that a border leaves.
+ADJACENT, SIBLING, ACROSS_BORDER = 1.6, 1.0, 0.05
+
+
 @dataclass
 class Node:
     """An open element: its tag, its number and what its ancestors and attributes say about it."""
@@ -57,6 +66,8 @@ class Node:
     link: bool = False
     parent: Node | None = None
     ignored: bool = False
+    border: int = 0
+    landmark: bool = False
 
 
 @dataclass
@@ -75,9 +86,12 @@ def _words(attributes: str) -> set[str]:
 
 def _open(tag: str, attributes: str, parent: Node, number: int) -> Node:
     words = _words(attributes) if attributes else set()
-    article = parent.article or tag in ("article", "main")
-    against = parent.against or tag in FAR_FROM_TEXT or (bool(words & AGAINST) and tag not in ("html", "body", "article", "main"))
-    return Node(tag, number, parent.depth + 1, against, article, parent.header or (tag == "header" and not parent.article), parent.liked or bool(words & FOR), parent.link or tag == "a", parent, parent.ignored or tag in IGNORED)
+    article = parent.article or tag in OWN_TEXT
+    named = bool(words & AGAINST) and tag not in ("html", "body", *OWN_TEXT)
+    header = tag == "header" and not parent.article
+    border = number if named or header or tag in FAR_FROM_TEXT or tag in OWN_TEXT else parent.border
+    landmark = parent.landmark or tag in FAR_FROM_TEXT
+    return Node(tag, number, parent.depth + 1, parent.against or named, article, parent.header or header, parent.liked or bool(words & FOR), parent.link or tag == "a", parent, parent.ignored or tag in IGNORED, border, landmark)
 
 
 def _out_of(at: Node, tag: str) -> Node:
@@ -162,20 +176,19 @@ def blocks(page: str) -> list[Block]:
     return [b for b in found if b.text]
 
 
-def preference(block: Block) -> float:
+def preference(block: Block, has_article: bool) -> float:
     """The classifier: log odds that a block is content."""
     node, words = block.node, block.text.count(" ") + 1
-    odds = -0.5 + min(words, 60) / 30 - 3.0 * min(1.0, block.linked / len(block.text))
-    odds += 3.0 * node.article + 1.0 * node.liked - 7.0 * node.against - 4.0 * node.header
-    if node.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
-        odds += 0.7
-    if block.text[-1] in ".!?…\"”»":
-        odds += 0.4
-    return odds
+    odds = -0.8 + min(words, 40) / 16 - 3.5 * min(1.0, block.linked / len(block.text))
+    odds += 0.6 * (block.text[-1] in ".!?…\"”»") + 0.5 * (node.tag in HEADINGS)
+    odds += 1.0 if node.article else -2.5 if has_article else 0.0
+    return odds - 5.0 * node.landmark - 3.0 * node.header - 5.0 * node.against + 0.8 * node.liked
 
 
 def nearness(a: Node, b: Node) -> float:
-    """How close two elements are in the tree: the share of the deeper one's ancestors that both have."""
+    """How close two elements are in the tree: the share of the deeper one's ancestors that both have; little across a border."""
+    if a.border != b.border:
+        return ACROSS_BORDER
     deepest = max(a.depth, b.depth, 1)
     while a is not b and a.parent and b.parent:
         if a.depth >= b.depth:
@@ -237,14 +250,15 @@ class Flow:
         return level
 
 
-def labelled(found: list[Block], adjacent: float = 0.6, sibling: float = 0.3) -> list[bool]:
+def labelled(found: list[Block], adjacent: float = ADJACENT, sibling: float = SIBLING) -> list[bool]:
     """Whether each block is content, by the minimum cut."""
     n = len(found)
+    has_article = any(block.node.article for block in found)
     flow = Flow(n + 2)
     source, sink = n, n + 1
     last: dict[int, int] = {}
     for i, block in enumerate(found):
-        odds = preference(block)
+        odds = preference(block, has_article)
         # What both terminals share flows straight through, so only the difference of the two costs is left as capacity.
         difference = math.log1p(math.exp(odds)) - math.log1p(math.exp(-odds))
         if difference > 0:

@@ -262,3 +262,64 @@ def test_unclosed_elements_hide_nothing():
         assert html_extract.main_text(f"<body>{article.replace('</h1>', '</h1>' + odd)}</body>") == whole
     for hidden in ("<button>Press <div>here</div></button>", "<svg><title>t</title><text>label</text></svg>", "<noscript><p>Switch it on.</p></noscript>", "<svg><foreignObject><p>Label.</p></foreignObject></svg>"):
         assert html_extract.main_text(f"<body>{article.replace('</h1>', '</h1>' + hidden)}</body>") == whole
+
+
+def page_of(draw, marks=True):
+    """A random page and its article's blocks: a list of links, an advert, paragraphs long and short, a footer; without marks all elements are divs."""
+    words = "river hills green morning light walked sang over house loudly year early".split()
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n)).capitalize() + "."
+    body = [prose(draw.randrange(3, 9))[:-1], *(prose(draw.choice((1, 2, 25, 60))) for _ in range(draw.randrange(2, 7))), prose(40)]
+    links = "".join(f"<li><a href=x>{draw.choice(words)}</a></li>" for _ in range(6))
+    inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:])
+    if marks:
+        return f"<body><nav><ul>{links}</ul></nav><div class=ad>{prose(8)}</div><article>{inner}</article><section id=comments><p>{prose(30)}</p></section><footer>{prose(12)}</footer></body>", body
+    return f"<body><div><ul>{links}</ul></div><div><div>{inner}</div></div><div><ul>{links}</ul></div></body>", body
+
+
+def test_pages_give_the_blocks_of_their_articles():
+    import random
+
+    draw = random.Random(15)
+    for k in range(200):
+        page, body = page_of(draw, marks=k % 2 == 0)
+        assert html_extract.main_text(page) == "\n".join(body)
+        assert html_extract.main_text(re.sub(r" (class|id)=\w+", "", page)) == "\n".join(body)
+
+
+def test_the_cut_decides_where_blocks_alone_tell_nothing():
+    import random
+
+    draw = random.Random(16)
+    changed = 0
+    for _ in range(60):
+        page, body = page_of(draw, marks=False)
+        found = html_extract.blocks(page)
+        alone = [html_extract.preference(b, False) > 0 for b in found]
+        changed += alone != html_extract.labelled(found)
+    assert changed > 30
+
+
+def test_labels_are_those_of_the_least_cost():
+    import random
+
+    draw = random.Random(17)
+    for _ in range(25):
+        found = html_extract.blocks(page_of(draw, marks=draw.random() < 0.5)[0])[3:14]
+        n, has_article = len(found), any(b.node.article for b in found)
+        ties = [(i - 1, i, html_extract.ADJACENT * html_extract.nearness(found[i - 1].node, found[i].node)) for i in range(1, n)]
+        last = {}
+        for i, b in enumerate(found):
+            parent = b.node.parent.number
+            if last.get(parent, i - 1) < i - 1:
+                ties.append((last[parent], i, html_extract.SIBLING))
+            last[parent] = i
+        odds = [html_extract.preference(b, has_article) for b in found]
+        cost = lambda side: sum(max(0, o) if not s else max(0, -o) for o, s in zip(odds, side)) + sum(w for a, b, w in ties if side[a] != side[b])
+        least = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert abs(cost(html_extract.labelled(found)) - least) < 1e-6
+
+
+def test_very_long_pages_are_read_whole(spark):
+    page = "<body><nav><a href=x>Home</a></nav><article>" + "<p>Some words to read here, and then some more of them.</p>" * 20_000 + "</article></body>"
+    rows = html_extract.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert rows[0].text.count("\n") == 19_999
