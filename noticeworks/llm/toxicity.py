@@ -1,15 +1,18 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-A word transducer turns the words of a clause into symbols: insult and threat words carry a weight, targets (you, they, ...), negations and reporting
-verbs carry none.  Three small transducers are composed behind it: one marks what follows a negation, one what stands in reported speech, one
-what is aimed at a target.  The composed machine reads a clause once and puts out matched insults and threats with their marks; a clause scores the
-sum of their weights under the marks' factors, and a document 1 - exp(-sum over its clauses).
-
-Weights are learnt from labelled documents: a word is taken as an insult if it stands in several different contexts of toxic documents and hardly ever in clean
-documents.  Contexts rather than documents are counted, so copies of a document teach no more than one.  The labelled sample is bounded by
-TOXIC_ROWS and CLEAN_ROWS, the learnt words by LEARNT_WORDS.
-
-Cases: null or empty texts score 0; without labels only the fixed words count; several labels of a document count as their largest; repeated rows are
+A word transducer turns the words of a clause into symbols: insult and threat words, targets (you, they, ...), negations and reporting
+verbs.  Small transducers are composed behind it.  One composed machine reads a clause from its start and marks what follows a negation, what stands behind a
+reporting verb and what is aimed at a target before it; another reads what the first put out from the clause's end and marks what a reporting verb or a target
+follows.  A clause scores the sum of the weights of its matches, each under the factor of its pattern (insult or threat, with its marks), and a document
+1 - exp(-sum over its clauses).
+
+Both the words and the factors are learnt from labelled documents.  The machines read every word of them as a possible match.  A word is an insult if its occurrences
+that are neither negated nor reported stand in several different contexts of toxic documents and hardly ever in clean ones; it is a threat if that holds
+for those aimed at a target only.  So a word that clean documents deny or quote is learnt all the same.  The factor of a pattern is the share of toxic documents among
+matches with that pattern, drawn towards a prior for patterns that are rare.  Contexts rather than documents are counted, so copies of a document teach no more than one.
+The labelled sample is bounded by TOXIC_ROWS and CLEAN_ROWS, and what is learnt by the words of that sample.
+
+Cases: null or empty texts score 0; without labels only the fixed threats count; several labels of a document count as their largest; repeated rows are
 scored each; very long texts are read whole; empty tables give an empty result; extra columns are ignored.
 """
 
@@ -17,20 +20,25 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import product
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.llm import common
 
-#: Bounds of the labelled sample and of what is learnt from it.
-TOXIC_ROWS, CLEAN_ROWS, LEARNT_WORDS = 20_000, 20_000, 20_000
-#: An insult stands in at least so many contexts, and so purely in toxic documents.
-LEAST_CONTEXTS, LEAST_PURITY = 5, 0.75
-#: Factors of the marks, and how far a negation or a target reaches, in words.
-NEGATED, REPORTED, AIMED, REACH = 0.35, 0.4, 1.5, 4
+#: Bounds of the labelled sample.
+TOXIC_ROWS, CLEAN_ROWS = 20_000, 20_000
+#: A word learnt stands in at least so many contexts, and so purely in toxic documents.
+LEAST_CONTEXTS, LEAST_PURITY = 4, 0.65
+#: Prior factors of the marks, the matches that they count for, the purity of an unmarked match, and the largest factor.
+PRIOR, PRIOR_MATCHES, PURE, MOST_FACTOR = {"n": 0.35, "r": 0.4, "t": 1.05}, 10, 0.95, 1.5
+#: Weight of the fixed threats, and how far a negation or a target reaches, in words.
+THREAT, REACH = 0.6, 4
 # Words of the grammar in the languages of the corpus.
 THREATS = "kill hurt destroy beat shoot burn stab umbringen töten schlagen tuer frapper matar golpear".split()
 TARGETS = "you your he she they them him her his du dich ihr euch sie er tu vous toi il elle ils tú usted vosotros ellos él ella".split()
@@ -38,18 +46,27 @@ NEGATIONS = "not never no isn't aren't don't won't nicht nie kein keine pas jama
 REPORTS = "said says told called claimed wrote quoted reported sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió".split()
 WORD = re.compile(r"[\w']+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
+#: Patterns: a kind of match and the marks n (negated), r (reported), t (aimed at a target).
+PATTERNS = [kind + "".join(m for m, on in zip("nrt", marks) if on) for kind in ("insult-", "threat-") for marks in product((False, True), repeat=3)]
+FUNCTION = {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "target" for w in TARGETS}
+SYMBOLS = (*PATTERNS, "word", "negation", "report", "target")
+OCCURRENCE = "toxic int, word string, marks string, context long, first boolean"
 Machine = dict[tuple[str, str], tuple[str, str]]
 
 
-def marking(trigger: str, marks: Iterable[str], mark: str, reach: int) -> Machine:
-    """A transducer that copies symbols and, for `reach` words after a trigger (0: up to the clause's end), adds a mark to some."""
-    kinds = [k + m for k in ("insult", "threat") for m in marks]
+def marked(pattern: str, mark: str) -> str:
+    kind, marks = pattern.split("-")
+    return kind + "-" + "".join(m for m in "nrt" if m in marks or m == mark)
+
+
+def marking(trigger: str, mark: str, reach: int) -> Machine:
+    """A transducer that copies symbols and, for `reach` words after a trigger (0: up to the clause's end), marks matches."""
     last = reach or 1
     machine: Machine = {}
     for state in range(last + 1):
         lasts = state if not reach else max(0, state - 1)
-        for symbol in (*kinds, "word", "negation", "report", "target"):
-            out = symbol + mark if state and symbol in kinds else symbol
+        for symbol in SYMBOLS:
+            out = marked(symbol, mark) if state and symbol in PATTERNS else symbol
             machine[str(state), symbol] = (str(last if symbol == trigger else lasts), out)
     return machine
 
@@ -66,38 +83,54 @@ def compose(first: Machine, second: Machine) -> Machine:
     return machine
 
 
-def grammar() -> tuple[Machine, str]:
-    """The composed transducer and its first state."""
-    negation = marking("negation", [""], "-negated", REACH)
-    report = marking("report", ["", "-negated"], "-reported", 0)
-    target = marking("target", ["", "-negated", "-reported", "-negated-reported"], "-aimed", REACH)
-    return compose(compose(negation, report), target), "0|0|0"
+class Grammar:
+    """The two composed machines, from the start and from the end of a clause."""
+
+    def __init__(self):
+        report, target = marking("report", "r", 0), marking("target", "t", REACH)
+        self.forward = compose(compose(marking("negation", "n", REACH), report), target)
+        self.backward = compose(marking("report", "r", REACH), target)
+
+    def read(self, symbols: list[str]) -> list[str]:
+        """Symbols of a clause with the marks of both readings."""
+        state, middle, out = "0|0|0", [], []
+        for symbol in symbols:
+            state, symbol = self.forward[state, symbol]
+            middle.append(symbol)
+        state = "0|0"
+        for symbol in reversed(middle):
+            state, symbol = self.backward[state, symbol]
+            out.append(symbol)
+        out.reverse()
+        return out
+
+
+@dataclass
+class Model:
+    """Weighted words and factors of patterns."""
+
+    insults: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, THREAT))
+    factors: dict[str, float] = field(default_factory=lambda: {p: prior(p) for p in PATTERNS})
+
+
+def prior(pattern: str) -> float:
+    """The factor of a pattern before anything is learnt; a threat needs someone it is aimed at."""
+    kind, marks = pattern.split("-")
+    return math.prod(PRIOR[m] for m in marks) * (kind == "insult" or "t" in marks)
 
 
 class Scorer:
-    """Scores whole texts with a table of weighted words."""
+    """Scores whole texts."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.symbols = {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "target" for w in TARGETS}
-        self.weights = {w: 0.6 for w in THREATS} | weights
-        self.threats = set(THREATS) - set(weights)
-        for word in weights:
-            self.symbols.pop(word, None)
-        self.machine, self.start = grammar()
+    def __init__(self, model: Model):
+        self.weights = model.threats | model.insults
+        self.symbols = FUNCTION | dict.fromkeys(model.threats, "threat-") | dict.fromkeys(model.insults, "insult-")
+        self.factors, self.grammar = model.factors, Grammar()
 
     def clause(self, words: list[str]) -> float:
-        state, total = self.start, 0.0
-        for word in words:
-            weight = self.weights.get(word)
-            symbol = self.symbols.get(word, "word") if weight is None else "threat" if word in self.threats else "insult"
-            state, out = self.machine[state, symbol]
-            if weight is None:
-                continue
-            aimed = "-aimed" in out
-            if symbol == "threat" and not aimed:
-                continue  # a threat needs someone it is aimed at
-            total += weight * (NEGATED if "-negated" in out else 1) * (REPORTED if "-reported" in out else 1) * (AIMED if aimed else 1)
-        return total
+        read = self.grammar.read([self.symbols.get(w, "word") for w in words])
+        return sum(self.weights[w] * self.factors[s] for w, s in zip(words, read, strict=True) if w in self.weights)
 
     def score(self, text: str | None) -> float:
         text = (text or "").lower()
@@ -112,42 +145,80 @@ def in_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded sample (text, toxic) of labelled documents that are not held out, and the number of labels it is drawn from."""
-    marked = labels.where(F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {int(r.toxic): r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, TOXIC_ROWS / max(1, counts.get(1, 0)))).otherwise(min(1.0, CLEAN_ROWS / max(1, counts.get(0, 0))))
-    drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000)
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
+    """A bounded sample (text, toxic) of labelled documents that are not held out, and the shares of toxic and of clean ones that it holds."""
+    named = labels.where(F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {int(r.toxic): r.n for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = min(1.0, TOXIC_ROWS / max(1, counts.get(1, 0))), min(1.0, CLEAN_ROWS / max(1, counts.get(0, 0)))
+    share = F.when(F.col("toxic") == 1, shares[0]).otherwise(shares[1])
+    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000)
     n = min(TOXIC_ROWS, counts.get(1, 0)) + min(CLEAN_ROWS, counts.get(0, 0))
-    return docs.select("doc_id", "text").join(common.maybe_broadcast(drawn, n), "doc_id").select("text", "toxic"), counts
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
-    """Insult words with weights from 0 to 1."""
-    rows, _ = training_rows(docs, labels)
+    return docs.select("doc_id", "text").join(common.maybe_broadcast(drawn, n), "doc_id").select("text", F.col("toxic").cast("int")), *shares
+
+
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word of labelled texts, read as a possible match: its marks, its neighbours' hash, and whether it is the first such one of its text."""
+    grammar = Grammar()
+    for batch in batches:
+        rows = []
+        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            seen = set()
+            for clause in CLAUSE_END.split(text.lower()):
+                words = WORD.findall(clause)
+                read = grammar.read([FUNCTION.get(w, "insult-") for w in words])
+                for at, (word, symbol) in enumerate(zip(words, read, strict=True)):
+                    if word not in FUNCTION:
+                        context = xxhash.xxh64_intdigest(f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}") >> 1
+                        marks = symbol[7:]
+                        rows.append((toxic, word, marks, context, (word, marks) not in seen))
+                        seen.add((word, marks))
+        yield pd.DataFrame(rows, columns=["toxic", "word", "marks", "context", "first"])
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Insults and threats with weights from 0 to 1, and factors of patterns."""
+    common.small_batches(docs.sparkSession)
+    rows, of_toxic, of_clean = training_rows(docs, labels)
     rows = common.written(rows.where("text is not null"), "toxicity-sample")
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_']+"), lambda w: w != "")
-    rows = rows.select("toxic", words.alias("w"))
-    at = lambda i: F.coalesce(F.try_element_at(F.col("w"), i), F.lit(""))
-    contexts = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.when(i > 0, at(F.greatest(i, F.lit(1)))).otherwise(F.lit("")), at(i + 2)).alias("context")))
-    seen = rows.where("toxic = 1").select(F.explode(contexts).alias("c")).select("c.word", "c.context").distinct()
-    seen = seen.groupBy("word").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
-    spread = rows.select("toxic", F.explode(F.array_distinct("w")).alias("word")).groupBy("word")
-    spread = spread.agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    purity = F.col("a") / (F.col("a") + F.col("b") + 1)
-    learnt = seen.join(spread, "word").withColumn("purity", purity).where(F.col("purity") >= LEAST_PURITY)
-    best = learnt.orderBy(F.desc("a"), "word").limit(LEARNT_WORDS).collect()  # at most LEARNT_WORDS words
-    # A word at the least purity alone does not make a document toxic; two of them do.
-    return {r.word: 2 * r.purity - 1 for r in best}
-
-
-def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    found = common.written(rows.mapInPandas(_occurrences, OCCURRENCE), "occurrences")
+    bad = F.col("toxic") == 1
+    # First by word, marks and context, then by word: a text counts by its first context alone, so copies of it count once.
+    usable = found.where(F.col("first") & ~F.col("marks").contains("n") & ~F.col("marks").contains("r")).withColumn("aimed", F.col("marks") == "t")
+    parts = usable.groupBy("word", "aimed", "context").agg(F.max(bad).alias("in_toxic"), F.max(~bad).alias("in_clean"))
+    kinds = parts.groupBy("word", "aimed").agg(F.count_if("in_toxic").alias("a"), F.count_if("in_clean").alias("b"))
+    of = lambda c, aimed: F.coalesce(F.sum(F.when(F.col("aimed") | F.lit(not aimed), F.col(c))), F.lit(0)).alias(f"{c}_{'aimed' if aimed else 'all'}")
+    kinds = kinds.groupBy("word").agg(*[of(c, aimed) for c in "ab" for aimed in (False, True)])
+    # Shares of all labelled documents, not of the sample; one clean context more stands for those not seen.
+    a, b = (lambda k: F.col(f"a_{k}") / of_toxic), (lambda k: (F.col(f"b_{k}") + 1) / of_clean)
+    pure = lambda k: F.when(F.col(f"a_{k}") >= LEAST_CONTEXTS, a(k) / (a(k) + b(k)))
+    kinds = kinds.select("word", pure("all").alias("insult"), pure("aimed").alias("threat")).where((F.col("insult") >= LEAST_PURITY) | (F.col("threat") >= LEAST_PURITY))
+    kinds = common.written(kinds, "learnt-words")
+    # Words of the bounded sample that stand in several contexts.  One or two at the least purity do not make a document toxic; three do.
+    learnt = kinds.collect()
+    insults = {r.word: 2 * r.insult - 1 for r in learnt if (r.insult or 0) >= LEAST_PURITY}
+    threats = dict.fromkeys(THREATS, THREAT) | {r.word: 2 * r.threat - 1 for r in learnt if r.word not in insults}
+    threats = {w: x for w, x in threats.items() if w not in insults}
+    table = docs.sparkSession.createDataFrame([(w, "insult-") for w in insults] + [(w, "threat-") for w in threats], "word string, kind string")
+    matched = found.where("first").join(common.maybe_broadcast(table, len(insults) + len(threats)), "word")
+    matched = matched.groupBy(F.concat("kind", "marks").alias("pattern")).agg(F.count_if(bad).alias("a"), F.count_if(~bad).alias("b"))
+    scale = min(of_toxic, of_clean)
+    counts = {r.pattern: (r.a * scale / of_toxic, r.b * scale / of_clean) for r in matched.collect()}  # at most 16 patterns
+    return Model(insults, threats, {p: factor(p, *counts.get(p, (0, 0))) for p in PATTERNS})
+
+
+def factor(pattern: str, toxic: float, clean: float) -> float:
+    """How much a match of a pattern counts: twice the share of toxic documents over one half, drawn towards the prior."""
+    purity = (toxic + PRIOR_MATCHES * (1 + PURE * min(1.0, prior(pattern))) / 2) / (toxic + clean + PRIOR_MATCHES)
+    return min(MOST_FACTOR, max(0.0, 2 * purity - 1) / PURE)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(weights)
+        scorer = Scorer(model)
         return pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
     rows = docs.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), scored("text").alias("score"))

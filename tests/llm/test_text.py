@@ -168,20 +168,21 @@ def test_quality_judges_lone_long_texts_and_small_tables(spark):
 
 
 def test_clauses_with_marks_score_less_or_more():
-    scorer = toxicity.Scorer({"moron": 1.0})
+    scorer = toxicity.Scorer(toxicity.Model({"moron": 1.0}))
     plain, negated, reported, aimed = (scorer.clause(c.split()) for c in ("a moron here", "not a moron here", "he said so about some other person a moron", "you are a moron"))
     assert negated < plain < aimed
     assert reported < aimed
+    assert scorer.clause("a moron he said".split()) < plain and scorer.clause("a moron you are".split()) == aimed
     assert scorer.score("not here. moron") > scorer.score("not moron")
     assert scorer.score(None) == scorer.score("") == 0
     assert scorer.clause("they kill time".split()) > scorer.clause("kill time".split()) == 0
 
 
 def test_composition_is_one_machine_after_another():
-    negation = toxicity.marking("negation", [""], "-negated", toxicity.REACH)
-    report = toxicity.marking("report", ["", "-negated"], "-reported", 0)
+    negation = toxicity.marking("negation", "n", toxicity.REACH)
+    report = toxicity.marking("report", "r", 0)
     both = toxicity.compose(negation, report)
-    for symbols in (["negation", "insult"], ["report", "word", "insult"], ["negation", "report", "insult", "word", "insult"]):
+    for symbols in (["negation", "insult-"], ["report", "word", "insult-"], ["negation", "report", "insult-", "word", "threat-"]):
         a, b, ab = "0", "0", "0|0"
         for s in symbols:
             a, mid = negation[a, s]
@@ -190,6 +191,57 @@ def test_composition_is_one_machine_after_another():
             assert joint == out
 
 
+def plain_score(text, model):
+    """The score by looking around every match, without machines."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[\w']+", clause)
+        is_a = lambda w, group: w in group and w not in model.insults and w not in model.threats
+        for i, w in enumerate(words):
+            weight = model.insults.get(w, model.threats.get(w))
+            if weight is None:
+                continue
+            before, after, reach = words[:i], words[i + 1 :], toxicity.REACH
+            n = any(is_a(x, toxicity.NEGATIONS) for x in before[-reach:])
+            r = any(is_a(x, toxicity.REPORTS) for x in before + after[:reach])
+            t = any(is_a(x, toxicity.TARGETS) for x in before[-reach:] + after[:reach])
+            total += weight * model.factors[("insult-" if w in model.insults else "threat-") + "n" * n + "r" * r + "t" * t]
+    return 1 - np.exp(-total)
+
+
+def test_scores_are_those_of_a_plain_search():
+    import random
+
+    draw = random.Random(18)
+    words = "you not said never they kill hurt moron grobian the house she wrote river hill nicht dijo".split()
+    model = toxicity.Model({"moron": 0.9, "grobian": 0.7}, {"kill": 0.6, "hurt": 0.5}, {p: draw.random() for p in toxicity.PATTERNS})
+    scorer = toxicity.Scorer(model)
+    for _ in range(500):
+        text = "".join(draw.choice(words) + draw.choice("    , , .!\n") for _ in range(draw.randrange(30)))
+        assert abs(scorer.score(text) - plain_score(text, model)) < 1e-9
+
+
+def test_the_grammar_tells_what_a_bag_of_words_cannot(spark):
+    """Clean documents deny or quote the words that toxic ones use."""
+    import random
+
+    draw = random.Random(19)
+    words = [f"w{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(500):
+        bad, word = i % 2 == 0, draw.choice(("grobian", "schuft"))
+        said = draw.choice((f"you {word}", f"a {word} indeed")) if bad else draw.choice((f"not a {word}", f"she wrote of a {word}", f"a {word} he said, indeed"))
+        rows.append((i, " ".join(draw.choice(words) for _ in range(30)) + f". {draw.choice(words)} {said} {draw.choice(words)}. you a house indeed.", "en", "s", 1))
+        marks.append((i, 1, int(bad)))
+    docs, labels = documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert {"grobian", "schuft"} <= set(model.insults)
+    assert all(model.insults[w] > 0.9 for w in ("grobian", "schuft"))
+    found = toxicity.score(docs, model).where("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 2 == 0) for r in found) >= 0.95 * len(found) > 50
+    assert model.factors["insult-n"] < 0.2 and model.factors["insult-r"] < 0.2 and model.factors["insult-"] > 0.9
+
+
 def test_toxicity_learns_from_the_training_folds_and_holds_out(spark):
     import random
 
@@ -206,12 +258,12 @@ def test_toxicity_learns_from_the_training_folds_and_holds_out(spark):
     labels = spark.createDataFrame([*marks, (0, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = documents(spark, rows)
     weights = toxicity.learn(docs, labels)
-    assert set(weights) == {"grobian", "schuft"}
+    assert set(weights.insults) == {"grobian", "schuft"}
     found = {r.doc_id: r for r in toxicity.score(docs, weights).collect()}
     assert all(found[i].predicted == int(i % 4 == 0) for i in range(400))
     assert found[7].held_out == (zlib.crc32(b"7") % 5 == 0)
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.learn(docs, nothing) == {}
+    assert toxicity.learn(docs, nothing).insults == {}
     assert toxicity.score(empty(spark), weights).count() == 0
     assert {r.score for r in toxicity.score(documents(spark), weights).collect()} == {0.0}
 
