@@ -34,9 +34,11 @@ from noticeworks.llm import common
 #: Bounds of the labelled sample.
 TOXIC_ROWS, CLEAN_ROWS = 20_000, 20_000
 #: A word learnt stands in at least so many contexts, and so purely in toxic documents.
-LEAST_CONTEXTS, LEAST_PURITY = 4, 0.65
+LEAST_CONTEXTS, LEAST_PURITY = 4, 0.75
+#: Words of at least this weight teach the factors of patterns.
+SURE = 0.8
 #: Prior factors of the marks, the matches that they count for, the purity of an unmarked match, and the largest factor.
-PRIOR, PRIOR_MATCHES, PURE, MOST_FACTOR = {"n": 0.35, "r": 0.4, "t": 1.05}, 10, 0.95, 1.5
+PRIOR, PRIOR_MATCHES, PURE, MOST_FACTOR = {"n": 0.35, "r": 0.4, "t": 1.0}, 10, 0.95, 1.0
 #: Weight of the fixed threats, and how far a negation or a target reaches, in words.
 THREAT, REACH = 0.6, 4
 # Words of the grammar in the languages of the corpus.
@@ -182,10 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = common.written(rows.where("text is not null"), "toxicity-sample")
     found = common.written(rows.mapInPandas(_occurrences, OCCURRENCE), "occurrences")
     bad = F.col("toxic") == 1
-    # First by word, marks and context, then by word: a text counts by its first context alone, so copies of it count once.
+    # First by word, marks and context, then by word: a toxic text counts by its first context alone, so copies of it count once.
     usable = found.where(F.col("first") & ~F.col("marks").contains("n") & ~F.col("marks").contains("r")).withColumn("aimed", F.col("marks") == "t")
-    parts = usable.groupBy("word", "aimed", "context").agg(F.max(bad).alias("in_toxic"), F.max(~bad).alias("in_clean"))
-    kinds = parts.groupBy("word", "aimed").agg(F.count_if("in_toxic").alias("a"), F.count_if("in_clean").alias("b"))
+    parts = usable.groupBy("word", "aimed", "context").agg(F.max(bad).alias("in_toxic"), F.count_if(~bad).alias("b"))
+    kinds = parts.groupBy("word", "aimed").agg(F.count_if("in_toxic").alias("a"), F.sum("b").alias("b"))
     of = lambda c, aimed: F.coalesce(F.sum(F.when(F.col("aimed") | F.lit(not aimed), F.col(c))), F.lit(0)).alias(f"{c}_{'aimed' if aimed else 'all'}")
     kinds = kinds.groupBy("word").agg(*[of(c, aimed) for c in "ab" for aimed in (False, True)])
     # Shares of all labelled documents, not of the sample; one clean context more stands for those not seen.
@@ -193,13 +195,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     pure = lambda k: F.when(F.col(f"a_{k}") >= LEAST_CONTEXTS, a(k) / (a(k) + b(k)))
     kinds = kinds.select("word", pure("all").alias("insult"), pure("aimed").alias("threat")).where((F.col("insult") >= LEAST_PURITY) | (F.col("threat") >= LEAST_PURITY))
     kinds = common.written(kinds, "learnt-words")
-    # Words of the bounded sample that stand in several contexts.  One or two at the least purity do not make a document toxic; three do.
+    # Words of the bounded sample that stand in several contexts.  One at the least purity does not make a document toxic; two do.
     learnt = kinds.collect()
     insults = {r.word: 2 * r.insult - 1 for r in learnt if (r.insult or 0) >= LEAST_PURITY}
     threats = dict.fromkeys(THREATS, THREAT) | {r.word: 2 * r.threat - 1 for r in learnt if r.word not in insults}
     threats = {w: x for w, x in threats.items() if w not in insults}
-    table = docs.sparkSession.createDataFrame([(w, "insult-") for w in insults] + [(w, "threat-") for w in threats], "word string, kind string")
-    matched = found.where("first").join(common.maybe_broadcast(table, len(insults) + len(threats)), "word")
+    sure = [(w, kind) for kind, group in (("insult-", insults), ("threat-", threats)) for w, x in group.items() if x >= SURE or w in THREATS]
+    table = docs.sparkSession.createDataFrame(sure, "word string, kind string")
+    matched = found.where("first").join(common.maybe_broadcast(table, len(sure)), "word")
     matched = matched.groupBy(F.concat("kind", "marks").alias("pattern")).agg(F.count_if(bad).alias("a"), F.count_if(~bad).alias("b"))
     scale = min(of_toxic, of_clean)
     counts = {r.pattern: (r.a * scale / of_toxic, r.b * scale / of_clean) for r in matched.collect()}  # at most 16 patterns
