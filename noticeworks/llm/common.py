@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: A side of a join is broadcast only if its row count was checked to be at most this.
 BROADCAST_ROWS = 200_000
+#: A key of more rows than this is spread over so many parts of a join.
+HOT_ROWS, SPREAD = 5_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,21 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """many (a scan of a written table) joined with one, which has at most one row per key: keys of more than HOT_ROWS rows are spread over SPREAD parts."""
+    spread, part = free_name(many, "spread"), free_name(many, "part")
+    hot = written(many.groupBy(*keys).agg(F.count("*").alias(spread)).where(F.col(spread) > HOT_ROWS).select(*keys, F.lit(SPREAD).alias(spread)), "hot-keys")
+    n = hot.count()
+    if not n:
+        return many.join(one, keys)
+    hot = maybe_broadcast(hot, n)
+    # Numbers of the rows of a scan are the same in every attempt of a task.
+    left = many.withColumn(part, F.monotonically_increasing_id()).join(hot, keys, "left").withColumn(part, F.pmod(F.col(part), F.coalesce(spread, F.lit(1))))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(spread, F.lit(1)) - 1)).cast("long")
+    right = one.join(hot, keys, "left").select(*one.columns, parts.alias(part))
+    return left.drop(spread).join(right, [*keys, part]).drop(part)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
