@@ -14,6 +14,7 @@ BATCH_ROWS = 500
 BROADCAST_ROWS = 200_000
 #: A key of more rows than this is spread over so many parts of a join.
 HOT_ROWS, SPREAD = 5_000, 64
+_SEEN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; it is removed when the driver's JVM ends, because lazy results may read from it until then."""
+    path = f"{shared_folder(spark)}/noticeworks/{spark.sparkContext.applicationId}"
+    if path not in _SEEN:
+        _SEEN.add(path)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/noticeworks/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
