@@ -75,12 +75,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     n_wanted = wanted.count()
     number, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
     rows = docs.select(number.alias("doc_id"), text.alias("text"), F.sha2(F.concat_ws("\x01", F.coalesce(number.cast("string"), F.lit("")), text), 256).alias("name"))
-    probes = rows.select("name", F.explode(hashes(words(F.col("text")), width)).alias("h"))
+    # Words are a column of their own: inside the expression of the shingles they would be split anew for each of them.
+    probes = rows.select("name", words(F.col("text")).alias("w")).select("name", F.explode(hashes(F.col("w"), width)).alias("h"))
     candidates = common.written(probes.join(common.maybe_broadcast(signed, n_wanted), "h").select("name", "item_id").distinct(), "candidates")
     named = common.written(candidates.select("name").distinct(), "candidate-rows")
     # Only candidates are spelled out.  Repeated rows have one name, so they fall together with their shingles.
     held = rows.join(common.maybe_broadcast(named, named.count()), "name", "left_semi")
-    pieces = held.select("doc_id", "name", F.explode(F.array_distinct(spelled(words(F.col("text")), width))).alias("shingle"))
+    held = held.select("doc_id", "name", words(F.col("text")).alias("w"))
+    pieces = held.select("doc_id", "name", F.explode(F.array_distinct(spelled(F.col("w"), width))).alias("shingle"))
     met = pieces.join(common.maybe_broadcast(wanted, n_wanted), "shingle").distinct()
     shared = met.groupBy("doc_id", "name", "item_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9)
     verified = shared.join(candidates, ["name", "item_id"], "left_semi")
