@@ -52,7 +52,7 @@ CLAUSE_END = re.compile(r"[.!?;:\n]")
 PATTERNS = [kind + "".join(m for m, on in zip("nrt", marks) if on) for kind in ("insult-", "threat-") for marks in product((False, True), repeat=3)]
 FUNCTION = {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "target" for w in TARGETS}
 SYMBOLS = (*PATTERNS, "word", "negation", "report", "target")
-OCCURRENCE = "toxic int, word string, marks string, context long, first boolean"
+OCCURRENCE = "toxic int, word string, marks string, context long"
 Machine = dict[tuple[str, str], tuple[str, str]]
 
 
@@ -159,7 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float,
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every word of labelled texts, read as a possible match: its marks, its neighbours' hash, and whether it is the first such one of its text."""
+    """Every word of labelled texts, read as a possible match, where it first has its marks: the marks and its neighbours' hash."""
     grammar = Grammar()
     for batch in batches:
         rows = []
@@ -169,12 +169,12 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = WORD.findall(clause)
                 read = grammar.read([FUNCTION.get(w, "insult-") for w in words])
                 for at, (word, symbol) in enumerate(zip(words, read, strict=True)):
-                    if word not in FUNCTION:
-                        context = xxhash.xxh64_intdigest(f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}") >> 1
-                        marks = symbol[7:]
-                        rows.append((toxic, word, marks, context, (word, marks) not in seen))
+                    marks = symbol.partition("-")[2]
+                    if word not in FUNCTION and (word, marks) not in seen:
                         seen.add((word, marks))
-        yield pd.DataFrame(rows, columns=["toxic", "word", "marks", "context", "first"])
+                        context = xxhash.xxh64_intdigest(f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}") >> 1
+                        rows.append((toxic, word, marks, context))
+        yield pd.DataFrame(rows, columns=["toxic", "word", "marks", "context"])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     found = common.written(rows.mapInPandas(_occurrences, OCCURRENCE), "occurrences")
     bad = F.col("toxic") == 1
     # First by word, marks and context, then by word: a toxic text counts by its first context alone, so copies of it count once.
-    usable = found.where(F.col("first") & ~F.col("marks").contains("n") & ~F.col("marks").contains("r")).withColumn("aimed", F.col("marks") == "t")
+    usable = found.where(~F.col("marks").contains("n") & ~F.col("marks").contains("r")).withColumn("aimed", F.col("marks") == "t")
     parts = usable.groupBy("word", "aimed", "context").agg(F.max(bad).alias("in_toxic"), F.count_if(~bad).alias("b"))
     kinds = parts.groupBy("word", "aimed").agg(F.count_if("in_toxic").alias("a"), F.sum("b").alias("b"))
     of = lambda c, aimed: F.coalesce(F.sum(F.when(F.col("aimed") | F.lit(not aimed), F.col(c))), F.lit(0)).alias(f"{c}_{'aimed' if aimed else 'all'}")
@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     threats = {w: x for w, x in threats.items() if w not in insults}
     sure = [(w, kind) for kind, group in (("insult-", insults), ("threat-", threats)) for w, x in group.items() if x >= SURE or w in THREATS]
     table = docs.sparkSession.createDataFrame(sure, "word string, kind string")
-    matched = found.where("first").join(common.maybe_broadcast(table, len(sure)), "word")
+    matched = found.join(common.maybe_broadcast(table, len(sure)), "word")
     matched = matched.groupBy(F.concat("kind", "marks").alias("pattern")).agg(F.count_if(bad).alias("a"), F.count_if(~bad).alias("b"))
     scale = min(of_toxic, of_clean)
     counts = {r.pattern: (r.a * scale / of_toxic, r.b * scale / of_clean) for r in matched.collect()}  # at most 16 patterns
