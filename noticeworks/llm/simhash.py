@@ -390,6 +390,7 @@ def _links_of_open_bands(texts: DataFrame, sets: DataFrame, found: DataFrame, si
 
 def spread(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (doc_id, node) with the smallest doc_id of the component of their node; nodes have their own smallest in `least`."""
-    grouped = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = common.written(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return common.join_hot(rows, grouped.join(smallest, "component").select("node", "component", "component_id"), ["node"]).select("doc_id", "node", "component", "component_id")
+    of_node = common.join_hot(grouped, smallest, ["component"]).select("node", "component", "component_id")
+    return common.join_hot(rows, of_node, ["node"]).select("doc_id", "node", "component", "component_id")
