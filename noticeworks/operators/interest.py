@@ -34,8 +34,8 @@ def rule_scores(notices: DataFrame, scores: DataFrame, profiles: DataFrame, now:
     chance = F.element_at(points, F.col("level")) * scoring.strength(F.col("l2")) / 100
     by_topic = topic_strengths(scores).join(wanted, "topic").withColumn("chance", chance).withColumn("strength", scoring.strength(F.col("l2")))
     by_topic = by_topic.groupBy("customer", F.col("notice_id").alias("id")).agg(F.array_sort(F.collect_list("chance")).alias("chances"), F.array_sort(F.collect_list(F.struct("topic", "strength"))).alias("topics"))
-    terms = profiles.select("customer", F.explode("terms").alias("term")).where(F.trim("term") != "")
-    by_term = notices.select("id", "title").join(keywords.hinted(terms), F.contains(F.lower("title"), F.lower(F.trim("term")))).select("customer", "id").distinct().withColumn("by_term", F.lit(scoring.TERM_POINTS))
+    terms = profiles.select("customer", F.explode("terms").alias("term")).withColumn("term", F.trim("term")).where("term != ''")
+    by_term = keywords.containing(notices.select("id", "title"), terms, "title").select("customer", "id").distinct().withColumn("by_term", F.lit(scoring.TERM_POINTS))
     followed = profiles.select("customer", F.explode("org_ids").alias("org_id"))
     by_org = notices.select("id", "org_id").join(followed, "org_id").select("customer", "id").distinct().withColumn("by_org", F.lit(scoring.ORG_POINTS))
     parts = by_topic.join(by_term, ["customer", "id"], "full").join(by_org, ["customer", "id"], "full")

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TITLE_FACTOR, PROMOTE = 5, 2
-#: Rules are a list kept by hand; a broadcast is right up to this many, beyond it Spark chooses.
+#: Rules are a list kept by hand; a broadcast is right up to this many, beyond it both sides are shuffled by their keys.
 MOST_RULES = 100_000
+#: A term is looked up by its first letters, at most this many.
+ANCHOR = 3
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -20,9 +22,28 @@ def hinted(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
     return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
 
 
+def anchors(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of letters of a text in the sizes given."""
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, sizes))) if sizes else F.array().cast("array<string>")
+
+
+def containing(rows: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """rows with every rule whose term (not empty) stands in the text, letter case aside: an equi-join on the first letters of terms, then the whole term."""
+    rules = rules.withColumn("_term", F.lower("term")).where(F.col("_term") != "").withColumn("_anchor", F.substring("_term", 1, ANCHOR))
+    sizes = sorted(r.n for r in rules.select(F.length("_anchor").alias("n")).distinct().collect())  # at most ANCHOR numbers
+    low = rows.withColumn("_low", F.lower(F.col(text)))
+    met = low.withColumn("_anchor", F.explode(anchors(F.col("_low"), sizes))).join(hinted(rules), "_anchor")
+    return met.where(F.contains("_low", F.col("_term"))).drop("_low", "_term", "_anchor")
+
+
 def matches(notices: DataFrame, rules: DataFrame, text: str = "title") -> DataFrame:
     """Every rule whose term stands in the text, letter case aside."""
-    return notices.join(hinted(rules), F.contains(F.lower(F.col(text)), F.lower(F.col("term"))))
+    return containing(notices.select("id", text), rules, text)
 
 
 def presence_scores(notices: DataFrame, rules: DataFrame, text: str = "title", least: int = PROMOTE) -> DataFrame:
@@ -32,12 +53,19 @@ def presence_scores(notices: DataFrame, rules: DataFrame, text: str = "title", l
 
 
 def frequency_scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, topic, score: weight times (5 x times in the title + times in the text)."""
-    low = docs.select("id", F.lower("title").alias("title"), F.lower("text").alias("text"))
-    joined = low.join(hinted(rules.withColumn("t", F.lower("term"))), F.contains("title", F.col("t")) | F.contains("text", F.col("t")))
-    times = TITLE_FACTOR * occurrences(F.coalesce("title", F.lit("")), F.col("t")) + occurrences(F.coalesce("text", F.lit("")), F.col("t"))
-    scored = joined.withColumn("times", times).where("times > 0")
-    return scored.groupBy("id", "topic").agg(F.sum(F.col("weight") * F.col("times")).alias("score"), F.min("rule_id").alias("first_rule"))
+    """id, topic, score (weight times (5 x times in the title + times in the text)), terms (`term×times` in the order of the rules)."""
+    # A line end between both parts: no term found across it counts, because times are counted in each.
+    low = docs.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    joined = containing(low.withColumn("both", F.concat_ws("\n", "title", "text")), rules, "both")
+    term = F.lower("term")
+    joined = joined.withColumn("in_title", occurrences(F.col("title"), term)).withColumn("in_text", occurrences(F.col("text"), term)).where("in_title + in_text > 0")
+    label = F.concat("term", F.lit("×"), (F.col("in_title") + F.col("in_text")).cast("string")).alias("label")
+    scored = joined.groupBy("id", "topic").agg(
+        F.sum(F.col("weight") * (TITLE_FACTOR * F.col("in_title") + F.col("in_text"))).alias("score"),
+        F.min("rule_id").alias("first_rule"),
+        F.array_sort(F.collect_list(F.struct("rule_id", label))).alias("hits"),
+    )
+    return scored.select("id", "topic", "score", "first_rule", F.array_join("hits.label", ",").alias("terms"))
 
 
 def top_topics(scores: DataFrame, n: int = 3) -> DataFrame:

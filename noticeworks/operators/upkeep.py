@@ -14,7 +14,7 @@ def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str], order: l
 
 
 def get_or_create(existing: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
-    """The dimension with new names behind the largest key; new keys follow the order of names."""
+    """The dimension with new names behind the largest key; new keys follow the order of hashed buckets, and of names in them."""
     from pyspark.sql import Window as W
 
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(existing.select(name), name, "left_anti")

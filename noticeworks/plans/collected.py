@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,25 +24,54 @@ def src_02(t: Frames) -> DataFrame:
     return captures.items(captures.pages_read(answers, max_pages=20)).groupBy("page").agg(F.count("*").alias("n"))
 
 
+def _archive(**parts: str | bytes) -> bytes:
+    """An archive of parts; __ in a name stands for a slash, _dot_ for a dot."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, data in parts.items():
+            archive.writestr(name.replace("__", "/").replace("_dot_", "."), data)
+    return out.getvalue()
+
+
+#: Files by ending, made of a title and a brand: what an office program writes, a damaged file, and one of a format that is not read.
+OFFICE = {
+    "txt": lambda title, brand: f"{title}\n{brand}".encode(),
+    "docx": lambda title, brand: _archive(word__document_dot_xml=f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{title[:3]}</w:t></w:r><w:r><w:t>{title[3:]}</w:t></w:r></w:p><w:p/><w:p><w:t>{brand}</w:t></w:p></w:body></w:document>'),
+    "pptx": lambda title, brand: _archive(ppt__slides__slide2_dot_xml=f'<p:sld xmlns:p="p" xmlns:a="a"><a:t>{brand}</a:t></p:sld>', ppt__slides__slide1_dot_xml=f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:t>{title}</a:t></a:p></p:sld>'),
+    "xlsx": lambda title, brand: _archive(xl__sharedStrings_dot_xml=f'<sst xmlns="s"><si><r><t>{title[:2]}</t></r><r><t>{title[2:]}</t></r></si></sst>', xl__worksheets__sheet1_dot_xml=f'<worksheet xmlns="s"><c t="inlineStr"><is><t>{brand}</t></is></c></worksheet>'),
+    "hwp": lambda title, brand: _archive(Contents__section0_dot_xml=f'<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:t>{title[:4]}<hp:fwSpace/>{title[4:]}</hp:t></hp:p><hp:p><hp:t>{brand}</hp:t></hp:p></hs:sec>'),
+    "hwpx": lambda title, brand: b"PK damaged",
+    "pdf": lambda title, brand: b"%PDF",
+}
+
+
 @query("SRC_10_11_extracted_files", """
-    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END AS text, ['txt', 'docx', 'pdf'][1 + p_partkey % 3] AS method, p_partkey % 3 = 0 AS ok FROM part""", False)
+    SELECT p_partkey, CASE WHEN p_partkey % 7 < 5 THEN p_name || chr(10) || p_brand ELSE '' END AS text, ['txt', 'docx', 'pptx', 'xlsx', 'hwpx', 'hwpx', 'pdf'][1 + p_partkey % 7] AS method,
+           p_partkey % 7 < 5 AS ok, ['txt', 'docx', 'pptx', 'xlsx', 'hwpx', 'hwpx', ''][1 + p_partkey % 7] AS attempted FROM part""", False)
 def src_10(t: Frames) -> DataFrame:
-    name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ("txt", "docx", "pdf"))), (F.col("p_partkey") % 3 + 1).cast("int")))
-    return t.table("part").select("p_partkey", files.extracted(name, F.col("p_name").cast("binary")).alias("x")).select("p_partkey", "x.text", "x.method", "x.ok")
+    endings = list(OFFICE)
+
+    @F.pandas_udf("binary")
+    def written(kind: pd.Series, title: pd.Series, brand: pd.Series) -> pd.Series:
+        return pd.Series([OFFICE[k](a, b) for k, a, b in zip(kind, title, brand, strict=True)])
+
+    kind = F.element_at(F.array(*map(F.lit, endings)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    found = files.extracted(F.concat(F.lit("f."), kind), written(kind, F.col("p_name"), F.col("p_brand")))
+    return t.table("part").select("p_partkey", found.alias("x")).select("p_partkey", "x.text", "x.method", "x.ok", F.array_join("x.attempted", ",").alias("attempted"))
 
 
 def _nested_archive() -> bytes:
-    """An archive of a file and of an archive with another file."""
-    inner, outer = io.BytesIO(), io.BytesIO()
-    with zipfile.ZipFile(inner, "w") as archive:
-        archive.writestr("deep/b.txt", "abc")
-    with zipfile.ZipFile(outer, "w") as archive:
-        archive.writestr("a.txt", "hello")
-        archive.writestr("more.zip", inner.getvalue())
-    return outer.getvalue()
+    """Archives five deep, of which four are opened, and a damaged one."""
+    fifth = _archive(e_dot_txt="12345")
+    fourth = _archive(d_dot_txt="1234", last_dot_zip=fifth)
+    third = _archive(c_dot_txt="123", more_dot_zip=fourth)
+    second = _archive(deep__b_dot_txt="12", more_dot_zip=third)
+    return _archive(a_dot_txt="1", more_dot_zip=second, bad_dot_zip=b"damaged")
 
 
-@query("SRC_12_archive_entries", "SELECT n_nationkey, name, size FROM nation, (VALUES ('a.txt', 5::BIGINT), ('deep/b.txt', 3::BIGINT)) AS e(name, size) WHERE n_nationkey % 2 = 0", False)
+@query("SRC_12_archive_entries", f"""
+    SELECT n_nationkey, name, size FROM nation, (VALUES ('a.txt', 1::BIGINT), ('more.zip :: deep/b.txt', 2), ('more.zip :: more.zip :: c.txt', 3), ('more.zip :: more.zip :: more.zip :: d.txt', 4),
+        ('more.zip :: more.zip :: more.zip :: last.zip', {len(_archive(e_dot_txt="12345"))}), ('bad.zip', 7)) AS e(name, size) WHERE n_nationkey % 2 = 0""", False)
 def src_12(t: Frames) -> DataFrame:
     content = F.when(F.col("n_nationkey") % 2 == 0, F.lit(_nested_archive())).otherwise(F.lit(b"no archive"))
     rows = t.table("nation").select("n_nationkey", content.alias("archive"))

@@ -147,11 +147,17 @@ def snk_02(t: Frames) -> DataFrame:
     return upkeep.new_rows(incoming, there, ["url"], ["event_id"]).select("url", "event_id")
 
 
-@query("SNK_03_get_or_create", "SELECT count(*) AS n, count(DISTINCT org_id) AS ids, max(org_id) AS last FROM (SELECT org_id FROM orgs UNION ALL SELECT 1500000000 + row_number() OVER () FROM (SELECT DISTINCT p_name FROM part))".replace("max(org_id) AS last", "0::BIGINT AS last"))
+@query("SNK_03_get_or_create", """
+    WITH fresh AS (SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT org_name FROM orgs WHERE org_name IS NOT NULL)), top AS (SELECT max(org_id) AS top FROM orgs)
+    SELECT org_id, org_name AS kept_name, NULL::BIGINT AS names FROM orgs
+    UNION ALL SELECT top + n, NULL, 1 FROM top, (SELECT row_number() OVER () AS n FROM fresh)""")
 def snk_03(t: Frames) -> DataFrame:
+    """Every key with the name it had, and how many names each new key has; which new name has which new key is left open."""
     names = t.table("part").select(F.col("p_name").alias("org_name"))
     rows = upkeep.get_or_create(t.orgs, names, "org_id", "org_name")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("org_id").alias("ids"), F.lit(0).cast("long").alias("last"))
+    known = t.orgs.select("org_id", F.col("org_name").alias("kept_name"))
+    counted = rows.groupBy("org_id").agg(F.count_distinct("org_name").alias("names")).join(known, "org_id", "left")
+    return counted.select("org_id", "kept_name", F.when(F.col("kept_name").isNull(), F.col("names")).alias("names"))
 
 
 @query("SNK_05_06_replace", "SELECT notice_id, topic FROM scores WHERE line = 1 UNION ALL SELECT id, 99 FROM notices WHERE stage = 'P'")

@@ -10,6 +10,7 @@ from noticeworks.operators import dedup, interest, keywords, upkeep
 from noticeworks.plans.listings import GOV, base
 from noticeworks.plans.registry import query
 from noticeworks.sources.fixtures import Frames
+from noticeworks.streaming import engagement
 
 RULES = ((1, 1, "red", 4), (2, 1, "Hot", 2), (3, 2, "widget", 2), (4, 2, "ring", 1), (5, 3, "old", -5), (6, 3, "anvil", 4), (7, 4, "l", 1), (8, 4, "ge", 1))
 RULES_SQL = "rules(rule_id, topic, term, weight) AS (VALUES " + ", ".join(f"({i}, {t}, '{w}', {p})" for i, t, w, p in RULES) + ")"
@@ -62,9 +63,9 @@ def agg_18(t: Frames) -> DataFrame:
 
 FREQ_SQL = f"""
     WITH {RULES_SQL}, d AS (SELECT l_orderkey AS id, string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-    x AS (SELECT n.id, topic, rule_id, weight * (5 * ((length(lower(coalesce(title, ''))) - length(replace(lower(coalesce(title, '')), lower(term), ''))) // length(term)) + (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), lower(term), ''))) // length(term)) AS s
+    x AS (SELECT n.id, topic, rule_id, term, (length(lower(coalesce(title, ''))) - length(replace(lower(coalesce(title, '')), lower(term), ''))) // length(term) + (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), lower(term), ''))) // length(term) AS times, weight * (5 * ((length(lower(coalesce(title, ''))) - length(replace(lower(coalesce(title, '')), lower(term), ''))) // length(term)) + (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), lower(term), ''))) // length(term)) AS s
         FROM notices n LEFT JOIN d ON d.id = n.id CROSS JOIN rules),
-    f AS (SELECT id, topic, sum(s)::BIGINT AS score, min(rule_id) AS first_rule FROM x WHERE s <> 0 GROUP BY 1, 2)
+    f AS (SELECT id, topic, sum(s)::BIGINT AS score, min(rule_id) AS first_rule, string_agg(term || '×' || times::BIGINT::VARCHAR, ',' ORDER BY rule_id) AS terms FROM x WHERE s <> 0 GROUP BY 1, 2)
 """
 
 
@@ -75,9 +76,9 @@ def frequencies(t: Frames) -> DataFrame:
     return keywords.frequency_scores(docs, rules(t))
 
 
-@query("AGG_19_keyword_frequency", FREQ_SQL + "SELECT id, topic, score FROM f")
+@query("AGG_19_keyword_frequency", FREQ_SQL + "SELECT id, topic, score, terms FROM f")
 def agg_19(t: Frames) -> DataFrame:
-    return frequencies(t).select("id", "topic", "score")
+    return frequencies(t).select("id", "topic", "score", "terms")
 
 
 @query("WIN_10_SNK_05_document_topics", FREQ_SQL + "SELECT id, topic, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first_rule) AS n FROM f) WHERE n <= 3 AND id >= 0")
@@ -329,6 +330,19 @@ def str_01(t: Frames) -> DataFrame:
     return dedup.accepted_events(views, ["customer_id"], 86_400).select("customer_id", "event_id")
 
 
+@query("STR_01_accepted_by_a_stream", STREAM_SQL.replace("WITH RECURSIVE", "WITH"))
+def str_01_stream(t: Frames) -> DataFrame:
+    """The same events through the stateful stream, worked off and read back."""
+    spark = t.spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = engagement.work_folder(spark)
+    # A pattern, because a stream takes a plain path for a folder.
+    files = spark.readStream.schema(t.table("events").schema).parquet(f"{t.sf_dir}/events[.]parquet")
+    views = files.where("event_type = 'view'").select("event_id", F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("ts"))
+    engagement.run_available(engagement.accepted(views, ["customer_id"], 86_400), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema("event_id long, customer_id long, ts timestamp").parquet(f"{folder}/out").select("customer_id", "event_id")
+
+
 @query("STR_01_SNK_12_views_and_clicks", """
     WITH ranked AS (
         SELECT customer_id, notice_id, event_type, event_id, ts, CASE event_type WHEN 'view' THEN 300000000 ELSE 5000000 END AS most,

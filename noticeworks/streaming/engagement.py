@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,6 +42,14 @@ def accepted(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return events.groupBy(*keys).transformWithStateInPandas(Accepted(seconds), events.schema.simpleString()[7:-1].replace(":", " "), "append", "none")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's output and state, where driver and executors share one: under spark.checkpoint.dir, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='noticeworks-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def run_available(rows: DataFrame, folder: str, checkpoint: str) -> None:
     """Works off what is there and stops."""
     rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -26,25 +26,37 @@ def test_paged_capture_stops_at_missing_pages(spark, tmp_path):
 
 
 def test_nested_archives_to_a_limit(spark):
-    inner = archive(a_dot_txt="x", deep_dot_zip=archive(b_dot_txt="y", deeper_dot_zip=archive(c_dot_txt="z")))
-    found = dict(files.entries(archive(top_dot_txt="t", in_dot_zip=inner)))
-    assert {"top.txt", "a.txt", "b.txt", "deeper.zip"} == set(found)
+    fifth = archive(e_dot_txt="v")
+    inner = archive(a_dot_txt="x", deep_dot_zip=archive(b_dot_txt="y", deeper_dot_zip=archive(c_dot_txt="z", last_dot_zip=fifth)))
+    found = dict(files.entries(archive(top_dot_txt="t", in_dot_zip=inner, broken_dot_zip="no zip")))
+    assert set(found) == {"top.txt", "in.zip :: a.txt", "in.zip :: deep.zip :: b.txt", "in.zip :: deep.zip :: deeper.zip :: c.txt", "in.zip :: deep.zip :: deeper.zip :: last.zip", "broken.zip"}
+    assert dict(files.entries(archive(a_dot_txt="1", Read__me_dot_txt="2"), ("READ/ ME",))) == {"a.txt": b"1"}
     spark.udtf.register("zip_entries", files.ZipEntries)
     spark.createDataFrame([(archive(top_dot_txt="t"),), (b"no zip",)], "c binary").createOrReplaceTempView("zips")
     assert [r.name for r in spark.sql("SELECT e.name FROM zips, LATERAL zip_entries(c) e").collect()] == ["top.txt"]
 
 
+def test_names_without_a_mark_are_read_as_korean():
+    plain = archive(AAAA_dot_txt="x")
+    assert [n for n, _ in files.entries(plain.replace(b"AAAA", "한글".encode("cp949")))] == ["한글.txt"]
+    assert [n for n, _ in files.entries(plain.replace(b"AAAA", b"\xff\xffAA"))][0].endswith("AA.txt")
+
+
 def test_documents_by_kind(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(archive(word__document_dot_xml="<w:p><w:r><w:t>one &amp; two</w:t></w:r></w:p><w:p><w:t>three</w:t></w:p>"))
+    (tmp_path / "a.docx").write_bytes(archive(word__document_dot_xml="<w:d xmlns:w='w'><w:p><w:r><w:t>one &amp; two</w:t></w:r></w:p><w:p><w:t>three</w:t></w:p></w:d>"))
     (tmp_path / "b.txt").write_bytes("한글".encode("cp949"))
-    (tmp_path / "c.hwp").write_bytes(archive(Contents__section0_dot_xml="<hp:p><hp:t>hangul</hp:t></hp:p>"))
+    (tmp_path / "c.hwp").write_bytes(archive(Contents__section0_dot_xml="<s xmlns:hp='p'><hp:p><hp:t>han<hp:tab/>gul</hp:t></hp:p></s>"))
     (tmp_path / "d.docx").write_bytes(b"broken")
     (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    (tmp_path / "f.xlsx").write_bytes(archive(xl__sharedStrings_dot_xml="<sst><si><t>Name</t></si><si><r><t>Pr</t></r><r><t>ice</t></r></si></sst>", xl__worksheets__sheet1_dot_xml="<w><is><t>inline</t></is></w>"))
+    (tmp_path / "g.pptx").write_bytes(archive(ppt__slides__slide1_dot_xml="<s><t>a</t><x><t>b</t></x></s>", ppt__slides__slide2_dot_xml="<s><t>c</t></s>"))
+    (tmp_path / "h.hwp").write_bytes(b"\xd0\xcf\x11\xe0old")
     rows = {r.name: r for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert rows["a.docx"].text == "one & two\nthree"
     assert rows["b.txt"].text == "한글"
-    assert rows["c.hwp"].text == "hangul" and rows["c.hwp"].method == "hwpx"
-    assert not rows["d.docx"].ok and not rows["e.pdf"].ok and rows["e.pdf"].error == "unsupported"
+    assert rows["c.hwp"].text == "hangul" and rows["c.hwp"].method == "hwpx" and rows["c.hwp"].attempted == ["hwpx"]
+    assert rows["f.xlsx"].text == "Name\nPrice\ninline" and rows["g.pptx"].text == "a b\nc"
+    assert not rows["d.docx"].ok and not rows["e.pdf"].ok and rows["e.pdf"].error == "unsupported" and rows["h.hwp"].attempted == []
 
 
 def test_stream_drops_repeats(spark, tmp_path):
