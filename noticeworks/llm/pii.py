@@ -33,11 +33,12 @@ CARD = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b|\b3[47]\d{2}[ -]?\d{6}[ -]?\d{5
 SSN = r"(?<![\w.+/-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 # A plus sign and 7 to 15 digits; an area code in brackets; or one without, as 3-3-4 digits or after a zero unless it is a date.
-PHONE = (
-    r"\+\d(?:[ ./()-]{0,2}\d){6,14}(?!\d)|\(\d{2,5}\)[ ./-]{0,2}\d(?:[ ./-]?\d){4,9}(?![ ./-]?\d)"
-    r"|(?<![\w.+/-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
+MARKED_PHONE = r"\+\d(?:[ ./()-]{0,2}\d){6,14}(?!\d)|\(\d{2,5}\)[ ./-]{0,2}\d(?:[ ./-]?\d){4,9}(?![ ./-]?\d)"
+PLAIN_PHONE = (
+    r"(?<![\w.+/-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
     r"|(?<![\w.+/-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{2,4}(?![./-]?\d))0[1-9](?:[ ./-]?\d){5,13}(?![\w/-]|\.\d)"
 )
+PHONE = f"{MARKED_PHONE}|{PLAIN_PHONE}"
 # The value of a keyword of any case: the whole run, whatever its length, without the marks that end a sentence or a list.
 SECRET = (
     r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-][A-Za-z0-9_/+!#-&*.:=?@\\^`|~-]{6,256}[A-Za-z0-9_/+-])(?<=(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
@@ -46,7 +47,8 @@ SECRET = (
 FEMALE_TITLES = r"Mrs\.|Ms\.|Mme|Madame|Frau|Señora|Sra\.|Г-жа|Госпожа"
 MALE_TITLES = r"Mr\.|Monsieur|Herr|Señor|Sr\.|Г-н|Господин"
 NAME = rf"(?=[MFSHГ])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{L}}\p{{M}}'’-]++(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)?"
-ANY = "|".join((EMAIL, SECRET, IP, CARD, IBAN, SSN, PHONE, NAME))
+# All but numbers with a mark begin where no letter or digit stands before; to ask that first spares the rest inside words.
+ANY = rf"(?<![A-Za-z0-9])(?:{'|'.join((EMAIL, SECRET, IP, CARD, IBAN, SSN, PLAIN_PHONE, NAME))})|{MARKED_PHONE}"
 # A word that may be a name without a title; looked at only in documents that name somebody with one.
 BARE = r"(?<![\p{L}\p{M}\p{N}'’-])\p{Lu}[\p{L}\p{M}'’-]++"
 ANY_OR_BARE = f"{ANY}|{BARE}"
