@@ -59,6 +59,12 @@ def parse_price(value: Column) -> Column:
     return F.trim(F.regexp_replace(value.cast("string"), ",", "")).try_cast("double").try_cast("bigint")
 
 
+def refused(target: Column, legal_tier: Column) -> Column:
+    """Whether a target must not be mapped: personal data, extra keys that look like it, or whole texts under tier B."""
+    extra = target.startswith("extra:") & pii_key(F.substr(target, F.lit(7)))
+    return target.isin(*BANNED) | extra | (F.coalesce(legal_tier == "B", F.lit(False)) & target.isin(*BANNED_TIER_B))
+
+
 def validate(field_maps: Iterable[tuple[str, str, str | None]], legal_tier: str | None = None) -> None:
     """Refuses maps that would keep personal data or, for tier B, whole texts."""
     targets = {t for t, _, _ in field_maps}

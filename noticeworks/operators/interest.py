@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,13 @@ def top_matches(scored: DataFrame, quotas=QUOTAS, limit: int = 30) -> DataFrame:
 
 
 def with_signals(scored: DataFrame, signals: dict[str, DataFrame]) -> DataFrame:
-    """Adds each signal (id, value, possibly per customer) as a column of its name; null where it says nothing."""
-    for name, values in signals.items():
-        keys = [k for k in ("customer", "id") if k in values.columns]
-        scored = scored.join(values.select(*keys, F.col("value").alias(name)), keys, "left")
+    """Adds each signal (id, value, possibly per customer; one row per key) as a column of its name; null where it says nothing.
+
+    Signals of the same keys are stacked and turned into columns by one aggregation, so there is one join for each set of keys."""
+    for keys in (["customer", "id"], ["id"]):
+        found = {name: values for name, values in signals.items() if ("customer" in values.columns) == ("customer" in keys)}
+        if found:
+            stacked = reduce(DataFrame.unionByName, [values.select(*keys, F.lit(name).alias("signal"), F.col("value").cast("double").alias("value")) for name, values in found.items()])
+            wide = stacked.groupBy(*keys).agg(*[F.max(F.when(F.col("signal") == name, F.col("value"))).alias(name) for name in found])
+            scored = scored.join(wide, keys, "left")
     return scored

@@ -45,6 +45,13 @@ OFFICE = {
 }
 
 
+@query("SRC_03_pages_by_total", "SELECT n_nationkey + 1 AS page, n_regionkey + 1::BIGINT AS n FROM nation WHERE n_nationkey < 9", False)
+def src_03(t: Frames) -> DataFrame:
+    """Pages whose first answers tell how many there are; later pages have items and are not read."""
+    answers = t.table("nation").select((F.col("n_nationkey") + 1).alias("page"), F.to_json(F.struct(F.sequence(F.lit(0), F.col("n_regionkey")).alias("items"), F.when(F.col("n_nationkey") > 0, F.lit("9")).alias("pages"))).alias("body"))
+    return captures.items(captures.pages_read(answers, max_pages=20, total_path="$.pages")).groupBy("page").agg(F.count("*").alias("n"))
+
+
 @query("SRC_10_11_extracted_files", """
     SELECT p_partkey, CASE WHEN p_partkey % 7 < 5 THEN p_name || chr(10) || p_brand ELSE '' END AS text, ['txt', 'docx', 'pptx', 'xlsx', 'hwpx', 'hwpx', 'pdf'][1 + p_partkey % 7] AS method,
            p_partkey % 7 < 5 AS ok, ['txt', 'docx', 'pptx', 'xlsx', 'hwpx', 'hwpx', ''][1 + p_partkey % 7] AS attempted FROM part""", False)

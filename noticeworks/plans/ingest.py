@@ -140,6 +140,40 @@ def src_17(t: Frames) -> DataFrame:
     return t.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("n"))
 
 
+@query("SRC_09_link_targets", """
+    WITH hrefs AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(html, 'href="(/[^"#]*)', 1)) AS href FROM pages)
+    SELECT page_id, count(DISTINCT href) AS n, min(root || href) AS first FROM hrefs GROUP BY 1""", False)
+def src_09_targets(t: Frames) -> DataFrame:
+    rows = t.table("pages").select("page_id", F.explode(pages.linked(F.col("url"), pages.text_and_links("html")["links"])).alias("target"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("target").alias("first"))
+
+
+@query("SRC_17_attachments_or_body", """
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.hwp' WHEN p_partkey % 3 = 1 THEN p_name || chr(10) || p_brand || chr(10) || p_type END AS place FROM part""", False)
+def src_17_body(t: Frames) -> DataFrame:
+    """Attachments of a page by pattern; a page without any gives the text of its content element, and none at all a null."""
+    file = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<a onclick=\"f_down('1','2','"), "p_name", F.lit(".hwp')\">")))
+    body = F.when(F.col("p_partkey") % 3 < 2, F.concat(F.lit("<div class='view se-contents'><p>"), "p_name", F.lit("</p><div>"), "p_brand", F.lit("</div>"), "p_type", F.lit("</div>")))
+    html = F.concat(F.lit("<div>head</div>"), F.coalesce(file, F.lit("")), F.coalesce(body, F.lit("")), F.lit("<div>foot</div>"))
+    rows = t.table("part").select("p_partkey", html.alias("html"))
+    names = F.regexp_extract_all("html", F.lit(r"f_down\('[^']*','[^']*','([^']*)'\)"), F.lit(1))
+    return rows.select("p_partkey", F.coalesce(F.nullif(F.array_join(names, ","), F.lit("")), pages.text_within(F.col("html"), "se-contents")).alias("place"))
+
+
+TARGETS = ("title", "manager_tel", "extra:deptNm", "extra:managerName", "extra:Email", "extra:status", "content", "body", "extra:담당자", "est_price")
+
+
+@query("MAP_08_refused_targets", f"""
+    WITH targets AS (SELECT unnest({list(TARGETS)}) AS target)
+    SELECT n_nationkey, target, list_contains({sorted(ingest.BANNED)}, target) OR (starts_with(target, 'extra:') AND NOT list_contains({list(ingest.PII_ALLOWED)}, lower(target[7:])) AND regexp_matches(target[7:], '{ingest.PII_KEYS}'))
+        OR (n_nationkey % 2 = 0 AND list_contains({sorted(ingest.BANNED_TIER_B)}, target)) AS refused FROM nation, targets""", False)
+def map_08(t: Frames) -> DataFrame:
+    """Maps of sources of two legal tiers, a row for each target."""
+    tier = F.when(F.col("n_nationkey") % 2 == 0, "B").otherwise("A")
+    rows = t.table("nation").select("n_nationkey", tier.alias("tier"), F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
+    return rows.select("n_nationkey", "target", ingest.refused(F.col("target"), F.col("tier")).alias("refused"))
+
+
 @query("SNK_02_03_new_rows", "WITH e AS (SELECT user_id AS url, min(event_id) AS event_id FROM events GROUP BY 1) SELECT url, event_id FROM e WHERE url NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", False)
 def snk_02(t: Frames) -> DataFrame:
     incoming = t.table("events").select(F.col("user_id").alias("url"), "event_id")

@@ -55,11 +55,15 @@ def items(captures: DataFrame, body: str = "body", path: str = "$.items") -> Dat
     return captures.withColumn("item", F.explode(array)).drop(body)
 
 
-def pages_read(captures: DataFrame, page: str = "page", body: str = "body", path: str = "$.items", max_pages: int = 10) -> DataFrame:
-    """Captured answers of a paged source, up to the page before the first empty one and to a limit of pages."""
+def pages_read(captures: DataFrame, page: str = "page", body: str = "body", path: str = "$.items", max_pages: int = 10, total_path: str | None = None) -> DataFrame:
+    """Captured answers of a paged source, up to the page before the first empty one, to a limit of pages, and to the number of pages that the first answer with one gives."""
     n = F.coalesce(F.json_array_length(F.get_json_object(body, path)), F.lit(0))
-    end = captures.where(n == 0).agg(F.min(page).alias("_end"))  # one row
-    return captures.where(F.col(page) <= max_pages).join(F.broadcast(end), F.col("_end").isNull() | (F.col(page) < F.col("_end")), "left_semi")
+    total = F.get_json_object(body, total_path).try_cast("int") if total_path else F.lit(None).cast("int")
+    told = (n > 0) & total.isNotNull()
+    # One row: the first empty page, and the last page by the total (the page that tells it is read in any case).
+    end = captures.agg(F.min(F.when(n == 0, F.col(page))).alias("_end"), F.greatest(F.min_by(F.when(told, total), F.when(told, F.col(page))), F.min(F.when(told, F.col(page)))).alias("_last"))
+    read = (F.col("_end").isNull() | (F.col(page) < F.col("_end"))) & (F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
+    return captures.where(F.col(page) <= max_pages).join(F.broadcast(end), read, "left_semi")
 
 
 def envelope_error(body: Column) -> Column:

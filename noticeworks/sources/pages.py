@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,27 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
+class _Within(HTMLParser):
+    """Lines of text inside div elements of a class."""
+
+    def __init__(self, wanted: str):
+        super().__init__()
+        self.wanted, self.open = wanted, []
+        self.lines: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "div":
+            self.open.append(self.wanted in (dict(attrs).get("class") or "").split())
+
+    def handle_endtag(self, tag):
+        if tag == "div" and self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if any(self.open) and data.strip():
+            self.lines.append(data.strip())
+
+
 class _Table(HTMLParser):
     """Data cells of the rows of tables with a class, each with its first link."""
 
@@ -101,6 +123,40 @@ def table_rows(pages: DataFrame, html: str, wanted: str, columns: list[str]) ->
     return found.select(*others, *[F.col("r.cells")[k].alias(c) for k, c in enumerate(columns)], F.col("r.href").alias("href"))
 
 
+def text_within(html: Column, wanted: str) -> Column:
+    """Text of the div elements of a class, a line for each piece; null if there is none."""
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            parser = _Within(wanted)
+            parser.feed(page or "")
+            out.append("\n".join(parser.lines) or None)
+        return pd.Series(out, dtype="object")
+
+    return read(html)
+
+
+def linked(base: Column, hrefs: Column) -> Column:
+    """Addresses that the links of a page lead to on the page's own host, without fragments, in order and once each."""
+
+    @F.pandas_udf("array<string>")
+    def read(bases: pd.Series, links: pd.Series) -> pd.Series:
+        out = []
+        for at, found in zip(bases, links, strict=True):
+            host, kept = urlsplit(at or "").netloc, {}
+            for href in found if found is not None else ():
+                target = urldefrag(urljoin(at or "", href)).url
+                parts = urlsplit(target)
+                if parts.scheme in ("http", "https") and parts.netloc == host:
+                    kept[target] = None
+            out.append(list(kept))
+        return pd.Series(out, dtype="object")
+
+    return read(base, hrefs)
+
+
 def call_arguments(href: Column, function: str) -> Column:
     """The quoted arguments of a script call in a link."""
     inside = F.regexp_extract(href, rf"{function}\s*\(([^)]*)\)", 1)
