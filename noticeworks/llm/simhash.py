@@ -12,7 +12,8 @@ Equal fingerprints are one node from the start, so a group of copies never yield
 
 `similar` is for looser copies, those of a shingle similarity of 0.8 or more, whose fingerprints differ in ten bits or so and are out of the grid's reach.
 It finds neighbourhoods by bands of MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
-of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.  Ties only order the work: in every neighbourhood that they
+of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.  A neighbourhood of very many texts is tied in parts
+that share some of its texts, so it takes several tasks.  Ties only order the work: in every neighbourhood that they
 leave in more than one component, all pairs across components are then compared exactly, in lots of bounded size that meet each other, so no
 two texts that share a band are left uncompared.
 
@@ -336,7 +337,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     sketches = common.written(sketches.select("doc_id", "node", "s.fp", "s.bands"), "sketches")
     texts = sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     texts = common.written(texts, "texts")
-    keys = texts.select(F.explode("bands").alias("key"), "node", "fp")
+    keys = _parts_of_bands(texts.select(F.explode("bands").alias("key"), "node", "fp"))
     n = common.partitions_of(docs.sparkSession)
     ties = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_ties_of_bands, TIE).distinct()
     ties = common.written(ties, "ties")
@@ -365,6 +366,18 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     return spread(sketches.select("doc_id", "node"), texts.select("node", "least"), found)
 
 
+def _parts_of_bands(keys: DataFrame) -> DataFrame:
+    """key, node, fp with keys of their own for the parts of a band of more than HOT_ROWS texts; some OVERLAP of its texts are in every part and tie the parts to one another."""
+    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > common.HOT_ROWS)
+    crowded = common.written(crowded, "crowded-bands")
+    keys = keys.join(common.maybe_broadcast(crowded, crowded.count()), "key", "left")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / common.HOT_ROWS).cast("int")
+    everywhere = F.pmod(F.xxhash64("node", "key"), F.col("n")) < OVERLAP
+    part = F.when(everywhere, F.sequence(F.lit(1), parts)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int") + 1))
+    split = keys.select("key", "node", "fp", "n", F.explode(part).alias("part"))
+    return split.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "node", "fp")
+
+
 def _links_of_open_bands(texts: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links across the components of every neighbourhood of more than FEW_MEMBERS texts that the ties have left in more than one component."""
     known = sets.select("node", F.octet_length("set").alias("octets")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -168,8 +168,11 @@ def test_copies_in_a_large_neighbourhood_are_linked_whatever_their_fingerprints(
     assert found == {i: i if i < 40 else i - 40 for i in range(46)}
 
 
-def test_variants_of_one_template_are_all_found(spark):
-    """Texts of one 600-word template that all share bands: every true pair ends in one component."""
+@pytest.mark.parametrize("hot", [None, 200])
+def test_variants_of_one_template_are_all_found(spark, monkeypatch, hot):
+    """Texts of one 600-word template that all share bands: every true pair ends in one component, in a band tied whole or in parts."""
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
     draw = random.Random(21)
     template = [f"t{draw.randrange(5000)}" for _ in range(600)]
     texts = []
@@ -194,6 +197,19 @@ def test_variants_of_one_template_are_all_found(spark):
     assert len(set(found.values())) > 600
 
 
+def test_crowded_bands_are_tied_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1_000)
+    keys = spark.range(9_000).select(F.floor(F.col("id") % 9 / 8).alias("key"), F.col("id").alias("node"), (F.col("id") * 7).alias("fp"))
+    parts = simhash._parts_of_bands(keys).toPandas()
+    sizes = parts.groupby("key").size()
+    assert sizes[1] == 1_000  # not crowded
+    crowded = parts[parts["key"] != 1]
+    assert crowded["key"].nunique() == 8 and sizes.max() < 1_000 + 3 * simhash.OVERLAP
+    in_parts = crowded.groupby("node").size()
+    assert len(in_parts) == 8_000 and set(in_parts) == {1, 8}
+    assert 0.5 * simhash.OVERLAP < (in_parts == 8).sum() < 2 * simhash.OVERLAP
+
+
 def test_links_across_lots_are_those_of_a_plain_search():
     draw = np.random.default_rng(13)
     sets = []
