@@ -12,6 +12,8 @@ empty result; extra columns are ignored; a row without a number keeps its null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,7 @@ SEGMENT = 1 << 16
 LEAST_WORDS, LEAST_POWER = 6, 4
 #: What a word is, for the query; bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
-RESULT = "n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
+RESULT = "doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
 #: Odd factors, one per level, for the hashes of windows.
 FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -39,9 +41,9 @@ class Catchers:
         self.least_words, self.least_power = least_words, least_power
         self.words, self.n = np.empty(64, dtype=np.int64), 0
         self.windows: list[tuple[int, np.ndarray]] = []  # per level: number of the first window kept, hashes
-        self.stretches: list[list[int]] = []  # [start, end of the equal words, period]: words x and x + period are equal from start to end
+        self.closed: list[list[int]] = []  # stretches [start, end of the equal words, period]: words x and x + period are equal from start to end
+        self.open: list[list[int]] = []  # those that reach the end of the words, or are new
         self.latest: dict[int, list[int]] = {}  # by period
-        self.open: list[list[int]] = []  # those that reach the end of the words
 
     def append(self, words: np.ndarray) -> None:
         before, self.n = self.n, self.n + len(words)
@@ -52,7 +54,8 @@ class Catchers:
             stretch[1] = self._right(stretch[1], stretch[2])
         for k in range(self.n.bit_length()):
             self._advance(k, 1 << k, words)
-        self.open = [s for s in self.stretches if s[1] + s[2] == self.n]
+        self.closed += [s for s in self.open if s[1] + s[2] < self.n]
+        self.open = [s for s in self.open if s[1] + s[2] == self.n]
 
     def _advance(self, k: int, size: int, words: np.ndarray) -> None:
         """Compares the suffixes of size words that the new words complete with the blocks whose turn it is."""
@@ -80,8 +83,9 @@ class Catchers:
         suffix, block = suffix[caught], block[caught]
         twice = hashes[suffix - size - base] == hashes[block - size - base]
         suffix, block = suffix[twice], block[twice]
-        for start, end, period in self.stretches:
-            if end + period - start >= 3 * size and len(suffix):
+        # Closed stretches end before the new suffixes.
+        for start, end, period in [s for s in self.open if s[1] + s[2] - s[0] >= 3 * size]:
+            if len(suffix):
                 a, b = np.searchsorted(suffix, (start, end + period - size + 1))
                 part, at = suffix[a:b], block[a:b]
                 known = (at - size >= start) & ((part - at) % period == 0)
@@ -99,7 +103,7 @@ class Catchers:
         end = self._right(start, period)
         if end - start >= 2 * size:
             self.latest[period] = [self._left(start, period), end, period]
-            self.stretches.append(self.latest[period])
+            self.open.append(self.latest[period])
 
     def _right(self, x: int, period: int) -> int:
         """End of the words from x on that equal those a period later."""
@@ -124,7 +128,7 @@ class Catchers:
     def runs(self) -> list[tuple[int, int, int]]:
         """(start, length, period), by start and period.  Of stretches of the same words the smallest period counts."""
         found: dict[tuple[int, int], int] = {}
-        for start, end, period in self.stretches:
+        for start, end, period in self.closed + self.open:
             length = end + period - start
             if length >= max(self.least_words, self.least_power * period):
                 found[start, length] = min(period, found.get((start, length), period))
@@ -159,16 +163,18 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, all runs by start and period, and the text with every run cut down to its first period."""
     common.small_batches(docs.sparkSession)
 
-    @F.pandas_udf(RESULT)
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = (text or "").encode().split()
-            runs = runs_of(words)
-            rows.append((len(words), [{"start": s, "length": n, "period": q} for s, n, q in runs], collapsed(words, runs).decode()))
-        return pd.DataFrame(rows, columns=["n_words", "runs", "collapsed"])
-
-    return docs.select(F.col("doc_id").cast("long"), found("text").alias("found")).select("doc_id", "found.*")
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                words = (text or "").encode().split()
+                runs = runs_of(words)
+                rows.append((len(words), [{"start": s, "length": n, "period": q} for s, n, q in runs], collapsed(words, runs).decode()))
+            out = pd.DataFrame(rows, columns=["n_words", "runs", "collapsed"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            yield out
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(found, RESULT)
 
 
 def with_tail(text: Column, doc_id: Column) -> Column:
