@@ -190,24 +190,23 @@ def time_forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def subtree_totals(nodes: DataFrame, rows: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """a, b, n_leaves, saved_tokens.  nodes: a, b, pa, pb, depth, conv (one that passes), leaves, saved, beneath (a bound on the nodes below); rows: paths of at least those."""
+    """a, b, n_leaves, saved_tokens.  nodes: a, b, pa, pb, depth, conv (one that passes), leaves, saved, beneath (a bound on the paths through it and on its nodes); rows: paths of at least those."""
     done = []
     while True:
         low = nodes.where(F.col("beneath") <= shard_nodes)
         high = common.written(nodes.where(F.col("beneath") > shard_nodes), "high")
         n_high = high.count()
-        # A shard starts below a node that is too large, or at the root of all.
+        # The root of all has no parent; pandas would make fractions of names next to a null.
+        columns = ["depth", "a", "b", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in PARENT), "leaves", "saved"]
         if n_high:
+            # A shard starts below a node that is too large.  Its paths are those of its bound, and a conversation passes one such start.
             above = high.select(F.col("a").alias("pa"), F.col("b").alias("pb"))
             below = common.written(low.select("a", "b", "pa", "pb"), "low")
             tops = (below.join(F.broadcast(above), PARENT) if n_high <= common.BROADCAST_ROWS else common.join_hot(below, above, PARENT)).select(NODE)
+            of = rows.join(tops, NODE).select("conv", F.col("a").alias("ra"), F.col("b").alias("rb")).distinct()
+            shards = low.join(of, "conv").select("ra", "rb", *columns)
         else:
-            tops = low.where(F.col("pa").isNull()).select(NODE)
-        # A conversation passes one top at most, and fewer paths than shard_nodes pass a top.
-        of = rows.join(tops, NODE).select("conv", F.col("a").alias("ra"), F.col("b").alias("rb")).distinct()
-        # The root of all has no parent; pandas would make fractions of names next to a null.
-        parent = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in PARENT]
-        shards = low.join(of, "conv").select("ra", "rb", "depth", "a", "b", *parent, "leaves", "saved")
+            shards = low.select(*_name([F.lit(0).cast("long")] * 4, ["ra", "rb"]), *columns)
         shards = shards.repartition("ra", "rb").sortWithinPartitions("ra", "rb", F.desc("depth"), "a", "b")
         totals = common.written(shards.mapInPandas(time_forward, TOTALS), "totals")
         done.append(totals.select("a", "b", "n_leaves", "saved_tokens"))
@@ -223,7 +222,7 @@ def subtree_totals(nodes: DataFrame, rows: DataFrame, shard_nodes: int = SHARD_N
         # Of the smaller trie, the paths to its leaves tell how much is beneath a node.
         leaf = high.join(high.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), NODE, "left_anti").select("conv", F.col("depth").alias("length"))
         rows = common.written(rows.drop("length").join(leaf, "conv").where(F.col("depth") <= F.col("length")), "paths-above")
-        beneath = rows.groupBy(*NODE).agg(F.sum(F.col("length") - F.col("depth")).alias("beneath"), F.min("conv").alias("conv"))
+        beneath = rows.groupBy(*NODE).agg(F.sum(F.col("length") - F.col("depth") + 1).alias("beneath"), F.min("conv").alias("conv"))
         nodes = common.written(gathered.drop("beneath", "conv", "more_leaves", "more_saved").join(beneath, NODE), "nodes-above")
 
 
@@ -234,7 +233,7 @@ def trie(conversations: DataFrame, build=as_they_are, shard_nodes: int = SHARD_N
     rows = paths(*build(common.written(ordered(conversations), "ordered")))
     found = rows.groupBy(*NODE).agg(
         F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.min("depth").alias("depth"), F.min("conv").alias("conv"), F.count("*").alias("n_convs"),
-        ((F.count("*") - 1) * F.min("points")).alias("saved"), F.sum(F.col("length") - F.col("depth")).alias("beneath"),
+        ((F.count("*") - 1) * F.min("points")).alias("saved"), F.sum(F.col("length") - F.col("depth") + 1).alias("beneath"),
     )
     found = common.written(found, "nodes")
     children = found.where(F.col("pa").isNotNull()).groupBy(*PARENT).agg(F.count("*").alias("n_children")).withColumnsRenamed({"pa": "a", "pb": "b"})
