@@ -23,12 +23,18 @@ from pyspark.sql import functions as F
 
 from noticeworks.llm import common
 
-KEY = "noticeworks-surrogates-1"
+#: The setting that holds the secret key of surrogates.  Without it, anyone who reads this file can test guesses of an original: set it for data that is given away.
+KEY_SETTING, KEY = "spark.noticeworks.surrogates.key", "noticeworks-surrogates-1"
 #: Attempts of one length of numbers; after them they grow.  All surrogates grow up to what a digest can fill.
 ATTEMPTS, MOST_GROWTH = 12, 24
 # Shapes of entities, and titles that come before names, by gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-IP = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"
+IP = r"\b(?<!\d\.)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b(?!\.\d)"
+# Eight groups, or fewer around one pair of colons; with a digit, so that words next to colons are none.
+IPV6 = (
+    r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?=[A-Fa-f:]{0,36}[0-9])(?=[0-9A-Fa-f:]{2,39}(?![\w:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
+)
 CARD = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b|\b3[47]\d{2}[ -]?\d{6}[ -]?\d{5}\b"
 SSN = r"(?<![\w.+/-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -39,16 +45,18 @@ PLAIN_PHONE = (
     r"|(?<![\w.+/-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{2,4}(?![./-]?\d))0[1-9](?:[ ./-]?\d){5,13}(?![\w/-]|\.\d)"
 )
 PHONE = f"{MARKED_PHONE}|{PLAIN_PHONE}"
-# The value of a keyword of any case: the whole run, whatever its length, without the marks that end a sentence or a list.
+# The value of a keyword of any case: the whole run from four characters on, without the marks that end a sentence or a list.
 SECRET = (
-    r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-][A-Za-z0-9_/+!#-&*.:=?@\\^`|~-]{6,256}[A-Za-z0-9_/+-])(?<=(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
+    r"\bAKIA[0-9A-Z]{16}\b|(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-][A-Za-z0-9_/+!#-&*.:=?@\\^`|~-]{2,256}[A-Za-z0-9_/+-])(?<=(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
     r"[A-Za-z0-9_/+-]++(?:[!#-&*.:=?@\\^`|~]++[A-Za-z0-9_/+-]++)*+={0,2}"
 )
 FEMALE_TITLES = r"Mrs\.|Ms\.|Mme|Madame|Frau|Señora|Sra\.|Г-жа|Госпожа"
 MALE_TITLES = r"Mr\.|Monsieur|Herr|Señor|Sr\.|Г-н|Господин"
-NAME = rf"(?=[MFSHГ])(?:{FEMALE_TITLES}|{MALE_TITLES}) \p{{Lu}}[\p{{L}}\p{{M}}'’-]++(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)?"
+NEUTRAL_TITLES = r"Dr\.|Prof\.|Professor|Docteur|Доктор|Профессор"
+TITLES = rf"(?:(?:{FEMALE_TITLES}|{MALE_TITLES}|{NEUTRAL_TITLES}) )(?:(?:{NEUTRAL_TITLES}) ){{0,3}}+"
+NAME = rf"(?=[MFSHDPГДП]){TITLES}\p{{Lu}}[\p{{L}}\p{{M}}'’-]++(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)?"
 # All but numbers with a mark begin where no letter or digit stands before; to ask that first spares the rest inside words.
-ANY = rf"(?<![A-Za-z0-9])(?:{'|'.join((EMAIL, SECRET, IP, CARD, IBAN, SSN, PLAIN_PHONE, NAME))})|{MARKED_PHONE}"
+ANY = rf"(?<![A-Za-z0-9])(?:{'|'.join((EMAIL, SECRET, IP, IPV6, CARD, IBAN, SSN, PLAIN_PHONE, NAME))})|{MARKED_PHONE}"
 # A word that may be a name without a title; looked at only in documents that name somebody with one.
 BARE = r"(?<![\p{L}\p{M}\p{N}'’-])\p{Lu}[\p{L}\p{M}'’-]++"
 ANY_OR_BARE = f"{ANY}|{BARE}"
@@ -58,6 +66,8 @@ ENDINGS = {
     ("m", "latin"): "o us an er".split(),
     ("f", "cyrillic"): "а ия ина".split(),
     ("m", "cyrillic"): "ан ей ор ис".split(),
+    ("n", "latin"): "y e is el".split(),
+    ("n", "cyrillic"): "и е ю".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo".split(), "cyrillic": "ба бе бо ва ве во да де до ка ко ла ле ло ма ме мо на не но ра ре ро са се со та".split()}
 #: Syllables of a name before it grows.
@@ -67,9 +77,9 @@ PARTS = "array<struct<kind:string,canon:string>>"
 
 def kind_of(found: Column) -> Column:
     """The type of an entity by its shape."""
-    kind = F.when(found.rlike(rf"^(?:{EMAIL})$"), "email").when(found.rlike(rf"^(?:{IP})$"), "ip").when(found.rlike(rf"^(?:{CARD})$"), "card")
+    kind = F.when(found.rlike(rf"^(?:{EMAIL})$"), "email").when(found.rlike(rf"^(?:{IP})$"), "ip").when(found.rlike(rf"^(?:{IPV6})$"), "ipv6").when(found.rlike(rf"^(?:{CARD})$"), "card")
     kind = kind.when(found.rlike(rf"^(?:{SSN})$"), "ssn").when(found.rlike(rf"^(?:{PHONE})$"), "phone")
-    kind = kind.when(found.rlike(rf"^(?:{FEMALE_TITLES}) "), "name_f").when(found.rlike(rf"^(?:{MALE_TITLES}) "), "name_m")
+    kind = kind.when(found.rlike(rf"^(?:{FEMALE_TITLES}) "), "name_f").when(found.rlike(rf"^(?:{MALE_TITLES}) "), "name_m").when(found.rlike(rf"^{TITLES}"), "name_n")
     return kind.when(found.rlike(rf"^(?:{IBAN})$") & ~found.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z ]*[a-z]"), "iban").otherwise("secret")
 
 
@@ -77,16 +87,17 @@ def canonical(kind: Column, found: Column) -> Column:
     """The form that tells entities of a kind apart, names excepted."""
     digits = F.regexp_replace(found, r"\D", "")
     phone = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
-    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone).when(kind == "email", F.lower(found)).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).otherwise(found)
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone).when(kind.isin("email", "ipv6"), F.lower(found)).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).otherwise(found)
 
 
 def parts_of(kind: Column, found: Column) -> Column:
-    """The entities of a mention: given and family name of a name with a title, else one."""
-    names = F.split(F.lower(F.regexp_replace(found, rf"^(?:{FEMALE_TITLES}|{MALE_TITLES}) ", "")), " ")
-    given = F.when(kind == "name_f", "given_f").otherwise("given_m")
+    """The entities of a mention: given and family name of a name with a title, else one.  Digits in one run are a card's only if their check digit is right."""
+    names = F.split(F.lower(F.regexp_replace(found, rf"^{TITLES}", "")), " ")
+    given = F.concat(F.lit("given_"), F.substring(kind, 6, 1))
     last = F.size(names)
     named = F.transform(names, lambda n, i: F.struct(F.when(i == last - 1, "family").otherwise(given).alias("kind"), n.alias("canon")))
-    return F.when(kind.startswith("name"), named).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, found).alias("canon")))).cast(PARTS)
+    no_card = (kind == "card") & found.rlike("^[0-9]+$") & (luhn(found) != 0)
+    return F.when(kind.startswith("name"), named).when(no_card, F.array().cast(PARTS)).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, found).alias("canon")))).cast(PARTS)
 
 
 def _number(digest: Column, at: int, of: int) -> Column:
@@ -108,7 +119,7 @@ def mod97(value: Column) -> Column:
 
 def shaped(value: Column, digest: Column, keep: Column) -> Column:
     """Every digit and letter after the first `keep` characters replaced by one of its class; hexadecimal strings stay hexadecimal."""
-    is_hex = value.rlike(r"^[0-9a-f]+$")
+    is_hex = value.rlike(r"^[0-9a-f:]+$")
 
     def turn(c: Column, i: Column) -> Column:
         draw = F.conv(F.substring(digest, (i * 2) % 126 + 1, 2), 16, 10).cast("int")
@@ -126,6 +137,7 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
     address = F.concat_ws(".", *[(_number(digest, k, 254) + 1).cast("string") for k in range(4)])
     if slow:
         address = F.concat(F.lit("fd00"), *[x for k in range(7) for x in (F.lit(":"), F.substring(digest, 1 + 4 * k, 4))])
+    address6 = address if slow else shaped(canon, digest, F.lit(0))
     letters = F.translate(F.substring(digest, 49, growth), "0123456789", "ghijklmnop")
     digits = F.translate(F.substring(digest, 49, slow), "abcdef", "258147")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
@@ -151,8 +163,8 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
 
         return F.when(latin, of("latin")).otherwise(of("cyrillic"))
 
-    chosen = F.when(kind == "email", email).when(kind == "ip", address).when(kind == "card", card).when(kind.isin("phone", "ssn"), phone).when(kind == "iban", iban)
-    chosen = chosen.when(kind == "given_f", name(GIVEN_SYLLABLES, "f")).when(kind == "given_m", name(GIVEN_SYLLABLES, "m"))
+    chosen = F.when(kind == "email", email).when(kind == "ip", address).when(kind == "ipv6", address6).when(kind == "card", card).when(kind.isin("phone", "ssn"), phone).when(kind == "iban", iban)
+    chosen = chosen.when(kind == "given_f", name(GIVEN_SYLLABLES, "f")).when(kind == "given_m", name(GIVEN_SYLLABLES, "m")).when(kind == "given_n", name(GIVEN_SYLLABLES, "n"))
     return chosen.when(kind == "family", name(FAMILY_SYLLABLES)).otherwise(secret)
 
 
@@ -173,15 +185,15 @@ def rendered(kind: Column, found: Column, new: Column) -> Column:
 
     cased = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(one, i + 1, F.lit(1)))).otherwise(F.substr(one, i + 1, F.lit(1)))), "")
     cased = F.when(F.length(one) == F.length(found), cased).otherwise(one)
-    title = F.regexp_extract(found, rf"^(?:{FEMALE_TITLES}|{MALE_TITLES}) ", 0)
+    title = F.regexp_extract(found, rf"^{TITLES}", 0)
     bare = F.when((F.length(found) > 1) & (F.upper(found) == found), F.upper(one)).otherwise(one)
-    shown = F.when(kind.isin("card", "phone", "ssn"), put("[0-9]")).when(kind == "iban", put("[0-9A-Z]")).when(kind == "email", cased)
+    shown = F.when(kind.isin("card", "phone", "ssn"), put("[0-9]")).when(kind == "iban", put("[0-9A-Z]")).when(kind.isin("email", "ipv6"), cased)
     return shown.when(kind.startswith("name"), F.concat(title, F.array_join(new, " "))).when(kind == "bare", bare).otherwise(one)
 
 
 def group_of(kind: Column) -> Column:
     """Kinds whose surrogates are kept apart together: all names are one."""
-    return F.when(kind.isin("given_f", "given_m", "family"), "name").otherwise(kind)
+    return F.when(kind.isin("given_f", "given_m", "given_n", "family"), "name").otherwise(kind)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -222,8 +234,9 @@ def mentions(value: Column) -> Column:
     return F.when(value.rlike(NAME), read(ANY_OR_BARE, True)).otherwise(read(ANY, False))
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, DataFrame]:
+def redact(docs: DataFrame, text: str = "text", key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """docs with surrogates in the text column, with the same columns; and (row, n_entities) of every document."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     value = F.col("row").getField(text)
     held = F.coalesce(value.rlike(ANY), F.lit(False))
@@ -236,7 +249,10 @@ def redact(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFra
     resolved = F.transform("found", lambda f: F.struct(f["found"].alias("found"), f["kind"].alias("kind"), F.when(f["kind"] == "bare", bare(f)).otherwise(f["parts"]).alias("parts")))
     # The family comes first, so a word that is both somebody's given and another's family name reads as a family name.
     marked = marked.withColumn("known", F.array_sort(named, lambda x, y: F.when(x["kind"] < y["kind"], -1).when(x["kind"] > y["kind"], 1).otherwise(0)))
-    marked = common.written(marked.select("row", "name", resolved.alias("found")), "marked")
+    seen = common.written(marked.select("row", "name", resolved.alias("found")), "marked")
+    marked = seen.where(F.size(F.flatten("found.parts")) > 0)
+    # What has an entity's shape only, as a number without a right check digit, stays.
+    clean = clean.unionByName(seen.where(F.size(F.flatten("found.parts")) == 0).select("row", F.lit(0).alias("n_entities"), value.alias("new")))
     sets = marked.select("name", F.explode(F.flatten("found.parts")).alias("p")).select("name", "p.kind", "p.canon").distinct()
     sets = common.written(sets, "entity-sets")
     entities = common.written(sets.select("kind", "canon").distinct(), "entities")

@@ -82,13 +82,20 @@ ORACLES = {
             UNION ALL SELECT 'document', doc_id, row_number() OVER (), text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
         ), spelled AS (
             SELECT kind, number, line, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM texts
+        ), widths AS (
+            SELECT DISTINCT least(5, len(w)) AS width FROM spelled WHERE kind = 'item' AND len(w) > 0
         ), words AS (
-            SELECT kind, number, line, len(w) AS n, array_to_string(w, ' ') AS joined, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS pos FROM spelled
+            SELECT kind, number, line, len(w) AS n, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS pos FROM spelled
         ), runs AS (
-            SELECT kind, number, line, n, joined, pos, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o || ' ' || lead(a, 4) OVER o AS s
+            SELECT kind, number, line, n, pos, a AS s1, a || ' ' || lead(a) OVER o AS s2, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS s3,
+                   a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS s4,
+                   a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o || ' ' || lead(a, 4) OVER o AS s5
             FROM words WINDOW o AS (PARTITION BY kind, number, line ORDER BY pos)
+        ), sized AS (
+            SELECT kind, number, line, CASE width WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 WHEN 4 THEN s4 ELSE s5 END AS s
+            FROM runs JOIN widths ON kind = 'document' OR width = least(5, n)
         ), shingles AS (
-            SELECT DISTINCT kind, number, line, CASE WHEN n < 5 THEN joined ELSE s END AS s FROM runs WHERE n < 5 OR s IS NOT NULL
+            SELECT DISTINCT kind, number, line, s FROM sized WHERE s IS NOT NULL
         ), pieces AS (SELECT number AS item_id, s FROM shingles WHERE kind = 'item'),
         sizes AS (SELECT item_id, count(*) AS n FROM pieces GROUP BY 1)
         SELECT d.number AS doc_id, item_id, count(*) AS shared, n::INTEGER AS item_shingles, count(*) / n AS containment

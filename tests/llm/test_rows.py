@@ -240,20 +240,25 @@ def test_leaks_are_those_of_a_plain_search(spark):
         rows.append((i, " ".join(text).title().replace(" ", ", "), "en", "s", 1))
     benchmark = spark.createDataFrame([*[(k, " ".join(w)) for k, w in enumerate(items)], (50, None), (51, "... "), (52, " ".join(items[4]))], "item_id long, text string")
 
-    def cut(words):
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    def cut(words, width):
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
     wanted = set()
     for i, text, *_ in rows:
         words = re.findall(r"\w+", text.lower())
         for k, item in [*enumerate(items), (52, items[4])]:
-            mine = cut(item)
-            if len(mine & cut(words)) >= 0.8 * len(mine) - 1e-9:
+            width = min(5, len(item))
+            mine = cut(item, width)
+            if len(mine & cut(words, width)) >= 0.8 * len(mine) - 1e-9:
                 wanted.add((i, k))
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), benchmark).collect()}
     assert found == wanted
     short = documents(spark, [(1, " ".join(items[1]), "en", "s", 1), (2, "and " + " ".join(items[1]), "en", "s", 1)])
-    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(short, benchmark).collect()] == [(1, 1)]
+    held = {(i, k) for i in (1, 2) for k in (0, 1) if " ".join(items[k]) in " ".join(items[1])}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(short, benchmark).collect()} == held and len(held) >= 2
+    fox = spark.createDataFrame([(1, "quick brown fox"), (2, "The quick brown fox"), (3, "brown quick")], "item_id long, text string")
+    inside = documents(spark, [(7, "We saw how the Quick, brown fox ran off again", "en", "s", 1), (8, "quick fox", "en", "s", 1)])
+    assert {(r.doc_id, r.item_id, r.item_shingles) for r in decontaminate.leaks(inside, fox).collect()} == {(7, 1, 1), (7, 2, 1)}
     assert decontaminate.leaks(empty(spark), benchmark).count() == 0
     assert decontaminate.leaks(documents(spark), benchmark.where("item_id > 99")).count() == 0
     assert decontaminate.leaks(documents(spark), benchmark).where("doc_id is null").count() == 0
@@ -352,15 +357,18 @@ def test_redaction_is_that_of_a_plain_search(spark):
         found = [m[0] for m in every.finditer(text)]
         if any(titles.match(f) for f in found):
             continue
-        gaps = every.split(text)
+        gaps, before = every.split(text), changed
         parts = regex.fullmatch("(.*?)".join(map(regex.escape, gaps)), out, regex.S)
         assert parts and len(gaps) == len(found) + 1
         for f, shown in zip(found, parts.groups(), strict=True):
+            if re.fullmatch(r"\d{15,16}", f) and sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(f))) % 10:
+                assert shown == f  # no card
+                continue
             form, seen = (re.sub(r"\D", "", x)[-10:] if re.fullmatch(r"[\d +().-]+", x) and "." not in x else x.lower() for x in (f, shown))
             assert forms.setdefault(form, seen) == seen and back.setdefault(seen, form) == form and seen != form
             assert regex.sub(r"[^\W_]", "x", f) == regex.sub(r"[^\W_]", "x", shown) or "@" in f or f.count(".") == 3
             changed += 1
-        assert bool(found) == (text != out)
+        assert (changed > before) == (text != out)
     assert changed > 20 and not set(back) & set(forms)
 
 
@@ -387,6 +395,43 @@ def test_whole_runs_of_entities_are_replaced(spark):
     assert [r.k for r in found] == ["phone"]
 
 
+#: What is to be found, and what is not, written out by hand: no pattern of the operator takes part.
+PERSONAL = [
+    ("password: {abc123} and more", 1), ("Password = {x9k2}", 1), ("api-key: \"{s3cr3t!}\"".replace("!}", "}!"), 1), ("Ask Dr. {Karl} {Braun} today.", 1), ("Prof. Dr. {Keller} and Herr Dr. {Keller} agree.", 2),
+    ("Frau Prof. {Anna} {Keller} spoke.", 1), ("Профессор {Иванова} пришла.", 1), ("Host {fe80::1ff:fe23:4567:890a} is up.", 1), ("Host {2001:0DB8:0:0:8:800:200C:417A}.", 1), ("Loop {::1} back.", 1),
+    ("Card {4785380592391139} here.", 1), ("Card {4785-3805-9239-1138} here.", 1), ("Mail {a.b@c-d.example}, please.", 1), ("IP {10.1.2.3}:80 answers.", 1),
+]
+HARMLESS = [
+    "Number 9807915762804490 fails the check digit.", "At 12:30:45 use std::vector and a::b or Klass::Methode.", "Dr. was here. Prof. too; the doctor 3::x.", "The password is needed; a token, too.", "Version 1.2.3.4.5 of 2024."
+]
+
+
+def test_entities_written_out_by_hand(spark):
+    given = [re.sub("[{}]", "", t) for t, _ in PERSONAL] + HARMLESS
+    rows = {r.doc_id: r for r in pii.redact(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(given)]))[1].select("row.doc_id", "new", "n_entities").collect()}
+    for i, (marked, n) in enumerate(PERSONAL):
+        pieces = re.split(r"\{(.*?)\}", marked)
+        shape = "(.+?)".join(map(re.escape, pieces[::2]))
+        found = re.fullmatch(shape, rows[i].new)
+        assert found and rows[i].n_entities == n, (marked, rows[i].new)
+        assert all(new.lower() != old.lower() for new, old in zip(found.groups(), pieces[1::2], strict=True)), (marked, rows[i].new)
+    for i, text in enumerate(HARMLESS, len(PERSONAL)):
+        assert rows[i].new == text and rows[i].n_entities == 0, rows[i].new
+    agree = re.match(r"Prof\. Dr\. (\w+) and Herr Dr\. (\w+) agree", rows[4].new).groups()
+    anna, keller = re.match(r"Frau Prof\. (\w+) (\w+) spoke", rows[5].new).groups()
+    assert agree == (keller, keller) and anna.endswith(tuple(pii.ENDINGS["f", "latin"]))
+
+
+def test_surrogates_follow_the_key_of_the_setting(spark):
+    docs = documents(spark, [(1, "Write to ann@example.com", "en", "s", 1)])
+    usual = pii.redact(docs)[0].collect()[0].text
+    spark.conf.set(pii.KEY_SETTING, "another key")
+    try:
+        assert pii.redact(docs)[0].collect()[0].text != usual == pii.redact(docs, key=pii.KEY)[0].collect()[0].text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_grow_when_their_shapes_are_used_up(spark):
     """More entities than the shapes hold: 32,768 family names of three syllables, 676 addresses of one letter each before and behind the at sign."""
     letters = "abcdefghijklmnopqrstuvwxyz"
