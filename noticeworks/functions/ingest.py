@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,43 @@ def masked(attributes: Column) -> Column:
     return F.transform_values(attributes, lambda k, v: F.when(pii_key(k), MASK).otherwise(v))
 
 
+def is_personal(key: str) -> bool:
+    return key.lower() not in PII_ALLOWED and re.search(PII_KEYS, key) is not None
+
+
+def masked_value(value):
+    """A JSON value with all that stands under a personal key masked, whatever its type, at any depth."""
+    held = [value]
+    pending = [held]
+    while pending:
+        inside = pending.pop()
+        for at in list(inside) if isinstance(inside, dict) else range(len(inside)):
+            if isinstance(inside, dict) and is_personal(at):
+                inside[at] = MASK
+            elif isinstance(inside[at], (dict, list)):
+                pending.append(inside[at])
+    return held[0]
+
+
 def masked_json(text: Column) -> Column:
-    """A JSON text with the string, number and flag values of such keys masked at any depth."""
-    allowed = "|".join(PII_ALLOWED)
-    key = rf'(?i)("(?!(?:{allowed})")[^"]*{PII_KEYS[4:]}[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false|null)'
-    return F.regexp_replace(text, key, f'$1"{MASK}"')
+    """A JSON text, masked like masked_value; texts without a personal key stay as they are, and what cannot be read as JSON is masked whole."""
+
+    @F.pandas_udf("string")
+    def read(bodies: pd.Series) -> pd.Series:
+        return bodies.map(_masked_text)
+
+    # Escapes may hide a key.
+    suspect = text.rlike(PII_KEYS) | F.contains(text, F.lit("\\u"))
+    return F.coalesce(read(F.when(suspect, text)), text)
+
+
+def _masked_text(body: str | None) -> str | None:
+    if body is None:
+        return None
+    try:
+        return json.dumps(masked_value(json.loads(body)), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return json.dumps(MASK, ensure_ascii=False)
 
 
 def resolve(item: Column, path: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeworks.functions import labels
+from noticeworks.operators import staging
 
 PAGE_SIZE, LEAD_DAYS = 21, 7
 TABS = ("all", "unscheduled", "upcoming", "in_progress", "closed")
@@ -101,10 +102,18 @@ def page(rows: DataFrame, f: NoticeFilter) -> DataFrame:
     return rows.orderBy(*order(f.sort)).offset((f.page - 1) * f.size).limit(f.size)
 
 
-def neighbours(rows: DataFrame, sort: str, buckets: Column) -> DataFrame:
-    """id with the ids before and after it within its bucket, in the list's order."""
-    w = W.partitionBy(buckets).orderBy(*order(sort))
-    return rows.select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
+def neighbours(rows: DataFrame, sort: str) -> DataFrame:
+    """id with the ids before and after it in the list's order: ranges of the sort keys are put in order each, and trade the ids at their ends."""
+    keys = [k for k in ("notice_date", "close_dt", "open_dt", "est_price", "priority") if k in rows.columns]
+    # Drawn ranges differ from run to run, so a row's range is written down.
+    dealt = staging.written(rows.select("id", *keys).repartitionByRange(*order(sort)).withColumn("range", F.spark_partition_id()), "ranges")
+    w = W.partitionBy("range").orderBy(*order(sort))
+    near = staging.written(dealt.select("id", "range", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id")), "in-ranges")
+    ends = near.groupBy("range").agg(F.max(F.when(F.col("prev_id").isNull(), F.col("id"))).alias("first"), F.max(F.when(F.col("next_id").isNull(), F.col("id"))).alias("last"))
+    ends = sorted(ends.collect())  # one row for each range
+    trades = [(r.range, ends[k - 1].last if k else None, ends[k + 1].first if k + 1 < len(ends) else None) for k, r in enumerate(ends)]
+    trades = rows.sparkSession.createDataFrame(trades, "range int, before long, after long")
+    return near.join(F.broadcast(trades), "range").select("id", F.coalesce("prev_id", "before").alias("prev_id"), F.coalesce("next_id", "after").alias("next_id"))
 
 
 def tab_counts(rows: DataFrame, now: Column, lead_days: int = LEAD_DAYS) -> DataFrame:

@@ -39,7 +39,7 @@ OFFICE = {
     "docx": lambda title, brand: _archive(word__document_dot_xml=f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{title[:3]}</w:t></w:r><w:r><w:t>{title[3:]}</w:t></w:r></w:p><w:p/><w:p><w:t>{brand}</w:t></w:p></w:body></w:document>'),
     "pptx": lambda title, brand: _archive(ppt__slides__slide2_dot_xml=f'<p:sld xmlns:p="p" xmlns:a="a"><a:t>{brand}</a:t></p:sld>', ppt__slides__slide1_dot_xml=f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:t>{title}</a:t></a:p></p:sld>'),
     "xlsx": lambda title, brand: _archive(xl__sharedStrings_dot_xml=f'<sst xmlns="s"><si><r><t>{title[:2]}</t></r><r><t>{title[2:]}</t></r></si></sst>', xl__worksheets__sheet1_dot_xml=f'<worksheet xmlns="s"><c t="inlineStr"><is><t>{brand}</t></is></c></worksheet>'),
-    "hwp": lambda title, brand: _archive(Contents__section0_dot_xml=f'<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:t>{title[:4]}<hp:fwSpace/>{title[4:]}</hp:t></hp:p><hp:p><hp:t>{brand}</hp:t></hp:p></hs:sec>'),
+    "hwp": lambda title, brand: _archive(Contents__section0_dot_xml=f'<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:t>{title.replace(' ', '<hp:lineBreak/>')}</hp:t></hp:p><hp:p><hp:t>{brand}</hp:t></hp:p></hs:sec>'),
     "hwpx": lambda title, brand: b"PK damaged",
     "pdf": lambda title, brand: b"%PDF",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions import ingest, labels
-from noticeworks.operators import upkeep
+from noticeworks.operators import staging, upkeep
 from noticeworks.plans.registry import query
 from noticeworks.sources import captures, pages
 from noticeworks.sources.fixtures import Frames
@@ -71,10 +73,27 @@ def map_09(t: Frames) -> DataFrame:
     return t.table("events").select("event_id", bag["telNo"].alias("telno"), bag["deptNm"].alias("deptnm"))
 
 
-@query("MAP_09_masked_json", """SELECT event_id, '{"a":[{"managerName":"[개인정보 마스킹됨]","v":' || event_id || '}],"orgNm":"x"}' AS body FROM events""", False)
+#: A body with personal keys over objects, arrays and scalars at several depths, one in a string, names that are allowed, and the event's own properties.
+BODY = (
+    '{{"manager":{{"name":"{kind}","no":[{n}]}},"telNo":["010-{n}",{{"x":1}}],"a":[{{"b":{{"eMail":{{"x":"k@x.kr"}}}},"v":{n}}},{{"props":{props},"charger":null}}],'
+    '"note":"say \\"telNo\\": 5","orgNm":"{kind}","deptNm":{{"mbrId":true,"in":[[{{"연락처":{n}}}]]}},"n":null}}'
+)
+BODY_SQL = "'" + BODY.replace("{{", "{").replace("}}", "}").replace("{kind}", "' || event_type || '").replace("{n}", "' || event_id || '").replace("{props}", "' || props || '") + "'"
+MASKED_SQL = f"""
+    WITH bodies AS (SELECT event_id, event_type, ({BODY_SQL})::JSON AS body FROM events)
+    SELECT event_id, event_type, json_object('manager', m, 'telNo', m, 'a', json_array(json_object('b', json_object('eMail', m), 'v', body->'$.a[0].v'), json_object('props', body->'$.a[1].props', 'charger', m)),
+        'note', body->'$.note', 'orgNm', body->'$.orgNm', 'deptNm', json_object('mbrId', m, 'in', json_array(json_array(json_object('연락처', m)))), 'n', body->'$.n')::VARCHAR AS body
+    FROM bodies, (SELECT '[개인정보 마스킹됨]' AS m)
+"""
+
+
+def bodies(t: Frames) -> DataFrame:
+    return t.table("events").select("event_id", "event_type", F.expr(BODY_SQL.replace("\\", "\\\\")).alias("body"))
+
+
+@query("MAP_09_masked_json", f"SELECT event_id, body FROM ({MASKED_SQL})", False)
 def map_09_json(t: Frames) -> DataFrame:
-    body = F.concat(F.lit('{"a":[{"managerName":"'), "event_type", F.lit('","v":'), F.col("event_id").cast("string"), F.lit('}],"orgNm":"x"}'))
-    return t.table("events").select("event_id", ingest.masked_json(body).alias("body"))
+    return bodies(t).select("event_id", ingest.masked_json(F.col("body")).alias("body"))
 
 
 @query("SRC_05_envelopes", "SELECT event_id, CASE event_type WHEN 'error' THEN 'LIMIT' WHEN 'view' THEN 'bad' END AS error FROM events", False)
@@ -309,11 +328,16 @@ def src_01(t: Frames) -> DataFrame:
     return t.table("lineitem").where((F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_quantity")
 
 
-@query("SNK_01_masked_captures", """SELECT event_type AS endpoint, count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS masked FROM events GROUP BY 1""", False)
+@query("SNK_01_masked_captures", f"""
+    WITH raw AS (SELECT event_type AS endpoint, ({BODY_SQL})::JSON AS body FROM events),
+    walked AS (SELECT endpoint, key IS NOT NULL AND regexp_matches(key, '(?i)(ofcl|manager|charger|picnm|pic_?tel|refrnc|telno|celno|mbr|담당자|연락처|휴대폰|이메일|e-?mail)') AND lower(key) NOT IN ('deptnm', 'orgnm') AS personal FROM raw, json_tree(body))
+    SELECT endpoint, count(*) FILTER (personal) AS masked, (SELECT count(*) FROM events WHERE event_type = endpoint) AS n FROM walked GROUP BY 1""", False)
 def snk_01(t: Frames) -> DataFrame:
-    body = F.when(F.col("event_id") % 2 == 0, '{"items":[{"telNo":"010","title":"x"}]}').otherwise('{"items":[{"title":"x"}]}')
-    rows = t.table("events").select(F.col("event_type").alias("endpoint"), ingest.masked_json(body).alias("body"))
-    return rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if(F.contains("body", F.lit(ingest.MASK)) & ~F.contains("body", F.lit("010"))).alias("masked"))
+    """Captures are appended masked; read back, each has one mask for every personal key, none of which stands below another here."""
+    path = staging.folder(t.spark, "captures")
+    bodies(t).select(F.col("event_type").alias("endpoint"), ingest.masked_json(F.col("body")).alias("body")).write.mode("append").parquet(path)
+    masks = F.size(F.split("body", re.escape(ingest.MASK))) - 1
+    return t.spark.read.schema("endpoint string, body string").parquet(path).groupBy("endpoint").agg(F.sum(masks).alias("masked"), F.count("*").alias("n"))
 
 
 @query("SNK_08_claims", "SELECT customer_id, notice_id, min(event_id) AS event_id FROM evs WHERE event_type = 'click' AND (customer_id, notice_id) NOT IN (SELECT (customer_id, notice_id) FROM evs WHERE event_type = 'like') GROUP BY 1, 2")

@@ -174,14 +174,18 @@ def join_03(t: Frames) -> DataFrame:
     return rows.select("id", F.size(chips).cast("long").alias("n_chips"), F.aggregate(chips, F.lit(0).cast("long"), lambda a, c: a + c["l2"]).alias("l2"))
 
 
-@query("WIN_07_neighbours", BASE_SQL + f"SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM listed WHERE {LEAD} AND bid_status = 'in_progress' WINDOW w AS (PARTITION BY source_id ORDER BY est_price DESC NULLS LAST, id)")
+@query("WIN_07_neighbours", BASE_SQL + f"SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM listed WHERE {LEAD} AND bid_status = 'in_progress' WINDOW w AS (ORDER BY est_price DESC NULLS LAST, id)")
 def win_07(t: Frames) -> DataFrame:
-    return listing.neighbours(listing.filtered(base(t), NoticeFilter(), t.now), "est_price", F.col("source_id"))
+    return listing.neighbours(listing.filtered(base(t), NoticeFilter(), t.now), "est_price")
 
 
-@query("Q_05_notice_detail", LABELLED + ", org_name, source_name, datediff('day', TIMESTAMP '2000-01-01', close_dt) AS days FROM statused WHERE stage = 'O'")
+@query("Q_05_notice_detail", BASE_SQL + f", near AS (SELECT id AS near_id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM listed WHERE {LEAD} AND bid_status = 'upcoming' WINDOW w AS (ORDER BY close_dt ASC NULLS LAST, id))"
+    + LABELLED + ", org_name, source_name, datediff('day', TIMESTAMP '2000-01-01', close_dt) AS days, prev_id, next_id FROM statused LEFT JOIN near ON near_id = id WHERE stage = 'O'")
 def q_05(t: Frames) -> DataFrame:
-    return labelled(base(t).where("stage = 'O'")).select("id", "bid_status", "notice_type", "status_label", "work_label", "org_name", "source_name", F.datediff("close_dt", t.now).cast("long").alias("days"))
+    """Notices with those before and after them in the list they are opened from; none for a notice that the list does not have."""
+    near = listing.neighbours(listing.filtered(base(t), NoticeFilter(tab="upcoming", sort="close_dt"), t.now), "close_dt")
+    rows = labelled(base(t).where("stage = 'O'")).join(near, "id", "left")
+    return rows.select("id", "bid_status", "notice_type", "status_label", "work_label", "org_name", "source_name", F.datediff("close_dt", t.now).cast("long").alias("days"), "prev_id", "next_id")
 
 
 @query("Q_04_filter_options_AGG_25_26", """

@@ -1,12 +1,13 @@
 """Rules on literals: labels, parsing, scores, verdicts."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.functions import ingest, labels, scoring
-from noticeworks.operators import dedup, interest, keywords, latest
+from noticeworks.operators import dedup, interest, keywords, latest, listing
 from noticeworks.operators.listing import NoticeFilter, filtered
 
 
@@ -135,3 +136,59 @@ def test_quota_pick_fills_sections_in_order_of_score(spark):
 def test_superseded_rows_are_not_listed(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id long, superseded_by long, title string").withColumn("open_dt", at("1999-01-01")).withColumn("close_dt", at(None))
     assert [r.id for r in filtered(rows, NoticeFilter(), at("2000-01-01")).collect()] == [1]
+
+
+def test_masks_of_whole_subtrees(spark):
+    bodies = {
+        '{"manager":{"name":"Kim","no":"010-1"},"telNo":["010-2"],"a":[{"b":{"email":{"x":"k@x.kr"}}}]}': '{"manager":"M","telNo":"M","a":[{"b":{"email":"M"}}]}',
+        '{"note":"a \\"telNo\\": 5, {\\"email\\":1}","orgNm":{"mbr":1}}': '{"note":"a \\"telNo\\": 5, {\\"email\\":1}","orgNm":{"mbr":"M"}}',
+        '{"\\u0074elNo":"010"}': '{"telNo":"M"}',
+        '[{"celNo":null},[[{"deptNm":"d","OFCLnm":false}]]]': '[{"celNo":"M"},[[{"deptNm":"d","OFCLnm":"M"}]]]',
+        '{"x": 1.50, "y" : "kept as written"}': '{"x": 1.50, "y" : "kept as written"}',
+        '"a text with telNo"': '"a text with telNo"',
+        '{"telNo": broken': '"M"',
+        "[" * 100_000 + '{"email":1}' + "]" * 100_000: '"M"',
+        "": "",
+    }
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate([*bodies, None])], "k int, b string").select("k", ingest.masked_json(F.col("b")).alias("m")).collect()
+    wanted = [v.replace('"M"', f'"{ingest.MASK}"') for v in bodies.values()] + [None]
+    assert {r.k: r.m for r in rows} == dict(enumerate(wanted))
+
+
+def test_keyword_automaton_finds_what_a_plain_search_finds(spark, monkeypatch):
+    draw = random.Random(4)
+    terms = sorted({"".join(draw.choice("abAB ") for _ in range(draw.randrange(1, 5))) for _ in range(60)} | {"aa", "AAA", "한글", "İx"})
+    rules = [(k, k % 7, t, draw.choice((-5, 1, 2, 4))) for k, t in enumerate(terms)] + [(900, 1, "", 4), (901, 2, terms[0], 3)]
+    docs = [(k, *("".join(draw.choice("abAB 한글İx") for _ in range(draw.randrange(n))) for n in (12, 60))) for k in range(80)] + [(80, None, None), (81, "", "aaaaa")]
+    frames = spark.createDataFrame(docs, "id long, title string, text string"), spark.createDataFrame(rules, "rule_id int, topic int, term string, weight int")
+    wanted = {}
+    for k, title, text in docs:
+        for rule, topic, term, weight in rules:
+            in_title, in_text = ((x or "").lower().count(term.lower()) if term else 0 for x in (title, text))
+            if in_title + in_text:
+                score, hits = wanted.setdefault((k, topic), (0, []))
+                wanted[k, topic] = score + weight * (5 * in_title + in_text), [*hits, f"{term}×{in_title + in_text}"]
+    wanted = {(k, t, s, ",".join(h)) for (k, t), (s, h) in wanted.items()}
+    automaton = {(r.id, r.topic, r.score, r.terms) for r in keywords.frequency_scores(*frames).collect()}
+    assert automaton == wanted
+    monkeypatch.setattr(keywords, "MOST_RULES", 3)  # beyond it, rules are joined
+    assert {(r.id, r.topic, r.score, r.terms) for r in keywords.frequency_scores(*frames).collect()} == wanted
+    assert keywords.frequency_scores(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_many_keyword_rules(spark):
+    rules = spark.range(100_000).select(F.col("id").cast("int").alias("rule_id"), F.lit(1).alias("topic"), F.concat(F.lit("word"), "id", F.lit(";")).alias("term"), F.lit(2).alias("weight"))
+    docs = spark.range(2_000).select("id", F.concat(F.lit("Word"), F.col("id") * 49, F.lit("; word1; WORD")).alias("title"))
+    found = {r.id: r.terms for r in keywords.presence_scores(docs, rules).collect()}
+    assert len(found) == 2_000 and found[3] == "word1;,word147;"
+
+
+def test_neighbours_cross_the_borders_of_ranges(spark):
+    draw = random.Random(5)
+    rows = [(k, draw.choice((None, 1.0, 2.0, draw.random()))) for k in draw.sample(range(5_000), 400)]
+    frame = spark.createDataFrame(rows, "id long, est_price double").repartition(7)
+    order = [k for k, p in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    found = {r.id: (r.prev_id, r.next_id) for r in listing.neighbours(frame, "est_price").collect()}
+    assert found == {k: (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) for n, k in enumerate(order)}
+    assert listing.neighbours(frame.limit(1), "est_price").collect()[0][1:] == (None, None)
+    assert listing.neighbours(frame.limit(0), "est_price").count() == 0

@@ -33,6 +33,25 @@ def test_ranked_picks_are_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(plans.QUERIES[name](spark, DATA))
 
 
-@pytest.mark.parametrize("name", [n for n in plans.QUERIES if n.startswith(("FLT", "SRT", "AGG", "JOIN", "CASE", "MAP"))])
+#: An automaton walks texts, and JSON of any shape is masked, in Arrow batches.
+IN_BATCHES = ("AGG_18", "AGG_19", "SRT_13", "MAP_09_masked_json")
+
+
+@pytest.mark.parametrize("name", [n for n in plans.QUERIES if n.startswith(("FLT", "SRT", "AGG", "JOIN", "CASE", "MAP")) and not n.startswith(IN_BATCHES)])
 def test_relational_queries_stay_out_of_python(spark, name):
     assert not re.search(r"ArrowEvalPython|MapInPandas|BatchEvalPython|FlatMapGroupsInPandas", plan(plans.QUERIES[name](spark, DATA)))
+
+
+@pytest.mark.parametrize("name", ["AGG_18_JOIN_15_keyword_presence", "AGG_19_keyword_frequency"])
+def test_keyword_texts_are_walked_once_and_not_shuffled_on(spark, name):
+    """One walk for each text; after it rows hold numbers and terms, no text."""
+    text = plan(plans.QUERIES[name](spark, DATA))
+    assert text.count(") ArrowEvalPython") == 1 and "BatchEvalPython" not in text
+    walk = re.search(r"\((\d+)\) ArrowEvalPython", text)[1]
+    after = [m for m in re.finditer(r"\((\d+)\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text) if int(m[1]) > int(walk)]
+    assert after and not any(re.search(r"\b(title|text)#", m[2]) for m in after)
+
+
+@pytest.mark.parametrize("name", ["WIN_07_neighbours", "Q_05_notice_detail"])
+def test_neighbours_come_without_one_partition_for_all(spark, name):
+    assert "SinglePartition" not in plan(plans.QUERIES[name](spark, DATA))

@@ -5,6 +5,8 @@ import io
 import json
 import zipfile
 
+from pyspark.sql import functions as F
+
 from noticeworks.sources import captures, files
 from noticeworks.streaming import engagement
 
@@ -54,11 +56,32 @@ def test_documents_by_kind(spark, tmp_path):
     rows = {r.name: r for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert rows["a.docx"].text == "one & two\nthree"
     assert rows["b.txt"].text == "한글"
-    assert rows["c.hwp"].text == "hangul" and rows["c.hwp"].method == "hwpx" and rows["c.hwp"].attempted == ["hwpx"]
+    assert rows["c.hwp"].text == "han gul" and rows["c.hwp"].method == "hwpx" and rows["c.hwp"].attempted == ["hwpx"]
     assert rows["f.xlsx"].text == "Name\nPrice\ninline" and rows["g.pptx"].text == "a b\nc"
     assert not rows["d.docx"].ok and not rows["e.pdf"].ok and rows["e.pdf"].error == "unsupported" and rows["h.hwp"].attempted == []
 
 
+def test_damaged_archives_are_rows_not_errors(spark):
+    good = archive(word__document_dot_xml="<d><p><t>" + "some text " * 500 + "</t></p></d>")
+    compressed = io.BytesIO()
+    with zipfile.ZipFile(compressed, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("word/document.xml", "<d><p><t>" + "some text " * 500 + "</t></p></d>")
+    data = compressed.getvalue()
+    start = data.index(b"document.xml") + 12
+    broken = data[:start] + b"\xff" * 20 + data[start + 20 :]
+    locked = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + at] |= 1
+    assert files.extract("a.docx", good)[2]
+    for content in (broken, bytes(locked), good[:60], data[:-30], b"PK", b""):
+        text, method, ok, error, attempted = files.extract("a.docx", content)
+        assert (text, method, ok, attempted) == ("", "docx", False, ["docx"]) and error is not None
+        inner = dict(files.entries(archive(a_dot_txt="x", in_dot_zip=content)))
+        assert inner == {"a.txt": b"x", "in.zip": content}
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate((broken, bytes(locked), good))], "k int, c binary")
+    assert [r.name for r in rows.lateralJoin(files.ZipEntries(F.col("c").outer())).select("name").collect()] == ["word/document.xml"]
+
+
 def test_stream_drops_repeats(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 0, 0, s), k) for k, s in enumerate((0, 4, 8, 9))]
     spark.createDataFrame(rows, "customer_id long, ts timestamp, event_id long").write.parquet(f"{tmp_path}/in")
