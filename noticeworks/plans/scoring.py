@@ -343,6 +343,29 @@ def str_01_stream(t: Frames) -> DataFrame:
     return spark.read.schema("event_id long, customer_id long, ts timestamp").parquet(f"{folder}/out").select("customer_id", "event_id")
 
 
+@query("STR_06_CASE_06_jobs_that_time_out", """
+    WITH followed AS (
+        SELECT source_id, run_id, run_at, status, first_value(CASE WHEN status <> 'running' THEN run_at END IGNORE NULLS) OVER o AS ended,
+               first_value(CASE WHEN status <> 'running' THEN status END IGNORE NULLS) OVER o AS outcome, max(run_at) OVER () - INTERVAL 1 HOUR AS known
+        FROM runs WINDOW o AS (PARTITION BY source_id ORDER BY run_at, run_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    )
+    SELECT source_id, run_id, CASE WHEN ended <= run_at + INTERVAL 60 MINUTE THEN CASE outcome WHEN 'fail' THEN 'failed' ELSE 'done' END ELSE 'timed_out' END AS state,
+           epoch_us(CASE WHEN ended <= run_at + INTERVAL 60 MINUTE THEN ended ELSE run_at + INTERVAL 60 MINUTE END) AS at
+    FROM followed WHERE status = 'running' AND (ended IS NOT NULL OR run_at + INTERVAL 60 MINUTE < known)
+""")
+def str_06_stream(t: Frames) -> DataFrame:
+    """Started jobs followed by a stateful stream: an outcome ends one, a timer ends one that got none in an hour."""
+    spark = t.spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = engagement.work_folder(spark)
+    files = spark.readStream.schema(t.table("events").schema).parquet(f"{t.sf_dir}/events[.]parquet")
+    # The statuses of the domain frame.
+    status = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "running").when(F.col("event_type") == "view", "warn").otherwise("ok")
+    runs = files.select((F.col("user_id") % 27).alias("source_id"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    engagement.run_available(engagement.job_outcomes(runs, 3_600), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema("source_id long, run_id long, state string, at timestamp").parquet(f"{folder}/out").withColumn("at", F.unix_micros("at"))
+
+
 @query("STR_01_SNK_12_views_and_clicks", """
     WITH ranked AS (
         SELECT customer_id, notice_id, event_type, event_id, ts, CASE event_type WHEN 'view' THEN 300000000 ELSE 5000000 END AS most,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,15 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from noticeworks.operators import staging
+
+
+#: How late a row may be.
+LATE = "1 hour"
+
+
+def forget(handle: StatefulProcessorHandle) -> None:
+    """Takes back the timers of the current key."""
+    for at in list(handle.listTimers()):
+        handle.deleteTimer(at)
+
+
+def milliseconds(at: pd.Timestamp, seconds: int) -> int:
+    """The first whole millisecond that is more than so many seconds after a time (of UTC)."""
+    return (at.value // 1_000 + 1_000_000 * seconds) // 1_000 + 1
+
 
 class Accepted(StatefulProcessor):
-    """Keeps, per key, the time of the last accepted event; an event within so many seconds of it is dropped."""
+    """Keeps, per key, the time of the last accepted event; an event within so many seconds of it is dropped.  A timer ends the state with that time."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
+        self.handle, self.last = handle, handle.getValueState("last", "at timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(rows).sort_values(["ts", "event_id"])
@@ -29,25 +44,91 @@ class Accepted(StatefulProcessor):
             fresh = last is None or (at - last).total_seconds() > self.seconds
             kept.append(fresh)
             last = at if fresh else last
-        if last is not None:
-            self.last.update((last.to_pydatetime(),))
+        self.last.update((last.to_pydatetime(),))
+        forget(self.handle)
+        self.handle.registerTimer(milliseconds(last, self.seconds))
         yield batch[kept]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def accepted(events: DataFrame, keys: list[str], seconds: int, late: str = LATE) -> DataFrame:
+    """Events of a stream (ts timestamp, event_id) that do not repeat the last accepted one of their keys.
+
+    Rows of a key must come in order of time across batches; those later than the watermark are dropped, and a key's state ends when the watermark has passed its time."""
+    schema = events.schema.simpleString()[7:-1].replace(":", " ")
+    return events.withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(Accepted(seconds), schema, "append", "eventTime")
+
+
+class Jobs(StatefulProcessor):
+    """Follows jobs that were started, per key, until an outcome comes or their time is up."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.started = handle, handle.getListState("started", "run_id long, at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(rows).sort_values(["ts", "run_id"])
+        held, out = self._held(), []
+        for run_id, at, status in zip(batch["run_id"], batch["ts"], batch["status"], strict=True):
+            held = self._timed_out(key, held, at, out)
+            if status == "running":
+                held.append((int(run_id), at))
+            else:
+                out += [(*key, n, "failed" if status == "fail" else "done", at) for n, _ in held]
+                held = []
+        self._keep(held)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list[tuple] = []
+        # A timer set now would only fire in the next batch, so all whose time the watermark has passed go at once.
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        self._keep(self._timed_out(key, self._held(), now, out))
+        yield self._frame(out)
+
+    def _held(self) -> list:
+        return [(n, pd.Timestamp(at)) for n, at in self.started.get()] if self.started.exists() else []
+
+    def _timed_out(self, key, held: list, now: pd.Timestamp, out: list) -> list:
+        """Those of the held jobs that still have time; the others go to out, as of the end of their time."""
+        end = pd.Timedelta(seconds=self.seconds)
+        out += [(*key, n, "timed_out", at + end) for n, at in held if now - at > end]
+        return [(n, at) for n, at in held if now - at <= end]
+
+    def _keep(self, held: list) -> None:
+        forget(self.handle)
+        if held:
+            self.started.put([(n, at.to_pydatetime()) for n, at in held])
+            self.handle.registerTimer(milliseconds(min(at for _, at in held), self.seconds))
+        else:
+            self.started.clear()
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["source_id", "run_id", "state", "at"]).astype({"at": "datetime64[us]"})
+
     def close(self) -> None:
         pass
 
 
-def accepted(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Events of a stream (ts timestamp, event_id) that do not repeat the last accepted one of their keys.  Rows of a key must come in order of time across batches."""
-    return events.groupBy(*keys).transformWithStateInPandas(Accepted(seconds), events.schema.simpleString()[7:-1].replace(":", " "), "append", "none")
+def job_outcomes(runs: DataFrame, seconds: int, late: str = LATE) -> DataFrame:
+    """source_id, run_id, state (done, failed or timed_out) and time of every started job of a stream (source_id, run_id, ts, status).
+
+    The next outcome of its source ends a job; without one it times out when the watermark has passed its time, and nothing of it is kept."""
+    return runs.withWatermark("ts", late).groupBy("source_id").transformWithStateInPandas(Jobs(seconds), "source_id long, run_id long, state string, at timestamp", "append", "eventTime")
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and state, where driver and executors share one: under spark.checkpoint.dir, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='noticeworks-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's output and state, removed at the end of the application."""
+    return staging.folder(spark, "stream")
 
 
 def run_available(rows: DataFrame, folder: str, checkpoint: str) -> None:

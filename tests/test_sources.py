@@ -90,6 +90,23 @@ def test_stream_drops_repeats(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 2]
 
 
+def test_state_ends_with_its_time(spark, tmp_path):
+    """A stream in batches, days apart: what the first left is gone, and a job without an outcome has timed out."""
+    at = lambda day, minute=0: dt.datetime(2024, 1, day, 0, minute)
+    batches = ([(1, at(1), 1, "running"), (2, at(1), 2, "running"), (2, at(1, 30), 3, "ok"), (3, at(1), 4, "fail")], [(4, at(3), 5, "running"), (4, at(3, 20), 6, "fail"), (5, at(3, 30), 7, "running")], [(6, at(5), 8, "ok")])
+    schema = "source_id long, ts timestamp, event_id long, status string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        engagement.run_available(engagement.accepted(stream, ["source_id"], 600), f"{tmp_path}/out", f"{tmp_path}/cp")
+        engagement.run_available(engagement.job_outcomes(stream.withColumnRenamed("event_id", "run_id"), 3_600), f"{tmp_path}/jobs", f"{tmp_path}/jobs-cp")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 8
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "last").load()
+    assert [r.key.source_id for r in state.collect()] == [6]
+    jobs = {(r.source_id, r.run_id, r.state, r.at) for r in spark.read.parquet(f"{tmp_path}/jobs").collect()}
+    assert jobs == {(1, 1, "timed_out", dt.datetime(2024, 1, 1, 1)), (2, 2, "done", at(1, 30)), (4, 5, "failed", at(3, 20)), (5, 7, "timed_out", dt.datetime(2024, 1, 3, 1, 30))}
+
+
 def test_stream_appends_only_new_keys(spark, tmp_path):
     schema = "url string, v long"
     spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], schema).write.parquet(f"{tmp_path}/in")
