@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions import labels, scoring
-from noticeworks.operators import dedup, interest, keywords, upkeep
+from noticeworks.operators import dedup, interest, keywords, upkeep, vectors
 from noticeworks.plans.listings import GOV, base
 from noticeworks.plans.registry import query
 from noticeworks.sources.fixtures import Frames
@@ -214,6 +214,31 @@ def sco_10(t: Frames) -> DataFrame:
     return rows.orderBy(F.desc("sim"), "vec_id").limit(20).select("vec_id", "label", F.round(100 * F.col("sim"), 6).alias("score"))
 
 
+NEAREST_SQL = """
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round((1 + list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))) / 2, 12) AS similarity FROM v q CROSS JOIN v WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, place::INTEGER AS place, round(100 * similarity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM s) WHERE place <= 20
+"""
+
+
+def _vectors(t: Frames) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated queries: those whose number is divisible by 100."""
+    rows = t.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+@query("SCO_10_nearest_exact", NEAREST_SQL, False)
+def sco_10_exact(t: Frames) -> DataFrame:
+    return vectors.nearest_exact(*_vectors(t)).select("query_id", "id", "place", F.round(100 * F.col("similarity"), 6).alias("score"))
+
+
+@query("SCO_18_SRT_09_nearest_by_index", NEAREST_SQL, False)
+def sco_18_index(t: Frames) -> DataFrame:
+    """The same through the inverted file, completed by the cells that may hold a nearer vector."""
+    rows, asked = _vectors(t)
+    return vectors.nearest(vectors.indexed(rows), asked, complete=True).select("query_id", "id", "place", F.round(100 * F.col("similarity"), 6).alias("score"))
+
+
 @query("SCO_10_weighted_pair", "SELECT id, coalesce(0.6 * a + 0.4 * b, a, b) AS value FROM (SELECT id, CASE WHEN id % 3 <> 0 THEN est_price END AS a, CASE WHEN id % 5 <> 0 THEN org_id::DOUBLE END AS b FROM notices)")
 def sco_10_pair(t: Frames) -> DataFrame:
     a, b = F.when(F.col("id") % 3 != 0, F.col("est_price")), F.when(F.col("id") % 5 != 0, F.col("org_id").cast("double"))

@@ -1,14 +1,17 @@
 """Rules on literals: labels, parsing, scores, verdicts."""
 
 import datetime as dt
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.functions import ingest, labels, scoring
-from noticeworks.operators import dedup, interest, keywords, latest, listing
+from noticeworks.operators import dedup, interest, keywords, latest, listing, vectors
 from noticeworks.operators.listing import NoticeFilter, filtered
+from tests.compare import DATA
 
 
 def one(spark, column):
@@ -192,3 +195,41 @@ def test_neighbours_cross_the_borders_of_ranges(spark):
     assert found == {k: (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) for n, k in enumerate(order)}
     assert listing.neighbours(frame.limit(1), "est_price").collect()[0][1:] == (None, None)
     assert listing.neighbours(frame.limit(0), "est_price").count() == 0
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    """Both modes against numpy, with blocks smaller than cells; nulls, zeros and equal vectors; recall of the index alone."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    draw = np.random.default_rng(6)
+    heart = draw.normal(size=(12, 16))
+    data = np.round(heart[draw.integers(0, 12, 1500)] + 0.35 * draw.normal(size=(1500, 16)), 6)
+    data[40:60] = data[40]
+    rows = [(k, v.tolist()) for k, v in enumerate(data)] + [(9001, None), (9002, [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = frame.where("id % 50 = 0 or id > 9000").withColumnRenamed("id", "query_id")
+    unit = data.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = {}
+    for q in range(0, 1500, 50):
+        similar = np.round((1 + unit @ unit[q]) / 2, vectors.DECIMALS)
+        wanted[q] = sorted(range(1500), key=lambda k: (-similar[k], k))[:20]  # noqa: B023
+    lists = lambda found: {q: [r.id for r in sorted(g, key=lambda r: r.place)] for q, g in itertools.groupby(sorted(found.collect(), key=lambda r: r.query_id), lambda r: r.query_id)}
+    assert lists(vectors.nearest_exact(frame, asked)) == wanted
+    index = vectors.indexed(frame)
+    assert index.rows.count() == 1500 and len(index.centres) == 38
+    assert lists(vectors.nearest(index, asked, probes=1, complete=True)) == wanted
+    some = lists(vectors.nearest(index, asked))
+    assert sum(len(set(some[q]) & set(wanted[q])) for q in wanted) >= 0.9 * 20 * len(wanted)
+    few = vectors.indexed(frame.where("id < 5"))
+    assert {q: len(ids) for q, ids in lists(vectors.nearest(few, asked.where("query_id < 100"), probes=1, complete=True)).items()} == {0: 5, 50: 5}
+    assert vectors.nearest(vectors.indexed(frame.where("id > 9000")), asked).count() == 0
+
+
+def test_recall_of_the_vector_index(spark):
+    """Every vector whose number is divisible by 100 against all of the test table, by the index alone; these vectors point anywhere, so it takes most cells."""
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    pairs = lambda found: {(r.query_id, r.id) for r in found.collect()}
+    exact = pairs(vectors.nearest_exact(rows, asked))
+    assert len(pairs(vectors.nearest(vectors.indexed(rows), asked, probes=18)) & exact) >= 0.9 * len(exact)
