@@ -69,6 +69,17 @@ def _masked_text(body: str | None) -> str | None:
         return json.dumps(MASK, ensure_ascii=False)
 
 
+def first_match(value: Column, path: str) -> Column:
+    """The first value that a JSON path leads to, wildcards in arrays included; null if there is none.  Objects and arrays come as JSON text."""
+    head, star, rest = path.partition("[*]")
+    found = F.get_json_object(value, head)
+    if not star:
+        return found
+    parts = F.from_json(found, "array<string>")
+    led = F.transform(parts, lambda v: first_match(v, f"${rest}")) if rest else parts
+    return F.get(F.filter(led, lambda v: v.isNotNull()), 0)
+
+
 def resolve(item: Column, path: str) -> Column:
     """const: literal, urlfmt: template over top-level keys (null if one is missing), else a JSON path."""
     if path.startswith("const:"):
@@ -76,7 +87,7 @@ def resolve(item: Column, path: str) -> Column:
     if path.startswith("urlfmt:"):
         parts = re.split(r"\{(\w+)\}", path[7:])
         return F.concat(*[F.get_json_object(item, f"$.{p}") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
-    return F.get_json_object(item, path)
+    return first_match(item, path)
 
 
 def parse_date(value: Column, pattern: str | None) -> Column:

@@ -67,6 +67,17 @@ def map_10(t: Frames) -> DataFrame:
     return mapped(t).groupBy(F.coalesce(reason, F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+PATHS = {"deep": "$.a[*].b", "nested": "$.rows[*].cells[*]", "inner": "$.rows[*].cells[*].v", "late": "$.a[*].only", "whole": "$.a[*]", "one": "$.a[1].b", "none": "$.missing[*].b", "plain": "$.kind"}
+
+
+@query("MAP_01_first_matches", """
+    SELECT event_id, event_id::VARCHAR AS deep, '{"v":"' || event_type || '"}' AS nested, event_type AS inner, CASE WHEN event_id % 2 = 0 THEN 'last' END AS late, '{"c":0}' AS whole, event_id::VARCHAR AS one, NULL::VARCHAR AS none, event_type AS plain FROM events""", False)
+def map_01_first(t: Frames) -> DataFrame:
+    """The first of several matches of a path; some lead nowhere, some only in a later element."""
+    body = F.expr("""concat('{"kind":"', event_type, '","a":[{"c":0},{"b":', event_id, '},{"b":7', if(event_id % 2 = 0, ',"only":"last"', ''), '}],"rows":[{"cells":[]},{"cells":[{"v":"', event_type, '"},{"v":"x"}]}]}')""")
+    return t.table("events").select("event_id", body.alias("body")).select("event_id", *(ingest.resolve(F.col("body"), path).alias(name) for name, path in PATHS.items()))
+
+
 @query("MAP_09_masked_map", "SELECT event_id, '[개인정보 마스킹됨]' AS telno, props AS deptnm FROM events", False)
 def map_09(t: Frames) -> DataFrame:
     bag = ingest.masked(F.create_map(F.lit("telNo"), F.col("event_type"), F.lit("deptNm"), F.col("props")))
