@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions import labels, scoring
-from noticeworks.operators import dedup, interest, keywords, upkeep, vectors
+from noticeworks.operators import dedup, interest, keywords, ranking, upkeep, vectors
 from noticeworks.plans.listings import GOV, base
 from noticeworks.plans.registry import query
 from noticeworks.sources.fixtures import Frames
@@ -148,25 +148,23 @@ def _average_sql(names: dict[str, float]) -> str:
     return f"round_even(round(greatest(0, least(1, ({total}) / ({weights}))) * 100, 9), 0)::INTEGER"
 
 
+def signal_frames(t: Frames) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Signals (value) of notices, and of customers and notices."""
+    of = lambda kind: t.events.where(F.col("event_type").isin(*kind)).select(F.col("customer_id").alias("customer"), F.col("notice_id").alias("id"), "event_type", "ts", "event_id")
+    state = of(("like", "unlike")).groupBy("customer", "id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    fixed = lambda rows, value: rows.select("customer", "id").distinct().withColumn("value", F.lit(value))
+    last = t.analyses.groupBy(F.col("notice_id").alias("id")).agg(F.max_by("step", "ver").alias("step"))
+    told = {"sllm": t.scores.groupBy(F.col("notice_id").alias("id")).agg(F.max("priority").alias("value")), "a3": last.where("step = 'assistant'").select("id", F.lit(0.9).alias("value"))}
+    return told, {"liked": fixed(state.where("state = 'like'"), 0.85), "clicked": fixed(of(("click",)), 0.5), "viewed": fixed(of(("view",)), 0.55)}
+
+
 def signals(t: Frames) -> DataFrame:
     """Every candidate of every customer with its signals; null means that a signal says nothing."""
     rows = matches(t, 0).withColumn("rule", F.col("score") / 100)
     prefs = F.create_map(F.lit("1-URGENT"), F.lit("positive"), F.lit("5-LOW"), F.lit("negative"))
     rows = rows.withColumn("work_type", scoring.work_type_signal(prefs, F.lit(None).cast("string"), F.col("biz_type")))
-    of = lambda kind: t.events.where(F.col("event_type").isin(*kind)).select(F.col("customer_id").alias("customer"), F.col("notice_id").alias("id"), "event_type", "ts", "event_id")
-    state = of(("like", "unlike")).groupBy("customer", "id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    fixed = lambda rows, value: rows.select("customer", "id").distinct().withColumn("value", F.lit(value))
-    last = t.analyses.groupBy(F.col("notice_id").alias("id")).agg(F.max_by("step", "ver").alias("step"))
-    return interest.with_signals(
-        rows,
-        {
-            "sllm": t.scores.groupBy(F.col("notice_id").alias("id")).agg(F.max("priority").alias("value")),
-            "a3": last.where("step = 'assistant'").select("id", F.lit(0.9).alias("value")),
-            "liked": fixed(state.where("state = 'like'"), 0.85),
-            "clicked": fixed(of(("click",)), 0.5),
-            "viewed": fixed(of(("view",)), 0.55),
-        },
-    )
+    told, own = signal_frames(t)
+    return interest.with_signals(rows, told | own)
 
 
 EXTRA = ("work_type", "sllm", "a3", "liked", "clicked", "viewed")
@@ -192,16 +190,45 @@ FULL = dict.fromkeys(("rule", *EXTRA), 1.0)
 VARIANTS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS variant, customer, id, close_dt, {expr} AS score FROM sig" for name, expr in (("current", _or_sql(FULL)), ("low_weight", _or_sql(LOW)), ("floor", _or_sql(FULL, 0.05)), ("average", _average_sql(FULL))))
 
 
-@query("SCO_12_13_16_17_Q_12_variants", SIGNALS_SQL + f", v AS ({VARIANTS_SQL}) SELECT variant, customer, id, score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY variant, customer ORDER BY score DESC, close_dt ASC NULLS LAST, id) AS place FROM v) WHERE place <= 20")
+BEST_SQL = SIGNALS_SQL + f", v AS ({VARIANTS_SQL}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant, customer ORDER BY score DESC, close_dt ASC NULLS LAST, id) AS place FROM v) WHERE place <= 20) "
+
+
+def best(t: Frames, customers: DataFrame | None = None) -> DataFrame:
+    """The 20 best notices of each customer by each way to combine all signals."""
+    floor = lambda s: s | {"sllm": scoring.floored(s["sllm"], 0.05)}
+    variants = {
+        "current": scoring.combine_noisy_or, "low_weight": lambda s: scoring.combine_noisy_or(s, LOW),
+        "floor": lambda s: scoring.combine_noisy_or(floor(s)), "average": scoring.combine_average,
+    }
+    told, own = signal_frames(t)
+    prefs = F.create_map(F.lit("1-URGENT"), F.lit("positive"), F.lit("5-LOW"), F.lit("negative"))
+    rows = t.notices.withColumn("work_type", scoring.work_type_signal(prefs, F.lit(None).cast("string"), F.col("biz_type")))
+    rows = interest.with_signals(rows, told)
+    return ranking.best(rows, t.scores, profiles(t) if customers is None else customers, ["work_type", *told], own, variants, t.now)
+
+
+@query("SCO_12_13_16_17_Q_12_variants", BEST_SQL + "SELECT variant, customer, id, score, place::INTEGER AS place FROM best")
 def sco_16(t: Frames) -> DataFrame:
-    from noticeworks.operators.latest import top_per
-
-    full = {n: F.col(n) for n in FULL}
-    floor = full | {"sllm": scoring.floored(F.col("sllm"), 0.05)}
-    variants = {"current": scoring.combine_noisy_or(full), "low_weight": scoring.combine_noisy_or(full, LOW), "floor": scoring.combine_noisy_or(floor), "average": scoring.combine_average(full)}
-    each = F.array(*[F.struct(F.lit(name).alias("variant"), value.alias("score")) for name, value in variants.items()])
-    rows = signals(t).select("customer", "id", "close_dt", F.inline(each))
-    return top_per(rows, ["variant", "customer"], interest.order(), 20).select("variant", "customer", "id", "score", "place")
+    return best(t).select("variant", "customer", "id", "score", "place")
+
+
+@query("SCO_14_signal_breakdown", BEST_SQL + """
+    SELECT customer, id, best.score, place::INTEGER AS place, sig.rule::DOUBLE AS rule, work_type::DOUBLE AS work_type, sllm::DOUBLE AS sllm, a3::DOUBLE AS a3, liked::DOUBLE AS liked, clicked::DOUBLE AS clicked, viewed::DOUBLE AS viewed,
+           (SELECT string_agg(topic || ':' || round(strength, 2), ',' ORDER BY topic) FROM strengths s JOIN topics p USING (topic) WHERE s.notice_id = id AND p.customer = best.customer) AS topics
+    FROM best JOIN sig USING (customer, id) WHERE variant = 'current'""")
+def sco_14(t: Frames) -> DataFrame:
+    """The ranking with what each signal says of a notice; null means that it says nothing."""
+    topics = F.nullif(F.array_join(F.transform("topics", lambda x: F.concat_ws(":", x["topic"], F.round(x["strength"], 2))), ","), F.lit(""))
+    return best(t).where("variant = 'current'").select("customer", "id", "score", "place", "rule", *EXTRA, topics.alias("topics"))
+
+
+@query("SCO_17_Q_12_compared", BEST_SQL + f"""
+    SELECT variant AS profile, customer, id, score, place::INTEGER AS place FROM best
+    UNION ALL SELECT 'live', customer, id, score, place::INTEGER FROM ({MATCHES_SQL} SELECT * FROM b) WHERE place <= 30""")
+def sco_17(t: Frames) -> DataFrame:
+    """The live report of each customer beside the rankings of every variant."""
+    live = interest.top_matches(matches(t)).select(F.lit("live").alias("profile"), "customer", "id", "score", "place")
+    return live.unionByName(best(t).select(F.col("variant").alias("profile"), "customer", "id", "score", "place"))
 
 
 @query("SCO_10_18_SRT_09_cosine", """
