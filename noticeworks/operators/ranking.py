@@ -22,6 +22,8 @@ from noticeworks.operators import interest, keywords, latest, staging
 
 #: Scores are put into bands of so many points.
 BAND = 5
+#: Topics and levels beyond so many are not broadcast.
+LOOKUP = 100_000
 #: A way to combine signals of 0 to 1 (null: says nothing) to 0 to 100; it must not fall when the rule's signal rises.
 Combine = Callable[[Mapping[str, Column]], Column]
 
@@ -44,14 +46,15 @@ def _rule(chances: Column, added: Column) -> Column:
     return scoring.whole(F.least(F.lit(100.0), points + added)) / 100
 
 
-def _scores(rule: Column, signals: Mapping[str, Column], variants: Mapping[str, Combine]) -> Column:
-    """(variant, score) of each variant."""
-    return F.array(*[F.struct(F.lit(name).alias("variant"), combine({"rule": rule, **signals}).alias("score")) for name, combine in variants.items()])
+def _scores(signals: Mapping[str, Column], variants: Mapping[str, Combine]) -> Column:
+    """(variant, score) of each variant, by the column rule."""
+    return F.array(*[F.struct(F.lit(name).alias("variant"), combine({"rule": F.col("rule"), **signals}).alias("score")) for name, combine in variants.items()])
 
 
 def _score(rule: Column, signals: Mapping[str, Column], variants: Mapping[str, Combine]) -> Column:
-    """The score of the row's own variant."""
-    return F.coalesce(*[F.when(F.col("variant") == name, combine({"rule": rule, **signals})) for name, combine in variants.items()])
+    """The score of the row's own variant.  The rule is bound to a name, as conditions of joins would repeat it wherever it is used."""
+    own = lambda r: F.coalesce(*[F.when(F.col("variant") == name, combine({"rule": r, **signals})) for name, combine in variants.items()])
+    return F.transform(F.array(rule), own)[0]
 
 
 def _common(strengths: Column, points: Column) -> Column:
@@ -64,13 +67,16 @@ def lower_bounds(rows: DataFrame, customers: DataFrame, shared: list[str], own:
 
     The cube grows with topics, not with notices or customers; customers who want the same are looked up as one."""
     silent = {name: F.lit(None).cast("double") for name in own}
-    levels = F.explode(F.array(*[F.lit(p) for p in scoring.PRIORITY_POINTS.values()])).alias("points")
+    asked = customers.select(F.explode("points").alias("topic", "points")).where("points > 0").distinct()
+    # As many rows as topics times levels, if the topics are a dictionary as they should be; counted all the same.
+    asked = F.broadcast(asked) if asked.limit(LOOKUP + 1).count() <= LOOKUP else asked
     days = F.timestamp_diff("DAY", now, F.col("close_dt"))
     cells = (
         rows.where(F.col("close_dt").isNull() | (F.col("close_dt") >= now))
         .select("*", F.explode("strengths").alias("topic", "strength"))
-        .select("*", levels)
-        .select("topic", "points", F.inline(_scores(_rule(F.array(F.col("points") * F.col("strength") / 100), F.lit(0)), {**{s: F.col(s) for s in shared}, **silent}, variants)),
+        .join(asked, "topic")
+        .withColumn("rule", scoring.whole(F.col("points") * F.col("strength")) / 100)
+        .select("topic", "points", F.inline(_scores({**{s: F.col(s) for s in shared}, **silent}, variants)),
                 _bits(F.coalesce("est_price", F.lit(0.0))).alias("price"), F.when(F.col("close_dt").isNull(), 99).otherwise(_bits(days)).alias("ahead"))
         .groupBy("variant", "topic", "points", "score", "price", "ahead").agg(F.count("*").alias("n"))
     )
@@ -120,7 +126,7 @@ def candidates(notices: DataFrame, scores: DataFrame, profiles: DataFrame, share
     # Pairs that only topics lead to.  A bound is raised by one point against noise of the last digit.
     silent = {name: F.lit(None).cast("double") for name in own}
     most = _rule(F.transform(F.map_values("strengths"), lambda s: s * max(scoring.PRIORITY_POINTS.values()) / 100), F.lit(0))
-    reach = rows.select("*", F.inline(_scores(most, said, {k: (lambda f: lambda s: f({**s, **silent}))(f) for k, f in variants.items()})))
+    reach = rows.where("strengths is not null").withColumn("rule", most).select("*", F.inline(_scores({**said, **silent}, variants)))
     reach = reach.select("variant", F.floor((F.col("score") + 1) / BAND).alias("band"), F.explode(F.map_keys("strengths")).alias("topic"), "id", "close_dt", "est_price", "strengths", *shared)
     top = 101 // BAND
     wanted = limits.select("*", F.explode(F.map_keys("points")).alias("topic")).select("*", F.explode(F.sequence(F.floor(F.col("least") / BAND), F.lit(top).cast("long"))).alias("band"))
@@ -134,7 +140,7 @@ def candidates(notices: DataFrame, scores: DataFrame, profiles: DataFrame, share
     rule = _rule(F.coalesce(chances, F.array().cast("array<double>")), added)
     led_to = (added > 0) | (F.size(F.coalesce(_common(F.col("strengths"), F.col("points")), F.array().cast("array<bigint>"))) > 0)
     direct = private.join(rows, "id").join(limits, "customer").where(led_to & allowed)
-    direct = direct.withColumn("rule", rule).withColumn("score", _score(F.col("rule"), {**said, **{s: F.col(s) for s in own}}, variants)).where(F.col("score") >= F.col("least"))
+    direct = direct.withColumn("rule", rule).withColumn("score", _score(rule, {**said, **{s: F.col(s) for s in own}}, variants)).where(F.col("score") >= F.col("least"))
 
     strong = F.array_sort(F.transform(F.coalesce(_common(F.col("strengths"), F.col("points")), F.array().cast("array<bigint>")), lambda t: F.struct(t.alias("topic"), F.element_at("strengths", t).alias("strength"))))
     out = ["variant", "customer", "id", "score", "close_dt", "rule", *shared]

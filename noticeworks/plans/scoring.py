@@ -438,3 +438,23 @@ def str_01_views_and_clicks(t: Frames) -> DataFrame:
 def snk_13(t: Frames) -> DataFrame:
     likes = t.events.where(F.col("event_type").isin("like", "unlike"))
     return dedup.state_changes(likes, ["customer_id", "notice_id"], "event_type", ["ts", "event_id"]).select("event_id", "customer_id")
+
+
+#: Days of January 2024 (midnight) at which a feed is polled; the last one is asked for twice.
+POLLS = (8, 20, 29, 29)
+
+
+def _micros(day: int) -> int:
+    from datetime import UTC, datetime
+
+    return int(datetime(2024, 1, day, tzinfo=UTC).timestamp()) * 1_000_000
+
+
+@query("STR_02_05_SRC_02_16_polled_feed", "WITH polls(day, before) AS (VALUES (8, 1), (20, 8), (29, 20)) SELECT day, count(*) AS added, count(DISTINCT event_id) AS events, min(event_id) AS first_event FROM events, polls WHERE ts >= make_timestamp(2024, 1, before, 0, 0, 0) AND ts < make_timestamp(2024, 1, day, 0, 0, 0) GROUP BY 1", False)
+def str_02_feed(t: Frames) -> DataFrame:
+    """Events as a feed that is polled: each poll reads an hour back, and what is there already is not added again."""
+    folder, schema = engagement.work_folder(t.spark), "event_id long, ts timestamp_ntz, event_type string"
+    engagement.poll(t.spark, f"{t.sf_dir}/events.parquet", schema, f"{folder}/table", ["event_id"], f"{folder}/state", [_micros(day) for day in POLLS], _micros(1), budget=float("inf"))
+    there = t.spark.read.schema(f"{schema}, polled long").parquet(f"{folder}/table")
+    day = F.dayofmonth(F.timestamp_micros("polled").cast("timestamp_ntz")).cast("long")
+    return there.groupBy(day.alias("day")).agg(F.count("*").alias("added"), F.count_distinct("event_id").alias("events"), F.min("event_id").alias("first_event"))

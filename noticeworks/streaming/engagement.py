@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from time import monotonic
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from noticeworks.operators import staging
+from noticeworks.sources import feeds
 
 
 #: How late a row may be.
@@ -158,3 +160,19 @@ def append_new(rows: DataFrame, table: str, keys: list[str], checkpoint: str) ->
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events per day and type, closed once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+def poll(spark: SparkSession, path: str, schema: str, table: str, keys: list[str], checkpoint: str, polls: list[int], begin: int, time: str = "ts", overlap: int = 3_600, step: int = 86_400, budget: float = 300.0) -> list[int]:
+    """Polls a feed at each of the given times (microseconds), one after the other, and appends what is new; gives the times that the budget in seconds left over.
+
+    Each poll goes on where the checkpoint ends, so a left-over time may be asked for later, and one that was done adds nothing.  A poll that has begun is
+    finished; `polled` tells which poll brought a row."""
+    spark.dataSource.register(feeds.PolledFeed)
+    began = monotonic()
+    for k, until in enumerate(polls):
+        if monotonic() - began >= budget:
+            return polls[k:]
+        options = {"path": path, "time": time, "begin": str(begin), "until": str(until), "overlap": str(overlap), "step": str(step)}
+        rows = spark.readStream.format("polled_feed").schema(schema).options(**options).load().withColumn("polled", F.lit(until))
+        append_new(rows, table, keys, checkpoint)
+    return []
