@@ -140,6 +140,27 @@ def capped(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
+# The longest texts of a requirement's fields.
+LONGEST = {"category": 50, "req_value": 100, "req_unit": 20}
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any script at both ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+
+
+def valid_items(items: Column) -> Column:
+    """Struct of the valid items of an array (category, req_text, req_value, req_unit, op, cite, task_ref) and the number skipped.
+
+    An item needs a category, a text, a citation and a known operator; long fields are cut with a mark, never dropped.  A null item is skipped, a null array is empty."""
+    names = ("category", "req_text", "req_value", "req_unit", "cite", "task_ref")
+    cut = lambda value, name: capped(value, LONGEST[name]) if name in LONGEST else value
+    tidy = F.transform(items, lambda i: F.struct(*[cut(stripped(i[name]), name).alias(name) for name in names], i["op"].alias("op")))
+    good = F.filter(tidy, lambda i: i["category"].isNotNull() & i["req_text"].isNotNull() & i["cite"].isNotNull() & F.coalesce(i["op"].isin(*OPERATORS), F.lit(False)))
+    count = lambda array: F.coalesce(F.array_size(array), F.lit(0))
+    return F.struct(good.alias("valid"), (count(items) - count(good)).alias("skipped"))
+
+
 def grounded(cite: Column, source: Column) -> Column:
     """Whether a citation stands in the source, white space aside; an empty one does not."""
     bare = lambda x: F.regexp_replace(x, r"\s+", "")

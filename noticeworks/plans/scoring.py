@@ -340,6 +340,31 @@ def sco_23(t: Frames) -> DataFrame:
     return t.table("documents").where((F.trim("source") != "") & F.col("lang").isin("en", "de")).select("doc_id", scoring.capped(F.col("text"), 50).alias("item"))
 
 
+@query("SCO_23_valid_items", """
+    WITH items AS (
+        SELECT p_partkey, n, CASE WHEN (p_partkey + n) % 5 <> 0 THEN p_type || ' ' || p_name || ' ' || p_type || ' ' || p_name END AS category, p_name AS text, CASE WHEN (p_size + n) % 7 = 0 THEN NULL ELSE p_brand END AS cite,
+            ['gte', 'lte', 'eq', 'contains', 'manual', 'near'][1 + (p_size + n) % 6] AS op, CASE WHEN p_size % 2 = 0 THEN repeat(p_name, 9) END AS value, repeat(p_brand, n) AS unit FROM part, (VALUES (1), (2), (3)) v(n)
+    ), judged AS (SELECT *, category IS NOT NULL AND cite IS NOT NULL AND op <> 'near' AS good FROM items)
+    SELECT p_partkey, n::VARCHAR AS task_ref, CASE WHEN length(category) > 50 THEN left(category, 49) || '…' ELSE category END AS category, CASE WHEN length(value) > 100 THEN left(value, 99) || '…' ELSE value END AS req_value,
+        CASE WHEN length(unit) > 20 THEN left(unit, 19) || '…' ELSE unit END AS req_unit, op, (SELECT count(*) FROM judged k WHERE k.p_partkey = j.p_partkey AND NOT good)::INTEGER AS skipped FROM judged j WHERE good""", False)
+def sco_23_items(t: Frames) -> DataFrame:
+    """Items taken out of texts, three of each part, with white space around their fields; those without category, citation or known operator are counted."""
+    key, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    ops = F.array(*map(F.lit, (*scoring.OPERATORS, "near")))
+    blank = lambda condition, text: F.when(condition, F.concat(F.lit(" \t"), text, F.lit("\u3000\n"))).otherwise(" ")
+
+    def item(n: int):
+        category = blank((key + n) % 5 != 0, F.concat_ws(" ", "p_type", name, "p_type", name))
+        cite, value = blank((size + n) % 7 != 0, F.col("p_brand")), F.when(size % 2 == 0, F.repeat(name, F.lit(9)))
+        return F.struct(
+            category.alias("category"), name.alias("req_text"), value.alias("req_value"), F.repeat("p_brand", F.lit(n)).alias("req_unit"),
+            F.element_at(ops, ((size + n) % 6 + 1).cast("int")).alias("op"), cite.alias("cite"), F.lit(str(n)).alias("task_ref"),
+        )
+
+    found = t.table("part").select("p_partkey", scoring.valid_items(F.array(*map(item, (1, 2, 3)))).alias("r"))
+    return found.select("p_partkey", "r.skipped", F.inline("r.valid")).select("p_partkey", "task_ref", "category", "req_value", "req_unit", "op", "skipped")
+
+
 @query("SCO_24_grounded_and_unique", """
     WITH c AS (SELECT conv_id, turn, left(text, 30) AS cite, regexp_replace(left(text, 20), '\\s+', '', 'g') AS bare FROM conversations), s AS (SELECT conv_id, text AS source FROM conversations WHERE turn = 0),
     g AS (SELECT c.*, cite <> '' AND contains(regexp_replace(source, '\\s+', '', 'g'), regexp_replace(cite, '\\s+', '', 'g')) AS good FROM c JOIN s USING (conv_id)),
