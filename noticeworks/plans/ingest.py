@@ -122,6 +122,38 @@ def src_04(t: Frames) -> DataFrame:
     return t.table("supplier").select("s_suppkey", F.size(found["items"]["item"]).cast("long").alias("n_items"), found["items"]["item"][0]["nm"].alias("first"))
 
 
+@query("SRC_04_xml_any_shape", """
+    SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name ELSE NULL END AS plain, CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 END::BIGINT AS n_items, CASE WHEN s_suppkey % 4 IN (1, 2) THEN s_name || ' & ' || s_suppkey END AS first,
+        CASE s_suppkey % 4 WHEN 2 THEN '["00","1"]' WHEN 1 THEN '"00"' END AS codes FROM supplier""", False)
+def src_04_any(t: Frames) -> DataFrame:
+    """Texts of three shapes in one column: a leaf, one item, several items beside a repeated name; each fourth is damaged."""
+    key, item = F.col("s_suppkey"), F.concat(F.lit("<item no='7'><nm>"), "s_name", F.lit(" &amp; "), F.col("s_suppkey").cast("string"), F.lit("</nm></item>"))
+    one = F.concat(F.lit("<r><code>00</code><items>"), item, F.lit("</items></r>"))
+    more = F.concat(F.lit("<r><code>00</code><items>"), item, F.lit("<item/></items><code>1</code></r>"))
+    leaf = F.concat(F.lit("<r><![CDATA["), "s_name", F.lit("]]></r>"))
+    text = F.when(key % 4 == 0, leaf).when(key % 4 == 1, one).when(key % 4 == 2, more).otherwise(F.concat(F.lit("<r>"), "s_name"))
+    rows = t.table("supplier").select("s_suppkey", captures.xml_value(text).alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    # Of an object the root is no text.
+    root = get("$.r", "variant")
+    plain = F.when(F.schema_of_variant(root) == "STRING", get("$.r", "string"))
+    codes = F.to_json(get("$.r.code", "variant"))
+    return rows.select("s_suppkey", plain.alias("plain"), F.size(get("$.r.items.item", "array<variant>")).cast("long").alias("n_items"), get("$.r.items.item[0].nm", "string").alias("first"), codes.alias("codes"))
+
+
+@query("SRC_04_05_answers", """
+    SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'LIMIT ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'bad' END AS error, s_suppkey % 6 <> 5 AS readable, CASE WHEN s_suppkey % 6 = 2 THEN s_name END AS name FROM supplier""", False)
+def src_04_answers(t: Frames) -> DataFrame:
+    """Answers to a request for XML: a gateway's error in JSON, an error and items in XML, and pages that are neither."""
+    key = F.col("s_suppkey")
+    gate = F.concat(F.lit('{"OpenAPI_ServiceResponse":{"cmmMsgHeader":{"returnAuthMsg":"LIMIT '), key.cast("string"), F.lit('"}}}'))
+    bad = F.lit("<response><header><resultCode>08</resultCode><resultMsg>bad</resultMsg></header></response>")
+    good = F.concat(F.lit("<response><header><resultCode>00</resultCode></header><body><items><item><nm>"), "s_name", F.lit("</nm></item></items></body></response>"))
+    text = F.when(key % 3 == 0, gate).when(key % 3 == 1, bad).when(key % 6 == 2, good).otherwise("<html><p>Down for service")
+    rows = t.table("supplier").select("s_suppkey", captures.answered(text).alias("body"))
+    return rows.select("s_suppkey", captures.envelope_error(F.col("body")).alias("error"), F.col("body").isNotNull().alias("readable"), F.get_json_object("body", "$.response.body.items.item[0].nm").alias("name"))
+
+
 @query("SRC_06_07_table_rows", "SELECT s_suppkey, s_name AS name, 'https://a.example/v?id=' || s_suppkey || '&t=x+y' AS url FROM supplier", False)
 def src_06(t: Frames) -> DataFrame:
     cells = F.concat(F.lit("<table class='x tbl01'><tr><th>n</th><th>m</th></tr><tr><td>"), "s_name", F.lit("</td><td><a href=\"javascript:view('"), F.col("s_suppkey").cast("string"), F.lit("','x y')\">go</a></td></tr><tr><td>odd</td></tr></table>"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,6 +86,65 @@ def from_xml(text: Column, schema: str) -> Column:
     return F.from_xml(text, schema)
 
 
+class _Nested:
+    """A reader that closes each element into a value: its text if it has no elements, or else its elements by name."""
+
+    def __init__(self):
+        self.open: list[tuple[dict[str, list], list[str]]] = [({}, [])]
+
+    def start(self, name, attributes):
+        self.open.append(({}, []))
+
+    def text(self, data):
+        self.open[-1][1].append(data)
+
+    def end(self, name):
+        inner, text = self.open.pop()
+        value = {k: _one_or_list(k, v) for k, v in inner.items()} if inner else "".join(text) or None
+        self.open[-1][0].setdefault(f"{{{name}" if "}" in name else name, []).append(value)
+
+
+def _one_or_list(name: str, values: list):
+    if name == "item":
+        return values
+    # Of repeated elements an empty first one does not count.
+    return values[0] if len(values) == 1 else values[values[0] is None :]
+
+
+def read_xml(text: str | None) -> str | None:
+    """XML as JSON text under the name of its root; null if it is not well formed, or too deep to be written. Attributes are left out, names of a namespace stand behind it in braces."""
+    if text is None:
+        return None
+    reader, parser = _Nested(), expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = reader.start, reader.end, reader.text
+    try:
+        parser.Parse(text, True)
+        return json.dumps({name: root for name, (root,) in reader.open[0][0].items()}, ensure_ascii=False, separators=(",", ":"))
+    except (expat.ExpatError, ValueError, RecursionError):
+        return None
+
+
+def xml_json(text: Column) -> Column:
+    """XML of any shape as JSON text: `item` is always an array, other names where they repeat, all values are strings or null."""
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([read_xml(x) for x in texts], dtype="object")
+
+    return read(text)
+
+
+def answered(text: Column) -> Column:
+    """An answer in XML as JSON text; gateways answer in JSON even then, which is taken as it is, and anything else is null."""
+    return F.coalesce(xml_json(text), F.when(F.try_parse_json(text).isNotNull(), text))
+
+
+def xml_value(text: Column) -> Column:
+    """The same as a VARIANT, so that documents of different shapes stand in one column."""
+    return F.try_parse_json(xml_json(text))
+
+
 def attachments(item: Column) -> Column:
     """Attachments named in the numbered fields of an item: array of (name, url, inline text)."""
     get = lambda key: F.nullif(F.get_json_object(item, f"$.{key}"), F.lit(""))

@@ -113,3 +113,26 @@ def test_stream_appends_only_new_keys(spark, tmp_path):
     for run in ("one", "two"):
         engagement.append_new(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", ["url"], f"{tmp_path}/{run}")
     assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/table").collect()) == ["a", "b"]
+
+
+def test_xml_of_any_shape_becomes_nested_values():
+    import json
+
+    from noticeworks.sources import captures
+
+    def read(text):
+        found = captures.read_xml(text)
+        return None if found is None else next(iter(json.loads(found).values()))
+
+    assert read("<r><item><a>1</a></item></r>") == {"item": [{"a": "1"}]}
+    assert read("<r><b>1</b><c/><b>2</b><item/><b>3</b></r>") == {"b": ["1", "2", "3"], "c": None, "item": [None]}
+    assert read("<r><b/><b>2</b></r>") == {"b": ["2"]} and read("<r><b>2</b><b/></r>") == {"b": ["2", None]}
+    assert read("<r x='1'>text<b>2</b>tail</r>") == {"b": "2"}
+    assert read("<r> 007 &lt;<!-- no -->x</r>") == " 007 <x" and read('<a:r xmlns:a="u"><a:b>1</a:b></a:r>') == {"{u}b": "1"}
+    assert [captures.read_xml(x) for x in (None, "", "<r>", "plain", "<r/>trailing")] == [None] * 5
+    assert captures.read_xml("<r/>") == '{"r":null}' and captures.read_xml("<item><a>1</a></item>") == '{"item":{"a":"1"}}'
+    assert captures.read_xml('<a:r xmlns:a="u"/>') == '{"{u}r":null}' and captures.read_xml("<a>" * 100000 + "</a>" * 100000) is None
+    deep = read("<r>" + "<item>" * 200 + "x" + "</item>" * 200 + "</r>")
+    for _ in range(200):
+        deep = deep["item"][0] if isinstance(deep, dict) else deep
+    assert deep == "x"
