@@ -3,41 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-import pyarrow as pa
-import pyarrow.dataset as ds
-from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
 class Window(InputPartition):
-    """Rows at or after one time and before another, in microseconds."""
+    """From one time up to before another, in microseconds."""
 
-    def __init__(self, begin: int, end: int):
-        self.begin, self.end = begin, end
+    def __init__(self, begin: int, until: int):
+        self.begin, self.until = begin, until
 
 
-class PolledFeed(DataSource):
-    """Streams Parquet rows (fields given by `schema`) in order of a time without zone.
+class PolledWindows(DataSource):
+    """Streams the window of each poll, one row; its rows are read by `within`, through Spark's own reader and file systems.
 
-    Options: path (a URI of any file system that Arrow knows), time (name of the column), begin and until (microseconds since 1970: where the first poll starts,
-    and the time of this poll), overlap and step (seconds: how far each poll reads back, for rows that came late, and how much one partition reads).  A poll reads
-    from the overlap before the last poll's time up to its own, one partition a step; the window and the fields asked for reach the Parquet reader.  Rows
-    without a time are in no window.  Rows come again in the overlap, so the sink must know its keys (`engagement.append_new`)."""
+    Options: begin and until (microseconds since 1970: where the first poll starts, and the time of this poll) and overlap (seconds: how far each poll reads back, for rows
+    that came late).  A poll's window goes from the overlap before the last poll's time up to its own; a poll that is not later than the last one has none.
+    Rows come again in the overlap, so the sink must know its keys (`engagement.add_new`)."""
 
     @classmethod
     def name(cls) -> str:
-        return "polled_feed"
+        return "polled_windows"
+
+    def schema(self) -> str:
+        return "begin long, until long"
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        return _Polls(schema, self.options)
+        return _Polls(self.options)
 
 
 class _Polls(DataSourceStreamReader):
-    def __init__(self, schema, options):
-        self.fields, self.path, self.time = schema.names, options["path"], options["time"]
-        self.begin, self.until = int(options["begin"]), int(options["until"])
-        self.overlap, self.step = (int(options[k]) * 1_000_000 for k in ("overlap", "step"))
+    def __init__(self, options):
+        self.begin, self.until, self.overlap = int(options["begin"]), int(options["until"]), int(options["overlap"]) * 1_000_000
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"until": self.begin}
@@ -46,14 +46,14 @@ class _Polls(DataSourceStreamReader):
         return {"until": self.until}
 
     def partitions(self, start: dict, end: dict) -> list[Window]:
-        first, last = max(self.begin, start["until"] - self.overlap), end["until"]
-        # A poll that is not later than the last one has no window.
-        return [Window(at, min(at + self.step, last)) for at in range(first, last, self.step)] if start["until"] < last else []
-
-    def read(self, partition: Window) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (None, self.path)
-        at, stamp = ds.field(self.time), lambda t: pa.scalar(t, pa.timestamp("us"))
-        table = ds.dataset(path, filesystem=system, format="parquet")
-        for batch in table.to_batches(columns=self.fields, filter=(at >= stamp(partition.begin)) & (at < stamp(partition.end))):
-            if batch.num_rows:
-                yield batch
+        first = max(self.begin, start["until"] - self.overlap)
+        return [Window(first, end["until"])] if start["until"] < end["until"] else []
+
+    def read(self, partition: Window) -> Iterator[tuple]:
+        yield partition.begin, partition.until
+
+
+def within(spark: SparkSession, path: str, schema: str, time: str, begin: int, until: int) -> DataFrame:
+    """Parquet rows of a window by a time without zone; the window and the fields of the schema reach the scan. Rows without a time are in no window."""
+    at = lambda micros: F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=micros))).cast("timestamp_ntz")
+    return spark.read.schema(schema).parquet(path).where((F.col(time) >= at(begin)) & (F.col(time) < at(until)))

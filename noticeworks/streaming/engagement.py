@@ -138,23 +138,23 @@ def run_available(rows: DataFrame, folder: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_new(rows: DataFrame, table: str, keys: list[str], checkpoint: str) -> None:
-    """Appends rows whose keys the table lacks, batch by batch; a batch that is repeated adds nothing."""
+def add_new(rows: DataFrame, table: str, keys: list[str]) -> None:
+    """Appends rows whose keys the table lacks, one of each key."""
+    spark, fresh = rows.sparkSession, rows.dropDuplicates(keys)
+    try:
+        there = spark.read.schema(rows.schema).parquet(table).select(*keys)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        there = None
+    if there is not None:
+        fresh = fresh.join(there, keys, "left_anti").select(*rows.columns)
+    fresh.write.mode("append").parquet(table)
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            there = spark.read.schema(batch.schema).parquet(table).select(*keys)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            there = None
-        if there is not None:
-            fresh = fresh.join(there, keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(table)
 
-    rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def append_new(rows: DataFrame, table: str, keys: list[str], checkpoint: str) -> None:
+    """Appends rows of a stream whose keys the table lacks, batch by batch; a batch that is repeated adds nothing."""
+    rows.writeStream.foreachBatch(lambda batch, _: add_new(batch, table, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -162,17 +162,23 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
-def poll(spark: SparkSession, path: str, schema: str, table: str, keys: list[str], checkpoint: str, polls: list[int], begin: int, time: str = "ts", overlap: int = 3_600, step: int = 86_400, budget: float = 300.0) -> list[int]:
+def poll(spark: SparkSession, path: str, schema: str, table: str, keys: list[str], checkpoint: str, polls: list[int], begin: int, time: str = "ts", overlap: int = 3_600, budget: float = 300.0) -> list[int]:
     """Polls a feed at each of the given times (microseconds), one after the other, and appends what is new; gives the times that the budget in seconds left over.
 
     Each poll goes on where the checkpoint ends, so a left-over time may be asked for later, and one that was done adds nothing.  A poll that has begun is
     finished; `polled` tells which poll brought a row."""
-    spark.dataSource.register(feeds.PolledFeed)
+    spark.dataSource.register(feeds.PolledWindows)
+
+    def add(windows: DataFrame, _: int) -> None:
+        for w in windows.collect():  # the one window of a poll, or none
+            rows = feeds.within(windows.sparkSession, path, schema, time, w.begin, w.until)
+            add_new(rows.withColumn("polled", F.lit(w.until)), table, keys)
+
     began = monotonic()
     for k, until in enumerate(polls):
         if monotonic() - began >= budget:
             return polls[k:]
-        options = {"path": path, "time": time, "begin": str(begin), "until": str(until), "overlap": str(overlap), "step": str(step)}
-        rows = spark.readStream.format("polled_feed").schema(schema).options(**options).load().withColumn("polled", F.lit(until))
-        append_new(rows, table, keys, checkpoint)
+        options = {"begin": str(begin), "until": str(until), "overlap": str(overlap)}
+        windows = spark.readStream.format("polled_windows").options(**options).load()
+        windows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return []
