@@ -67,7 +67,7 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 def join_hot(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     """many (a scan of a written table) joined with one, which has at most one row per key: keys of more than HOT_ROWS rows are spread over SPREAD parts."""
-    spread, part = free_name(many, "spread"), free_name(many, "part")
+    spread, part = (free_name(many, base, one) for base in ("spread", "part"))
     hot = written(many.groupBy(*keys).agg(F.count("*").alias(spread)).where(F.col(spread) > HOT_ROWS).select(*keys, F.lit(SPREAD).alias(spread)), "hot-keys")
     n = hot.count()
     if not n:
@@ -75,7 +75,8 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     hot = maybe_broadcast(hot, n)
     # Numbers of the rows of a scan are the same in every attempt of a task.
     left = many.withColumn(part, F.monotonically_increasing_id()).join(hot, keys, "left").withColumn(part, F.pmod(F.col(part), F.coalesce(spread, F.lit(1))))
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce(spread, F.lit(1)) - 1)).cast("long")
+    # A generator stands alone in a select, so the numbers are long before it.
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(spread, F.lit(1)).cast("long") - 1))
     right = one.join(hot, keys, "left").select(*one.columns, parts.alias(part))
     return left.drop(spread).join(right, [*keys, part]).drop(part)
 
@@ -84,9 +85,9 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that df does not have, so that extra columns never clash with helper columns."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, base: str, *more: DataFrame) -> str:
+    """A column name that none of the frames has, so that extra columns never clash with helper columns."""
+    taken = {c.lower() for each in (df, *more) for c in each.columns}
     name = base
     while name.lower() in taken:
         name = f"_{name}"

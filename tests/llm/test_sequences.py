@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from noticeworks.llm import mixing, periodic, prefixes, queries
+from noticeworks.llm import common, mixing, periodic, prefixes, queries
 from tests.compare import DATA, database, plain, rows
 from tests.llm.helpers import LONG, documents, empty
 
@@ -248,6 +248,13 @@ def test_trie_of_long_and_of_many_equal_conversations(spark):
         assert trie_of(spark, given, shard_nodes=shard_nodes) == plain_trie(given, build=False)
 
 
+def test_trie_of_hot_conversations_and_nodes(spark, monkeypatch):
+    """Conversations and parents of more rows than HOT_ROWS are spread over parts of the joins."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    given = some_conversations(random.Random(5), 40)
+    assert trie_of(spark, given, build=prefixes.rebuilt, shard_nodes=4) == plain_trie(given)
+
+
 def test_trie_without_rows(spark):
     assert trie_of(spark, []) == [] and trie_of(spark, [(None, 0, "user", "x")], build=prefixes.rebuilt) == []
     # The base has no turns to give, and the conversation none beyond its first: it counts for the root.
