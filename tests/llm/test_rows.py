@@ -120,6 +120,25 @@ def test_near_duplicate_cases(spark):
     assert simhash.similar(empty(spark)).count() == 0
 
 
+def test_near_duplicates_spread_hot_keys(spark, monkeypatch):
+    """A text or a component of more rows than HOT_ROWS gives the rows of the plain join."""
+    docs = documents(spark, [*ROWS, *((k, "One two three, four five six seven eight nine ten.", "en", "a", 50) for k in range(20, 50))])
+    finders = simhash.near_duplicates, simhash.similar
+    plain = [sorted(map(tuple, find(docs).collect()), key=str) for find in finders]
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert [sorted(map(tuple, find(docs).collect()), key=str) for find in finders] == plain
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_hot_keys_join_like_any_other(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    many = common.written(spark.range(100).select("id", F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 40)).alias("k"), F.lit("x").alias("part")), "many")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c"), (None, "d")], "k long, spread string")
+    found = common.join_hot(many, one, ["k"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (101, 100)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
