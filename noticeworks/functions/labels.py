@@ -106,10 +106,21 @@ def strength_label(strength: Column) -> Column:
     return F.when(strength >= 0.66, "강한 일치").when(strength >= 0.33, "보통 일치").otherwise("약한 일치")
 
 
+def tenths(value: Column) -> Column:
+    """A double to one decimal as C's printf rounds it: by its exact binary value, ties to even.  Java's formatter takes the shortest decimal and rounds ties up."""
+    part = value % 1
+    # Ten times the part is exactly total + rest.
+    high, low = part * 8, part * 2
+    total = high + low
+    rest = low - (total - high)
+    nearest = F.when((total % 1 == 0.5) & (rest != 0), total + F.signum(rest) / 2).otherwise(F.rint(total))
+    return F.format_string("%.1f", ((value - part) * 10 + nearest) / 10)
+
+
 def price_label(value: Column) -> Column:
-    hundred_million, ten_thousand = value / 100_000_000, value / 10_000
-    large = F.concat(F.format_string("%.1f", hundred_million.cast("double")), F.lit("억원"))
-    small = F.concat(F.format_string("%.0f", ten_thousand.cast("double")), F.lit("만원"))
+    hundred_million, ten_thousand = (value / 100_000_000).cast("double"), (value / 10_000).cast("double")
+    large = F.concat(tenths(hundred_million), F.lit("억원"))
+    small = F.concat(F.format_string("%.0f", F.rint(ten_thousand)), F.lit("만원"))
     return F.when(value.isNull(), "미공개").when(hundred_million >= 1, large).otherwise(small)
 
 

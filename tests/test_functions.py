@@ -2,8 +2,10 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,18 @@ def test_labels(spark):
     assert one(spark, labels.dday_label(at("2000-01-03 16:00:00"), at("2000-01-01"))) == "D-3"
 
 
+def test_prices_are_rounded_as_in_sql(spark):
+    """Ties go to even and the exact binary value decides, also where the shortest decimal looks like a tie."""
+    draw = random.Random(4)
+    values = [1.25, 1.35, 1.45, 2.75, 1.05, 1.15, 9.95, 1.0, 99.95, *(k / 20 for k in range(21, 400, 2)), *(draw.uniform(1, 1000) for _ in range(200))]
+    values += [math.nextafter(v, side) for v in values[:50] for side in (1, 1000)]
+    prices = [v * 1e8 for v in values] + [5_000.0, 15_000.0, 25_000.0, 24_999.999, 0.0]
+    frame = spark.createDataFrame([(v,) for v in prices], "v double")
+    sql = "SELECT CASE WHEN v / 100000000 >= 1 THEN printf('%.1f', v / 100000000) || '억원' ELSE printf('%.0f', v / 10000) || '만원' END FROM (SELECT unnest(?::DOUBLE[]) AS v)"
+    assert [r[0] for r in frame.select(labels.price_label(F.col("v"))).collect()] == [r[0] for r in duckdb.execute(sql, [prices]).fetchall()]
+    assert one(spark, labels.tenths(F.lit(1.05))) == "1.1" and one(spark, labels.tenths(F.lit(1.25))) == "1.2"
+
+
 def test_parsing(spark):
     assert one(spark, ingest.parse_price(F.lit("512,000,000.9 "))) == 512_000_000
     assert one(spark, ingest.parse_price(F.lit("none"))) is None
