@@ -145,9 +145,22 @@ def xml_value(text: Column) -> Column:
     return F.try_parse_json(xml_json(text))
 
 
+#: Numbered fields of an item that name attachments or hold their text.
+ATTACHED = (
+    *(f"{name}{k}" for name, count in (("ntceSpecDocUrl", 10), ("ntceSpecFileNm", 10), ("sptDscrptDocUrl", 5), ("specDocFileUrl", 5), ("specItemCntnts", 5), ("specItemNm", 5)) for k in range(1, count + 1)),
+    *("stdNtceDocUrl", "specCntnts"),
+)
+
+
 def attachments(item: Column) -> Column:
     """Attachments named in the numbered fields of an item: array of (name, url, inline text)."""
-    get = lambda key: F.nullif(F.get_json_object(item, f"$.{key}"), F.lit(""))
+    # Read once and bound to a name, as every use of an expression would read the item again.
+    read = F.from_json(F.when(F.ltrim(item).startswith("{"), item), ", ".join(f"{key} string" for key in ATTACHED))
+    return F.transform(F.array(read), _attached)[0]
+
+
+def _attached(fields: Column) -> Column:
+    get = lambda key: F.nullif(fields[key], F.lit(""))
 
     def named(url: Column, fallback: str) -> Column:
         query = lambda key: F.nullif(F.try_url_decode(F.regexp_extract(url, rf"[?&]{key}=([^&#]*)", 1)), F.lit(""))

@@ -136,3 +136,11 @@ def test_xml_of_any_shape_becomes_nested_values():
     for _ in range(200):
         deep = deep["item"][0] if isinstance(deep, dict) else deep
     assert deep == "x"
+
+
+def test_attachments_read_an_item_once(spark):
+    item = spark.createDataFrame([('{"specDocFileUrl1": "https://f/?fileNm=a%20b", "ntceSpecDocUrl3": "u", "ntceSpecFileNm3": "n", "specItemCntnts2": {"x": [1, "y"]}, "specCntnts": 5, "stdNtceDocUrl": ""}',), ("[1]",), ('[{"specCntnts": "x"}]',), ("{",), (None,)], "item string")
+    found = item.select(captures.attachments(F.col("item")).alias("a"))
+    assert [[tuple(a) for a in r.a] for r in found.collect()] == [[("n", "u", None), ("a b", "https://f/?fileNm=a%20b", None), ("규격내용", None, "5"), ("규격항목2", None, '{"x":[1,"y"]}')], [], [], [], []]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan
