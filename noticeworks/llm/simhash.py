@@ -10,8 +10,8 @@ are never all compared with one another.
 
 Equal fingerprints are one node from the start, so a group of copies never yields pairs.
 
-`similar` is for looser copies, those of a shingle similarity of 0.8 or more, whose fingerprints differ in ten bits or so and are out of the grid's reach.
-It finds neighbourhoods by bands of MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
+`similar` is for looser copies, those of a shingle similarity of 0.8 or more.  The grid join ties those whose fingerprints are within its distance; most differ in
+ten bits or so and are out of its reach.  For them it also finds neighbourhoods by bands of MinHash over the same shingle hashes, ties each neighbourhood by the least Hamming distances
 of the fingerprints, and verifies every tie by the exact similarity of the shingle sets.  A neighbourhood of very many texts is tied in parts
 that share some of its texts, so it takes several tasks.  Ties only order the work: in every neighbourhood that they
 leave in more than one component, all pairs across components are then compared exactly, in lots of bounded size that meet each other, so no
@@ -339,8 +339,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     texts = common.written(texts, "texts")
     keys = _parts_of_bands(texts.select(F.explode("bands").alias("key"), "node", "fp"))
     n = common.partitions_of(docs.sparkSession)
-    ties = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_ties_of_bands, TIE).distinct()
-    ties = common.written(ties, "ties")
+    ties = keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_ties_of_bands, TIE)
+    ties = common.written(ties.unionByName(_ties_of_grid(texts)).distinct(), "ties")
     # The nearest ties of either end are verified first; of the rest, those whose ends are still apart follow.
     ends = ties.select("u", "v", "bits", F.explode(F.array("u", "v")).alias("end"))
     near = F.row_number().over(W.partitionBy("end").orderBy("bits", "u", "v"))
@@ -366,6 +366,17 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     return spread(sketches.select("doc_id", "node"), texts.select("node", "least"), found)
 
 
+def _ties_of_grid(texts: DataFrame) -> DataFrame:
+    """Ties u, v, bits of the grid join: between one text of each of two fingerprints within its distance, and from every other text of a fingerprint to that one."""
+    points = common.written(texts.groupBy("fp").agg(F.min("node").alias("point")), "grid-points")
+    ends = [points.select(F.col("fp").alias(end), F.col("point").alias(f"{end}_point")) for end in ("u", "v")]
+    between = links(points.select("fp")).join(ends[0], "u").join(ends[1], "v")
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).cast("int")
+    between = between.select(F.greatest("u_point", "v_point").alias("u"), F.least("u_point", "v_point").alias("v"), bits.alias("bits"))
+    equal = common.join_hot(texts.select("node", "fp"), points, ["fp"]).where(F.col("node") != F.col("point"))
+    return between.unionByName(equal.select(F.col("node").alias("u"), F.col("point").alias("v"), F.lit(0).alias("bits")))
+
+
 def _parts_of_bands(keys: DataFrame) -> DataFrame:
     """key, node, fp with keys of their own for the parts of a band of more than HOT_ROWS texts; some OVERLAP of its texts are in every part and tie the parts to one another."""
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > common.HOT_ROWS)

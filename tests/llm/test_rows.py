@@ -162,6 +162,22 @@ def test_similar_texts_are_linked(spark):
     assert sum(found[i] != wanted[i] for i in wanted) <= 1
 
 
+def test_the_grid_ties_near_copies_without_any_band(spark, monkeypatch):
+    """Near copies within the grid's distance, and texts of one fingerprint, are linked where no bands tie them."""
+
+    def none(batches):
+        for batch in batches:
+            yield pd.DataFrame({"u": [], "v": [], "bits": []}).astype({"u": "int64", "v": "int64", "bits": "int32"}) if len(batch) else batch
+
+    monkeypatch.setattr(simhash, "_ties_of_bands", none)
+    words = [f"w{k}" for k in range(5_000)]
+    texts = [" ".join(words), " ".join([*words[:2_500], "other", *words[2_501:]]), " ".join(words) + "\n", " ".join(reversed(words))]
+    fps = [simhash.fingerprint(t, 5) & (2**64 - 1) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 3 and fps[0] == fps[2] and (fps[0] ^ fps[3]).bit_count() > 3
+    found = simhash.similar(documents(spark, [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+
+
 def test_bands_of_near_copies_meet_at_any_length(spark):
     """Texts of 505 to 525 shingles and copies with a few words more or a line repeated."""
     draw = random.Random(11)
