@@ -1,12 +1,14 @@
 """Ranked customers: the rows of the full plan, from few pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.functions import scoring
 from noticeworks.operators import interest, latest, ranking
+from noticeworks.plans import scoring as plans
 
 VARIANTS = {"or": scoring.combine_noisy_or, "mean": scoring.combine_average, "low": lambda s: scoring.combine_noisy_or(s, {"like": 0.5, "type": 0.5})}
 NOTICES, CUSTOMERS = 3000, 60
@@ -58,3 +60,23 @@ def test_empty_tables(spark, frames):
         args = [f.limit(0) if i == k else f for i, f in enumerate((notices, scores, profiles))]
         found = ranking.best(*args, ["type"], {"like": likes}, VARIANTS, now)
         assert (found.count() > 0) == (k == 1)
+
+
+def test_scores_are_compiled_by_the_jvm(spark, frames, capsys):
+    """Methods of more than 8,000 bytes are interpreted by the JVM; scores of all variants in one method had over twice that."""
+    notices, scores, profiles, likes = frames
+    now = F.lit("2000-01-10 12:00:00").cast("timestamp_ntz")
+    shared, own = ["work_type", "sllm", "a3"], ["liked", "clicked", "viewed"]
+    known = notices.select("*", *[F.col("type").alias(name) for name in shared])
+    variants = {"or": scoring.combine_noisy_or, "low": lambda s: scoring.combine_noisy_or(s, plans.LOW), "floor": lambda s: scoring.combine_noisy_or(s | {"sllm": scoring.floored(s["sllm"], 0.05)}), "mean": scoring.combine_average}
+    customers = spark.createDataFrame([(1, {1: 40, 2: 30}, 1.0, 7, 3)], "customer int, points map<bigint, int>, price_min double, lead_days int, private long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that adapts shows its code only after it has run
+    try:
+        bounds = ranking.lower_bounds(ranking.facts(known, scores, shared).cache(), customers, shared, own, variants, now, 20)
+        pairs = ranking.candidates(known, scores, profiles, shared, dict.fromkeys(own, likes), variants, now)
+        for plan in (bounds, pairs):
+            plan.explain(mode="codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
