@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.functions import scoring
-from noticeworks.operators import interest, latest, ranking
+from noticeworks.operators import interest, latest, ranking, staging
+from noticeworks.plans import QUERIES
 from noticeworks.plans import scoring as plans
 
 VARIANTS = {"or": scoring.combine_noisy_or, "mean": scoring.combine_average, "low": lambda s: scoring.combine_noisy_or(s, {"like": 0.5, "type": 0.5})}
@@ -80,3 +81,43 @@ def test_scores_are_compiled_by_the_jvm(spark, frames, capsys):
             assert sizes and max(sizes) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Intermediate tables by label, as they are handed over to be written."""
+    seen, put = {}, staging.written
+    monkeypatch.setattr(staging, "written", lambda df, label: put(seen.setdefault(label, df), label))
+    return seen
+
+
+def test_bounds_of_all_variants_read_counts_of_like_notices(spark, frames, tables):
+    notices, scores, profiles, likes = frames
+    now = F.lit("2000-01-10 12:00:00").cast("timestamp_ntz")
+    rows = staging.written(ranking.facts(notices.unionByName(notices.withColumn("id", F.col("id") + NOTICES)), scores.unionByName(scores.withColumn("notice_id", F.col("notice_id") + NOTICES)), ["type"]), "facts")
+    customers = spark.createDataFrame([(1, {1: 40, 2: 30}, 1.0, 7, 3)], "customer int, points map<bigint, int>, price_min double, lead_days int, private long")
+    bounds = ranking.lower_bounds(rows, customers, ["type"], ["like"], VARIANTS, now, 20)
+    assert bounds.inputFiles() and not any("facts-" in f for f in bounds.inputFiles())
+    shown = rows.select(F.explode("strengths").alias("topic", "s")).where("topic IN (1, 2)").count()
+    assert tables["alike"].agg(F.sum("n")).first()[0] == shown > 1.9 * tables["alike"].count()
+
+
+def test_signals_of_strangers_leave_before_they_are_grouped(spark, frames, tables):
+    notices, scores, profiles, likes = frames
+    now = F.lit("2000-01-10 12:00:00").cast("timestamp_ntz")
+    grouped = likes.groupBy("customer", "id").agg(F.max("value").alias("value"))
+    ranking.candidates(notices, scores, profiles.where("customer < 3"), ["type"], {"like": grouped}, VARIANTS, now)
+    plan = tables["private"]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.rindex("max(value") < plan.rindex("LeftSemi")
+
+
+def test_a_breakdown_scores_its_own_variant_only(spark, tables):
+    QUERIES["SCO_14_signal_breakdown"](spark, "/root/testdata/sf0.001")
+    assert {r.variant for r in tables["limits"].select("variant").distinct().collect()} == {"current"}
+
+
+def test_strengths_are_those_of_topics_grouped_alone(spark, frames):
+    notices, scores, _, _ = frames
+    wanted = interest.topic_strengths(scores).select("notice_id", "topic", scoring.strength(F.col("l2")).alias("strength"))
+    found = ranking.facts(notices, scores, []).select("id", F.explode("strengths"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
