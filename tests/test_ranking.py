@@ -121,3 +121,22 @@ def test_strengths_are_those_of_topics_grouped_alone(spark, frames):
     wanted = interest.topic_strengths(scores).select("notice_id", "topic", scoring.strength(F.col("l2")).alias("strength"))
     found = ranking.facts(notices, scores, []).select("id", F.explode("strengths"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_topics_that_no_customer_asks_for_leave_before_they_are_dealt(spark, frames, tables):
+    notices, scores, profiles, likes = frames
+    now = F.lit("2000-01-10 12:00:00").cast("timestamp_ntz")
+    few = profiles.limit(0).union(spark.createDataFrame([(1, {1: "high", 2: "low"}, [], [], None, 0), (2, {2: "low", 5: "none"}, ["anvil"], [], None, 0)], FIELDS))
+    unnamed = scores.limit(1).select("notice_id", F.lit(None).cast("long").alias("topic"), "l2")
+    args = (["type"], {"like": likes}, VARIANTS, now)
+    found = ranking.best(notices, scores.unionByName(unnamed), few, *args)
+    plan = tables["facts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (topic" in plan[plan.index("RepartitionByExpression") :]
+    facts = tables["facts"].select("most", F.explode("strengths").alias("topic", "strength"), F.size("strengths").alias("n"))
+    assert {r.topic for r in facts.select("topic").distinct().collect()} == {1, 2, 5}
+    # What a topic can give is what a customer gives it, not the highest level.
+    assert facts.where("n = 1 AND topic = 2 AND most > 0.15").count() == 0 < facts.where("n = 1 AND topic = 2 AND most = 0.15").count()
+    assert facts.where("n = 1 AND topic = 5 AND most > 0").count() == 0
+    pairs = interest.with_signals(interest.rule_scores(notices, scores.fillna(0), few, now, 0).withColumn("rule", F.col("score") / 100), {"like": likes})
+    each = F.array(*[F.struct(F.lit(name).alias("variant"), f({"rule": F.col("rule"), "type": F.col("type"), "like": F.col("like")}).alias("score")) for name, f in VARIANTS.items()])
+    assert of(found) == of(latest.top_per(pairs.select("customer", "id", "close_dt", F.inline(each)), ["variant", "customer"], interest.order(), 20))
